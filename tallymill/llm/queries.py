@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm.runtime import table
+from tallymill.llm.simhash import fingerprint_hex, near_groups
 from tallymill.llm.substring import remove_repeats
 
 
@@ -14,8 +15,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
+    return out.select(F.col("id").alias("doc_id"), fingerprint_hex(F.col("code")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op7_simhash": op7_simhash,
 }
 
 SQL: dict[str, str] = {}
