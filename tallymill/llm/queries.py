@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tallymill.llm.decontaminate import contamination
 from tallymill.llm.runtime import table
+from tallymill.llm.sharding import shard_rows
 from tallymill.llm.simhash import fingerprint_hex, near_groups
+from tallymill.llm.sketch import fingerprint_edits
 from tallymill.llm.substring import remove_repeats
+from tallymill.llm.urlfilter import judge_urls
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +36,30 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), fingerprint_hex(F.col("code")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_rows(table(spark, sf_dir, "documents"), shards=24)
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: The contract's rules.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_decontamination": op3_decontamination,
+    "op5_url_filter": op5_url_filter,
     "op7_simhash": op7_simhash,
+    "op8_fingerprints": op8_fingerprints,
+    "op10_sharding": op10_sharding,
 }
 
 SQL: dict[str, str] = {}
