@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm.decontaminate import contamination
+from tallymill.llm.packing import pack_documents
 from tallymill.llm.runtime import table
 from tallymill.llm.sharding import shard_rows
 from tallymill.llm.simhash import fingerprint_hex, near_groups
 from tallymill.llm.sketch import fingerprint_edits
 from tallymill.llm.substring import remove_repeats
 from tallymill.llm.urlfilter import judge_urls
+from tallymill.llm.warc import read_index, write_archive
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +55,20 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = write_archive(table(spark, sf_dir, "pages"), least=0)
+    return read_index(spark, archive).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, per_source=4).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
+    "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
     "op7_simhash": op7_simhash,
     "op8_fingerprints": op8_fingerprints,
