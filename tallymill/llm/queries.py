@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm.decontaminate import contamination
+from tallymill.llm.kneser_ney import score_documents
 from tallymill.llm.packing import pack_documents
 from tallymill.llm.runtime import table
 from tallymill.llm.sharding import shard_rows
@@ -64,6 +65,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, per_source=4).withColumnRenamed("id", "doc_id")
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_documents(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -72,6 +78,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op7_simhash": op7_simhash,
     "op8_fingerprints": op8_fingerprints,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_sharding": op10_sharding,
 }
 
