@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.llm import toxicity
 from tallymill.llm.decontaminate import contamination
 from tallymill.llm.kneser_ney import score_documents
 from tallymill.llm.packing import pack_documents
@@ -70,12 +71,24 @@ def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    """The categories that the labels have: low quality first, then toxic."""
+    return toxicity.train(docs, table(spark, sf_dir, "labels"), categories={"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT).alias("toxic"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_fingerprints": op8_fingerprints,
     "op9_kneser_ney": op9_kneser_ney,
