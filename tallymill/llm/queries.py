@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallymill.llm import toxicity
 from tallymill.llm.decontaminate import contamination
 from tallymill.llm.kneser_ney import score_documents
+from tallymill.llm.oracles import SQL
 from tallymill.llm.packing import pack_documents
 from tallymill.llm.runtime import table
 from tallymill.llm.sharding import shard_rows
@@ -95,4 +96,4 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
