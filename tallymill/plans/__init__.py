@@ -1,0 +1,6 @@
+"""The registered queries, by family."""
+
+from tallymill.plans import metrics
+from tallymill.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "metrics"]
