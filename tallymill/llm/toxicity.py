@@ -116,39 +116,44 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Linear:
+    """Weights of the features under the numbers that the rows have."""
+
     weights: np.ndarray
     earlier: np.ndarray
     bias: float
 
     def odds(self, rows: Rows, earlier: np.ndarray) -> np.ndarray:
-        return self.bias + rows.margins(self.weights) + earlier @ self.earlier
+        return self.bias + rows.margins(self.weights) + np.clip(earlier, -6, 6) @ self.earlier
 
 
-def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray, *, epochs: int = 8, rate: float = 0.05, l2: float = 1e-4, batch: int = 64, seed: int = 7) -> Linear:
-    """Logistic regression by AdaGrad over shuffled batches; the same input gives the same model."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    model = Linear(np.zeros(1 << BITS), np.zeros(earlier.shape[1]), float(logit(np.array([share]))[0]))
-    if not len(y) or y.min() == y.max():
-        return model
-    # Only features with weights take part, under numbers of their own.
-    texts = np.bincount(rows.feature, minlength=1 << BITS)
-    used = np.flatnonzero(texts >= LEAST_TEXTS)
+def numbered(rows: Rows) -> tuple[Rows, np.ndarray]:
+    """The rows with only the features that LEAST_TEXTS of them have, numbered from 0, and those features."""
+    used = np.flatnonzero(np.bincount(rows.feature, minlength=1 << BITS) >= LEAST_TEXTS)
     number = np.full(1 << BITS, -1, dtype=np.int32)
     number[used] = np.arange(len(used))
     own = number[rows.feature]
     live = own >= 0
-    small = Rows(np.concatenate(([0], np.cumsum(live)))[rows.start], own[live], rows.value[live])
-    w = np.zeros(len(used))
-    seen, seen_e, seen_b = np.full(len(used), 1e-3), np.full(earlier.shape[1], 1e-3), 1e-3
+    return Rows(np.concatenate(([0], np.cumsum(live)))[rows.start], own[live], rows.value[live]), used
+
+
+def fit_linear(rows: Rows, width: int, earlier: np.ndarray, y: np.ndarray, members: np.ndarray, *, steps: int = 1600, rate: float = 0.05, l2: float = 1e-4, batch: int = 64, seed: int = 7) -> Linear:
+    """Logistic regression on the members among the rows, by AdaGrad over shuffled batches, whole rounds of about `steps` batches; the same input gives the same model."""
+    y = y.astype(float)
+    share = (y[members].sum() + 0.5) / (len(members) + 1)
+    model = Linear(np.zeros(width), np.zeros(earlier.shape[1]), float(logit(np.array([share]))[0]))
+    if not len(members) or y[members].min() == y[members].max():
+        return model
+    w = model.weights
+    seen, seen_e, seen_b = np.full(width, 1e-3), np.full(earlier.shape[1], 1e-3), 1e-3
     scale = np.clip(earlier, -6, 6)
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for lo in range(0, len(y), batch):
+    for _ in range(-(-steps * batch // len(members))):
+        order = rng.permutation(members)
+        for lo in range(0, len(order), batch):
             part = order[lo : lo + batch]
-            x, e = small.take(part), scale[part]
+            x, e = rows.take(part), scale[part]
             gap = (sigmoid(model.bias + x.margins(w) + e @ model.earlier) - y[part]) / len(part)
-            g = np.bincount(x.feature, weights=np.repeat(gap, np.diff(x.start)) * x.value, minlength=len(used))
+            g = np.bincount(x.feature, weights=np.repeat(gap, np.diff(x.start)) * x.value, minlength=width)
             g += l2 * w
             seen += g * g
             w -= rate * g / np.sqrt(seen)
@@ -157,7 +162,6 @@ def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray, *, epochs: int =
             seen_b += gb * gb
             model.earlier -= rate * ge / np.sqrt(seen_e)
             model.bias -= rate * gb / np.sqrt(seen_b)
-    model.weights[used] = w
     return model
 
 
@@ -177,18 +181,23 @@ class Chain:
 
 def fit_chain(rows: Rows, labels: list[np.ndarray], categories: tuple[str, ...], folds: np.ndarray) -> Chain:
     """labels: 0, 1 or -1 for unknown, for each category in order of the chain."""
-    n, earlier, models = len(rows.start) - 1, np.zeros((len(rows.start) - 1, 0)), []
+    rows, used = numbered(rows)
+    n, width, models = len(rows.start) - 1, len(used), []
+    earlier = np.zeros((n, 0))
     for y in labels:
         known = np.flatnonzero(y >= 0)
-        models.append(fit_linear(rows.take(known), earlier[known], y[known].astype(float)))
+        models.append(fit_linear(rows, width, earlier, y, known))
         if len(models) == len(labels):
             break
         out = np.zeros(n)
         for f in range(FOLDS):
-            inside = known[folds[known] != f]
-            held = np.flatnonzero(folds == f)
-            out[held] = fit_linear(rows.take(inside), earlier[inside], y[inside].astype(float)).odds(rows.take(held), np.clip(earlier[held], -6, 6))
+            held = folds == f
+            out[held] = fit_linear(rows, width, earlier, y, known[folds[known] != f]).odds(rows, earlier)[held]
         earlier = np.column_stack((earlier, out))
+    for m in models:
+        every = np.zeros(1 << BITS)
+        every[used] = m.weights
+        m.weights = every
     return Chain(categories, models)
 
 
@@ -199,9 +208,10 @@ def train(docs: DataFrame, labels: DataFrame, *, categories: dict[str, F.Column]
     marks = marks.orderBy(F.xxhash64("id"), "id", *names).limit(sample)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text"))
     kinds = ", ".join(f"{n} int" for n in names)
-    # At most `sample` label rows; repeated document ids can add to them, so the bound is set again.
-    found = marks.join(texts, "id").orderBy(F.xxhash64("id"), "id").limit(sample)
-    got = found.mapInArrow(_features, f"id long, {kinds}, features binary").toArrow()
+    # The sample's ids, at most `sample` short rows, go to where the texts are. Repeated document ids can add rows, so the
+    # bound is set again on the features.
+    found = texts.join(F.broadcast(marks), "id").select("id", *names, "text")
+    got = found.mapInArrow(_features, f"id long, {kinds}, features binary").orderBy(F.xxhash64("id"), "id", *names, "features").limit(sample).toArrow()
     blobs = got.column("features").to_pylist()
     size = np.array([len(b) // 5 for b in blobs], dtype=np.int64)
     rows = Rows(
