@@ -152,6 +152,12 @@ def group_starts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
 
 
+def runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of each run of equal keys."""
+    at = group_starts(sorted_keys)
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(sorted_keys)], strict=True)) if len(at) else []
+
+
 def hit_words(n: int, starts: np.ndarray, widths) -> np.ndarray:
     """Mask of the words that any run (start, width) covers."""
     edge = np.zeros(n + 1, dtype=np.int32)

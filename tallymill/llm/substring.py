@@ -77,8 +77,7 @@ def _entries(source: int, target: np.ndarray, rows: np.ndarray, ids: np.ndarray,
     """One packed row for each target bucket. rows are ascending."""
     order = np.argsort(target, kind="stable")
     target, rows, pos, keys = target[order], rows[order], pos[order], keys[order]
-    at = K.group_starts(target)
-    for a, b in zip(at, np.append(at[1:], len(target)), strict=True):
+    for a, b in K.runs(target):
         who, n = _runs(rows[a:b])
         yield int(target[a]), ENTRY, pack(np.array([source], dtype=np.int64), who, n, ids[who], pos[a:b].astype(np.uint32), keys[a:b])
 
@@ -156,8 +155,7 @@ def _answers(entries: list, passing: list, keep) -> pa.Table:
         source, row, pos = source[hit], row[hit], pos[hit]
         by = np.lexsort((pos, row, source))
         source, row, pos = source[by], row[by], pos[by]
-        at = K.group_starts(source)
-        for a, b in zip(at, np.append(at[1:], len(source)), strict=True):
+        for a, b in K.runs(source):
             out.append((int(source[a]), SETTLED, _settled(int(source[a]), row[a:b], pos[a:b])))
     return _sent(out)
 
