@@ -118,7 +118,12 @@ def file_record(path: str) -> dict:
 
 def write_predictions(df: DataFrame, path: str) -> None:
     """Gzip CSV with ten significant digits."""
-    as_text = [F.format_string("%.10g", c).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes]
+
+    def short(c: str) -> Column:  # the formatter keeps zeros at the end
+        digits = F.regexp_replace(F.format_string("%.10g", c), r"(\.\d*?)0+(e|$)", "$1$2")
+        return F.when(F.col(c).isNotNull(), F.regexp_replace(digits, r"\.(e|$)", "$1"))
+
+    as_text = [short(c).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes]
     df.select(*as_text).write.option("header", True).option("compression", "gzip").csv(path)
 
 
