@@ -100,9 +100,14 @@ class Rows:
         at = K.spread(self.start[rows], n)
         return Rows(np.concatenate(([0], np.cumsum(n))), self.feature[at], self.value[at])
 
-    def margins(self, weights: np.ndarray) -> np.ndarray:
-        run = np.concatenate(([0.0], np.cumsum(weights[self.feature] * self.value)))
-        return run[self.start[1:]] - run[self.start[:-1]]
+    def margins(self, weights: np.ndarray, step: int = 1024) -> np.ndarray:
+        out = np.zeros(len(self.start) - 1)
+        for lo in range(0, len(out), step):
+            edge = self.start[lo : lo + step + 1]
+            part = slice(edge[0], edge[-1])
+            run = np.concatenate(([0.0], np.cumsum(weights[self.feature[part]] * self.value[part])))
+            out[lo : lo + step] = run[edge[1:] - edge[0]] - run[edge[:-1] - edge[0]]
+        return out
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -133,7 +138,7 @@ def numbered(rows: Rows) -> tuple[Rows, np.ndarray]:
     number[used] = np.arange(len(used))
     own = number[rows.feature]
     live = own >= 0
-    return Rows(np.concatenate(([0], np.cumsum(live)))[rows.start], own[live], rows.value[live]), used
+    return Rows(np.concatenate(([0], np.cumsum(live, dtype=np.int32)))[rows.start].astype(np.int64), own[live], rows.value[live]), used
 
 
 def fit_linear(rows: Rows, width: int, earlier: np.ndarray, y: np.ndarray, members: np.ndarray, *, steps: int = 1600, rate: float = 0.05, l2: float = 1e-4, batch: int = 64, seed: int = 7) -> Linear:
@@ -216,12 +221,14 @@ def train(docs: DataFrame, labels: DataFrame, *, categories: dict[str, F.Column]
     size = np.array([len(b) // 5 for b in blobs], dtype=np.int64)
     rows = Rows(
         np.concatenate(([0], np.cumsum(size))).astype(np.int64),
-        np.concatenate([np.frombuffer(b, dtype="<u4", count=n) for b, n in zip(blobs, size, strict=True)] or [np.empty(0)]).astype(np.int32),
-        np.concatenate([np.frombuffer(b, dtype=np.uint8, offset=4 * n) for b, n in zip(blobs, size, strict=True)] or [np.empty(0)]).astype(np.float32),
+        np.concatenate([np.frombuffer(b, dtype="<u4", count=n) for b, n in zip(blobs, size, strict=True)] or [np.empty(0, dtype=np.int32)]).view(np.int32),
+        np.concatenate([np.frombuffer(b, dtype=np.uint8, offset=4 * n) for b, n in zip(blobs, size, strict=True)] or [np.empty(0, dtype=np.uint8)]),
     )
     ids = got.column("id").to_numpy()
     folds = (K.mix(ids.astype(np.int64).view(U)) % U(FOLDS)).astype(np.int64)
-    return fit_chain(rows, [got.column(n).fill_null(-1).to_numpy().astype(np.int64) for n in names], tuple(categories), folds)
+    marked = [got.column(n).fill_null(-1).to_numpy().astype(np.int64) for n in names]
+    del blobs, got  # the packed copies
+    return fit_chain(rows, marked, tuple(categories), folds)
 
 
 def _margins(chain: Chain, texts: list[bytes]) -> list[np.ndarray]:

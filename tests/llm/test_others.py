@@ -276,7 +276,7 @@ def labelled(spark, n=600):
     rows, marks = [], []
     for i in range(n):
         bad, junk = bool(rng.random() < 0.3), bool(rng.random() < 0.3)
-        rows.append((i, prose(1000 + i, 40) + (" vile wretch" if bad else "") + (" zzz zzz" if junk else "")))
+        rows.append((i, prose(1000 + i, 40) + (" vile wretch" if bad else "") + (" lorem filler" if junk else "")))
         marks.append((i, int(not junk), int(bad)))
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
 
