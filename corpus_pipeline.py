@@ -16,7 +16,7 @@ from tallymill.llm.decontaminate import contamination
 from tallymill.llm.packing import pack_documents
 from tallymill.llm.queries import toxicity_chain
 from tallymill.llm.runtime import new_path, table
-from tallymill.llm.simhash import near_groups
+from tallymill.llm.similar import kept_ids
 from tallymill.llm.substring import remove_repeats
 
 
@@ -27,11 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    groups = near_groups(docs)
-    kept = groups.where("id = component").groupBy("id").agg(F.count("*").alias("rows"))
-    repeats = kept.where("rows > 1").limit(1).count()
-    keys = kept.select(F.col("id").alias("doc_id"))
+    """One document of each group of near-duplicates, the one with the smallest id: fingerprints within three bits, or wider
+    candidates whose five-word shingles are alike by 0.8 or more."""
+    keys = kept_ids(docs).select(F.col("id").alias("doc_id"))
+    ids = docs.where("doc_id is not null").select("doc_id")
+    repeats = ids.join(keys, "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1").limit(1).count()
     out = docs.where("doc_id is not null").join(keys, "doc_id", "left_semi")
     if repeats:
         out = out.dropDuplicates(["doc_id"])

@@ -27,8 +27,8 @@ def test_near_dedup_keeps_one_of_each_group(spark, tricky):
     named = [d for d in kept if d is not None]
     assert len(named) == len(set(named)) and kept.count(None) == 2
     reached = {d: c for d, _, c in groups if d is not None}
-    assert {reached[d] for d in named} <= set(named)
-    assert set(reached.values()) == set(named)
+    # No two of one group, and what is gone beyond that was alike to a text that stays.
+    assert len({reached[d] for d in named}) == len(named) and set(named) <= set(reached.values())
 
 
 def test_later_stages_against_brute_force(spark):
