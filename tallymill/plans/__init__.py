@@ -1,6 +1,6 @@
 """The registered queries, by family."""
 
-from tallymill.plans import metrics, records, store
+from tallymill.plans import metrics, records, scans, store
 from tallymill.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "metrics", "records", "store"]
+__all__ = ["QUERIES", "SQL", "metrics", "records", "scans", "store"]
