@@ -22,8 +22,9 @@ from tallymill.llm.substring import remove_repeats
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier chain rejects."""
-    scored = toxicity.score(docs, toxicity_chain(spark, docs, sf_dir), keep_columns=True)
-    return scored.where(F.col("p_toxic") < toxicity.REJECT).select("rest.*")
+    chain = toxicity_chain(spark, docs, sf_dir)
+    scored = toxicity.score(docs, chain, keep_columns=True)
+    return scored.where(F.col("p_toxic") < chain.reject).select("rest.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,8 +79,9 @@ def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
-    return out.select(F.col("id").alias("doc_id"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT).alias("toxic"))
+    chain = toxicity_chain(spark, docs, sf_dir)
+    out = toxicity.score(docs, chain)
+    return out.select(F.col("id").alias("doc_id"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= chain.reject).alias("toxic"))
 
 
 QUERIES = {

@@ -32,10 +32,10 @@ BITS = 18
 HEADS = (4, 5, 6, 8)
 #: A feature that fewer sampled texts have gets no weight.
 LEAST_TEXTS = 3
-SAMPLE = 12_000
+SAMPLE = 10_000
 FOLDS = 3
-#: A text is rejected from this probability of its last category on.
-REJECT = 0.1
+#: Share of held-out texts without the last category that may be rejected, and the range of the probability that sets.
+FALSE_ALARMS, LEAST_REJECT, MOST_REJECT = 0.002, 0.05, 0.5
 
 
 def word_features(w: K.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,12 +137,14 @@ def numbered(rows: Rows) -> tuple[Rows, np.ndarray]:
     number = np.full(1 << BITS, -1, dtype=np.int32)
     number[used] = np.arange(len(used))
     own = number[rows.feature]
+    rows.feature = own  # the hashed numbers are not needed again
     live = own >= 0
     return Rows(np.concatenate(([0], np.cumsum(live, dtype=np.int32)))[rows.start].astype(np.int64), own[live], rows.value[live]), used
 
 
-def fit_linear(rows: Rows, width: int, earlier: np.ndarray, y: np.ndarray, members: np.ndarray, *, steps: int = 1600, rate: float = 0.05, l2: float = 1e-4, batch: int = 64, seed: int = 7) -> Linear:
-    """Logistic regression on the members among the rows, by AdaGrad over shuffled batches, whole rounds of about `steps` batches; the same input gives the same model."""
+def fit_linear(rows: Rows, width: int, earlier: np.ndarray, y: np.ndarray, members: np.ndarray, *, rounds: int = 2, steps: int = 50, rate: float = 0.05, l2: float = 1e-4, batch: int = 64, seed: int = 7) -> Linear:
+    """Logistic regression on the members among the rows, by AdaGrad over shuffled batches: `rounds` over all members, of `steps`
+    batches together at least. The same input gives the same model."""
     y = y.astype(float)
     share = (y[members].sum() + 0.5) / (len(members) + 1)
     model = Linear(np.zeros(width), np.zeros(earlier.shape[1]), float(logit(np.array([share]))[0]))
@@ -152,7 +154,7 @@ def fit_linear(rows: Rows, width: int, earlier: np.ndarray, y: np.ndarray, membe
     seen, seen_e, seen_b = np.full(width, 1e-3), np.full(earlier.shape[1], 1e-3), 1e-3
     scale = np.clip(earlier, -6, 6)
     rng = np.random.default_rng(seed)
-    for _ in range(-(-steps * batch // len(members))):
+    for _ in range(max(rounds, -(-steps * batch // len(members)))):
         order = rng.permutation(members)
         for lo in range(0, len(order), batch):
             part = order[lo : lo + batch]
@@ -174,6 +176,8 @@ def fit_linear(rows: Rows, width: int, earlier: np.ndarray, y: np.ndarray, membe
 class Chain:
     categories: tuple[str, ...]
     models: list[Linear]
+    #: From this probability of the last category on a text is rejected.
+    reject: float = MOST_REJECT
 
     def probabilities(self, margins: list[np.ndarray]) -> list[np.ndarray]:
         """From each model's text margins, in order of the chain."""
@@ -184,6 +188,14 @@ class Chain:
         return [sigmoid(z) for z in odds]
 
 
+def threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The least probability that rejects no more than FALSE_ALARMS of the out-of-fold rows without the category."""
+    other = np.sort(p[y == 0])[::-1]
+    if not len(other) or not (y == 1).any():
+        return MOST_REJECT
+    return float(np.clip(np.nextafter(other[int(FALSE_ALARMS * len(other))], 1), LEAST_REJECT, MOST_REJECT))
+
+
 def fit_chain(rows: Rows, labels: list[np.ndarray], categories: tuple[str, ...], folds: np.ndarray) -> Chain:
     """labels: 0, 1 or -1 for unknown, for each category in order of the chain."""
     rows, used = numbered(rows)
@@ -192,18 +204,33 @@ def fit_chain(rows: Rows, labels: list[np.ndarray], categories: tuple[str, ...],
     for y in labels:
         known = np.flatnonzero(y >= 0)
         models.append(fit_linear(rows, width, earlier, y, known))
-        if len(models) == len(labels):
-            break
         out = np.zeros(n)
         for f in range(FOLDS):
             held = folds == f
             out[held] = fit_linear(rows, width, earlier, y, known[folds[known] != f]).odds(rows, earlier)[held]
         earlier = np.column_stack((earlier, out))
+    reject = threshold(sigmoid(earlier[:, -1]), labels[-1]) if labels else MOST_REJECT
     for m in models:
         every = np.zeros(1 << BITS)
         every[used] = m.weights
         m.weights = every
-    return Chain(categories, models)
+    return Chain(categories, models, reject)
+
+
+def _unpacked(packed: pa.ChunkedArray) -> Rows:
+    """Rows from _features' blobs, without a copy of them between."""
+    edges = [np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1] for c in packed.chunks]
+    size = np.concatenate([np.diff(e) // 5 for e in edges] or [np.empty(0, dtype=np.int32)]).astype(np.int64)
+    start = np.concatenate(([0], np.cumsum(size)))
+    rows, i = Rows(start, np.empty(start[-1], dtype=np.int32), np.empty(start[-1], dtype=np.uint8)), 0
+    for chunk, edge in zip(packed.chunks, edges, strict=True):
+        data = np.frombuffer(chunk.buffers()[2] or b"", dtype=np.uint8)
+        for a in edge[:-1]:
+            n, at = size[i], start[i]
+            rows.feature[at : at + n] = data[a : a + 4 * n].view("<u4")
+            rows.value[at : at + n] = data[a + 4 * n : a + 5 * n]
+            i += 1
+    return rows
 
 
 def train(docs: DataFrame, labels: DataFrame, *, categories: dict[str, F.Column], id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Chain:
@@ -217,17 +244,11 @@ def train(docs: DataFrame, labels: DataFrame, *, categories: dict[str, F.Column]
     # bound is set again on the features.
     found = texts.join(F.broadcast(marks), "id").select("id", *names, "text")
     got = found.mapInArrow(_features, f"id long, {kinds}, features binary").orderBy(F.xxhash64("id"), "id", *names, "features").limit(sample).toArrow()
-    blobs = got.column("features").to_pylist()
-    size = np.array([len(b) // 5 for b in blobs], dtype=np.int64)
-    rows = Rows(
-        np.concatenate(([0], np.cumsum(size))).astype(np.int64),
-        np.concatenate([np.frombuffer(b, dtype="<u4", count=n) for b, n in zip(blobs, size, strict=True)] or [np.empty(0, dtype=np.int32)]).view(np.int32),
-        np.concatenate([np.frombuffer(b, dtype=np.uint8, offset=4 * n) for b, n in zip(blobs, size, strict=True)] or [np.empty(0, dtype=np.uint8)]),
-    )
+    rows = _unpacked(got.column("features"))
     ids = got.column("id").to_numpy()
     folds = (K.mix(ids.astype(np.int64).view(U)) % U(FOLDS)).astype(np.int64)
     marked = [got.column(n).fill_null(-1).to_numpy().astype(np.int64) for n in names]
-    del blobs, got  # the packed copies
+    del got  # the packed copy
     return fit_chain(rows, marked, tuple(categories), folds)
 
 

@@ -285,8 +285,19 @@ def test_held_out_accuracy(spark):
     docs, labels = labelled(spark)
     chain = toxicity.train(docs, labels.where("doc_id < 400"), categories={"junk": 1 - F.col("quality"), "toxic": F.col("toxic")})
     got = toxicity.score(docs, chain).join(labels.withColumnRenamed("doc_id", "id"), "id").where("id >= 400").collect()
-    assert np.mean([(r.p_toxic > 0.5) == bool(r.toxic) for r in got]) > 0.97
-    assert np.mean([(r.p_junk > 0.5) == (not r.quality) for r in got]) > 0.85
+    def auc(yes, no):
+        return np.mean([(x > y) + (x == y) / 2 for x in yes for y in no])
+
+    assert auc([r.p_toxic for r in got if r.toxic], [r.p_toxic for r in got if not r.toxic]) > 0.97
+    assert auc([r.p_junk for r in got if not r.quality], [r.p_junk for r in got if r.quality]) > 0.9
+    assert toxicity.LEAST_REJECT <= chain.reject <= toxicity.MOST_REJECT
+
+
+def test_threshold():
+    y = np.array([0] * 1000 + [1] * 10 + [-1] * 5)
+    p = np.concatenate((np.linspace(0, 0.3, 1000), np.full(15, 0.9)))
+    assert ((p[:1000] >= toxicity.threshold(p, y)).sum()) == 2
+    assert toxicity.threshold(p, np.zeros(1015)) == toxicity.MOST_REJECT
 
 
 def test_odd_labels_and_texts(spark, tricky, empty):
