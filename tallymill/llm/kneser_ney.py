@@ -10,10 +10,13 @@ memory and search in sorted order:
   words     every training word: count, number of words before it, and its totals as a context
   bigrams   those seen twice or more: continuation count, count, and the discounted mass kept after them
   trigrams  those seen twice or more: count
-Bigrams and trigrams seen once are counted in every statistic but not stored: their mass goes to the lower order, so each
-distribution still sums to one. All counts cover every training text and grow with the input.
+  single_bigrams, single_trigrams  those seen once, as keys only
+All counts cover every training text and grow with the input. What follows a context once needs no sum of its own: it is the
+context's count without what follows it twice or more. With least=2 the single ones are counted but not stored, and their
+whole mass goes to the lower order, as if their discount were 1.
 
-Identity: a word is 48 bits of its hash, the first word of a bigram or trigram 32 bits within the rest.
+Identity: a word is 48 bits of its hash, the first word of a bigram or trigram 32 bits within the rest. Of a bigram's or
+trigram's hash a shard keeps 40 bits beyond those that find its bucket of some 16.
 
 The shared folder must be a file system that workers can map (file:); others raise an error.
 
@@ -88,15 +91,30 @@ def _save(path: str, *arrays: np.ndarray) -> None:
     os.replace(part, path)
 
 
+_CODES = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+
+
 def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values and each value's number among them, in two bytes where they suffice."""
+    """The distinct values and each value's number among them, in one or two bytes where they suffice."""
     distinct, code = np.unique(values, return_inverse=True)
-    return distinct.astype(np.int64), code.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
+    return distinct.astype(np.int64), code.astype(next(k for k in _CODES.values() if len(distinct) <= 1 << 8 * np.dtype(k).itemsize))
 
 
 def _save_table(path: str, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+    _save(path, keys, *_columns(columns))
+
+
+def _columns(columns: list[np.ndarray]) -> list[np.ndarray]:
     coded = [_coded(c) for c in columns]
-    _save(path, keys, *[d for d, _ in coded], *[np.array([c.dtype.itemsize for _, c in coded], dtype=np.int64)], *[c.view(np.uint8) for _, c in coded])
+    return [*[d for d, _ in coded], np.array([c.dtype.itemsize for _, c in coded], dtype=np.int64), *[c.view(np.uint8) for _, c in coded]]
+
+
+def _save_ngrams(path: str, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+    """Sorted keys in buckets by their first bits, 40 bits of the rest."""
+    bits = max(1, (len(keys) // 16).bit_length())
+    starts = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U)).astype(np.uint32)
+    rest = keys << U(bits) >> U(24)
+    _save(path, starts, (rest & FIRST_BITS).astype(np.uint32), (rest >> U(32)).astype(np.uint8), *_columns(columns))
 
 
 class Table:
@@ -106,7 +124,13 @@ class Table:
         raw = np.memmap(path, dtype=np.uint8, mode="r")
         arrays = unpack(raw, U, *[np.int64] * columns, np.int64, *[np.uint8] * columns)
         self.keys, self.values = arrays[0], arrays[1 : columns + 1]
-        self.codes = [c.view(np.uint16 if size == 2 else np.uint32) for c, size in zip(arrays[columns + 2 :], arrays[columns + 1], strict=True)]
+        self._decode(arrays[columns + 1 :])
+
+    def _decode(self, arrays: list[np.ndarray]) -> None:
+        self.codes = [c.view(_CODES[int(size)]) for c, size in zip(arrays[1:], arrays[0], strict=True)]
+
+    def __len__(self) -> int:
+        return len(self.keys)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, row) for keys, which are sorted."""
@@ -119,6 +143,36 @@ class Table:
         return self.values[i][self.codes[i][rows]]
 
 
+class Ngrams(Table):
+    """A table whose keys are hashes in every bit, in short form."""
+
+    def __init__(self, path: str, columns: int) -> None:
+        raw = np.memmap(path, dtype=np.uint8, mode="r")
+        arrays = unpack(raw, np.uint32, np.uint32, np.uint8, *[np.int64] * columns, np.int64, *[np.uint8] * columns)
+        self.starts, self.low, self.high, self.values = *arrays[:3], arrays[3 : columns + 3]
+        self.bits = U((len(self.starts) - 1).bit_length() - 1)
+        self._decode(arrays[columns + 3 :])
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self) or not len(keys):
+            return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+        bucket, rest = (keys >> U(64) - self.bits).astype(np.int64), keys << self.bits >> U(24)
+        lo, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
+        hi, last = end, len(self) - 1
+        for _ in range(int((end - lo).max()).bit_length()):
+            mid = (lo + hi) >> 1
+            less = (lo < hi) & (self._rest(np.minimum(mid, last)) < rest)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.maximum(mid, lo))
+        at = np.minimum(lo, last)
+        return (lo < end) & (self._rest(at) == rest), at
+
+    def _rest(self, rows: np.ndarray) -> np.ndarray:
+        return self.low[rows].astype(U) | self.high[rows].astype(U) << U(32)
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts, each with its end, and where each text's begin."""
     w = K.Words(texts)
@@ -207,7 +261,7 @@ def _of_counts(n: np.ndarray) -> np.ndarray:
     return np.array([c[1], c[2], c[3], c[4], c[3] + c[4] + c[5]], dtype=np.int64)
 
 
-def _shard(layout: Layout, shard: int, t: pa.Table) -> pa.Table:
+def _shard(layout: Layout, shard: int, t: pa.Table, least: int) -> pa.Table:
     """Writes a shard's trigrams and bigrams; sends on the sums that words and contexts need."""
     parts = []
     for load in t.column("load"):
@@ -225,11 +279,14 @@ def _shard(layout: Layout, shard: int, t: pa.Table) -> pa.Table:
     follow = np.where(pb == START, raw, types)
     two = _of_counts(follow)
     stored = raw >= 2
-    _save_table(layout.file("bigrams", shard), pk[stored], [follow[stored], raw[stored]])
+    _save_ngrams(layout.file("bigrams", shard), pk[stored], [follow[stored], raw[stored]])
     kept = n >= 2
     tk = triple_key(pair[kept], a[kept].astype(U))
     order = np.argsort(tk)
-    _save_table(layout.file("trigrams", shard), tk[order], [n[kept][order]])
+    _save_ngrams(layout.file("trigrams", shard), tk[order], [n[kept][order]])
+    if least == 1:
+        _save_ngrams(layout.file("single_bigrams", shard), pk[~stored], [])
+        _save_ngrams(layout.file("single_trigrams", shard), np.sort(triple_key(pair[~kept], a[~kept].astype(U))), [])
 
     rows = [(shard, STATS, pack(np.concatenate((three, two, [raw.sum(), len(pk)]))))]
     zero = np.zeros(len(pk), dtype=np.int64)
@@ -286,13 +343,12 @@ def _merge(layout: Layout, shard: int, t: pa.Table) -> pa.Table:
         one, distinct = _of_counts(sums[4][sums[5] > 0]), int((sums[5] > 0).sum())
     _save_table(layout.file("words", shard), keys, sums)
     if os.path.exists(layout.file("bigrams", shard)):
-        pairs = Table(layout.file("bigrams", shard), 2).keys
+        pairs = Ngrams(layout.file("bigrams", shard), 2)
         mass = [np.zeros(len(pairs), dtype=np.int64) for _ in range(3)]
         if contexts and len(pairs):
             key, *values = (np.concatenate(x) for x in zip(*contexts, strict=True))
             (key,), values = _grouped([key], values)
-            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            same = pairs[at] == key
+            same, at = pairs.find(key)
             for m, v in zip(mass, values, strict=True):
                 m[at[same]] = v[same]
         _save_table(layout.file("contexts", shard), np.empty(0, dtype=U), mass)
@@ -322,16 +378,18 @@ class Model:
     pairs: int
     #: Mass that the unigram discounts free.
     freed: float
+    #: Bigrams and trigrams seen less often are not stored.
+    least: int
 
 
-def train(docs: DataFrame, *, text_column: str = "text") -> Model:
-    """Counts all rows of docs."""
+def train(docs: DataFrame, *, text_column: str = "text", least: int = 2) -> Model:
+    """Counts all rows of docs; least is 1 for all bigrams and trigrams, 2 to leave out those seen once."""
     spark = docs.sparkSession
     layout = Layout(local_path(new_path(spark, "kneser-ney")), partitions(spark))
     os.makedirs(layout.path)
     body = docs.select(text_bytes(F.col(text_column)).alias("text"))
     counted = body.mapInArrow(lambda it: _count(it, layout), SENT_SQL)
-    sums = counted.groupBy("to").applyInArrow(lambda key, t: _shard(layout, key[0].as_py(), t), SENT_SQL)
+    sums = counted.groupBy("to").applyInArrow(lambda key, t: _shard(layout, key[0].as_py(), t, least), SENT_SQL)
     # A row of 18 numbers for each shard.
     rows = sums.groupBy("to").applyInArrow(lambda key, t: _merge(layout, key[0].as_py(), t), "shard int, stats array<long>").collect()
     total = np.sum([r.stats for r in rows], axis=0).tolist() if rows else [0] * 18
@@ -340,18 +398,26 @@ def train(docs: DataFrame, *, text_column: str = "text") -> Model:
     freed = d[0] * one[0] + d[1] * one[1] + d[2] * one[4]
     files = os.listdir(layout.path)
     having = lambda name: frozenset(int(f.rpartition("-")[2]) for f in files if re.fullmatch(rf"{name}-\d+", f))
-    return Model(layout, having("bigrams"), having("words"), discounts(three), discounts(two), d, n, distinct, pairs, freed)
+    of = lambda counts: discounts(counts) if least == 1 else (1.0, *discounts(counts)[1:])
+    return Model(layout, having("bigrams"), having("words"), of(three), of(two), d, n, distinct, pairs, freed, least)
 
 
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.m, self.open = model, {}
 
-    def _table(self, name: str, shard: int, columns: int) -> Table:
+    def _table(self, name: str, shard: int, columns: int, kind: type[Table] = Table) -> Table:
         if (name, shard) not in self.open:
-            self.open[name, shard] = Table(self.m.layout.file(name, shard), columns)
+            self.open[name, shard] = kind(self.m.layout.file(name, shard), columns)
         return self.open[name, shard]
 
+    def _single(self, name: str, shard: int, keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """1 for keys that were not found and are stored as seen once, else 0."""
+        out = np.zeros(len(keys), dtype=np.int64)
+        if self.m.least == 1:
+            out[~found] = self._table(name, shard, 0, Ngrams).find(keys[~found])[0]
+        return out
+
     def _lookup(self, shard: np.ndarray, key: np.ndarray, take, columns: int) -> list[np.ndarray]:
         """Columns for each key, 0 where it has none; take(shard, sorted keys) -> (found, columns)."""
         order = np.lexsort((key, shard))
@@ -377,16 +443,18 @@ class Scorer:
     def _pairs(self, shard: int, keys: np.ndarray):
         if shard not in self.m.bigram_shards:
             return [0] * 5
-        t, mass = self._table("bigrams", shard, 2), self._table("contexts", shard, 3)
+        t, mass = self._table("bigrams", shard, 2, Ngrams), self._table("contexts", shard, 3)
         found, row = t.find(keys)
-        return [np.where(found, x.column(i, row), 0) if len(t.keys) else 0 for x, n in ((t, 2), (mass, 3)) for i in range(n)]
+        once = self._single("single_bigrams", shard, keys, found)
+        return [np.where(found, x.column(i, row), other) if len(t) else other for x, n, other in ((t, 2, once), (mass, 3, 0)) for i in range(n)]
 
     def _triples(self, shard: int, keys: np.ndarray):
         if shard not in self.m.bigram_shards:
             return [0]
-        t = self._table("trigrams", shard, 1)
+        t = self._table("trigrams", shard, 1, Ngrams)
         found, row = t.find(keys)
-        return [np.where(found, t.column(0, row), 0) if len(t.keys) else 0]
+        once = self._single("single_trigrams", shard, keys, found)
+        return [np.where(found, t.column(0, row), once) if len(t) else once]
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """For each text: tokens, tokens seen in training, base score and model score, both log10."""
@@ -406,10 +474,10 @@ class Scorer:
         total, kept, n2, n3 = (np.where(at_start, mark[i], np.concatenate(([0], ctx[i][:-1]))) for i in range(4))
         shard, pair = lay.pair_shard(one, t), pair_key(one, t)
         follow, raw, mass, m2, m3 = self._lookup(shard, pair, self._pairs, 5)
-        d = np.array((0.0, 0.0, *m.two[1:]))
+        d = np.array((0.0, *m.two))
         safe = np.maximum(total, 1)
-        top = np.where(follow >= 2, follow - d[np.minimum(follow, 3)], 0.0)
-        left = np.where(total > 0, 1 - (kept - m.two[1] * n2 - m.two[2] * n3) / safe, 1.0)
+        top = follow - d[np.minimum(follow, 3)]
+        left = np.where(total > 0, (m.two[0] * (total - kept) + m.two[1] * n2 + m.two[2] * n3) / safe, 1.0)
         p2 = np.where(total > 0, top / safe, 0.0) + left * p1
 
         (n,) = self._lookup(shard, triple_key(pair, two), self._triples, 1)
@@ -417,10 +485,10 @@ class Scorer:
         (sf, sr, sm, s2, s3) = (x[0] for x in self._lookup(lay.pair_shard(np.array([START]), np.array([START])), pair_key(np.array([START]), np.array([START])), self._pairs, 5))
         before = lambda x, s: np.where(at_start, s, np.concatenate(([0], x[:-1])))
         raw, mass, m2, m3 = before(raw, sr), before(mass, sm), before(m2, s2), before(m3, s3)
-        d = np.array((0.0, 0.0, *m.three[1:]))
+        d = np.array((0.0, *m.three))
         safe = np.maximum(raw, 1)
-        top = np.where((n >= 2) & (raw > 0), (n - d[np.minimum(n, 3)]) / safe, 0.0)
-        left = np.where(raw > 0, 1 - (mass - m.three[1] * m2 - m.three[2] * m3) / safe, 1.0)
+        top = np.where(raw > 0, (n - d[np.minimum(n, 3)]) / safe, 0.0)
+        left = np.where(raw > 0, (m.three[0] * (raw - mass) + m.three[1] * m2 + m.three[2] * m3) / safe, 1.0)
         p3 = top + left * p2
         start = bounds[:-1]
         return np.diff(bounds), np.add.reduceat(known.astype(np.int64), start), np.add.reduceat(base, start), np.add.reduceat(np.log10(p3), start)
@@ -435,10 +503,10 @@ def _score(it, model: Model):
         yield pa.record_batch([batch.column("id"), batch.column("held_out"), pa.array(n, type=pa.int64()), pa.array(known, type=pa.int64()), pa.array(base, type=pa.float64()), pa.array(score, type=pa.float64())], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
-    """Every row's scores by a model of the rows whose crc32 of the id modulo folds is not held_fold."""
+def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", folds: int = 7, held_fold: int = 2, least: int = 2) -> DataFrame:
+    """Every row's scores by a model of the rows whose crc32 of the id modulo folds is not held_fold; least as in train."""
     held = F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
     rows = docs.select(F.col(id_column).cast("long").alias("id"), held.alias("held_out"), F.col(text_column).alias("text"))
-    model = train(rows.where(~F.col("held_out")), text_column="text")
+    model = train(rows.where(~F.col("held_out")), text_column="text", least=least)
     out = rows.select("id", "held_out", text_bytes(F.col("text")).alias("text")).mapInArrow(lambda it: _score(it, model), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long"))

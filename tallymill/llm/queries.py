@@ -68,7 +68,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score_documents(table(spark, sf_dir, "documents"))
+    out = score_documents(table(spark, sf_dir, "documents"), least=1)
     return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
