@@ -213,12 +213,13 @@ def near_groups(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     """(id, code, component) for each row: its fingerprint and the smallest id that links within the radius reach."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text"))
     rows = cut(rows.mapInArrow(lambda it: _fingerprint_batches(it, words), "id long, code long"))
-    # rep: the smallest id; where a fingerprint has only null ids, none.
-    codes = cut(rows.groupBy("code").agg(F.min("id").alias("rep")))
-    named = codes.where("rep is not null")
-    links = near_links(named, radius)
-    found = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    mapped = codes.join(found, "rep", "left").select("code", F.coalesce("component", "rep").alias("component"))
+    # A fingerprint is its own node, so those of rows without an id link too; ids name the components afterwards.
+    codes = cut(rows.groupBy("code").agg(F.min("id").alias("low")))
+    links = near_links(codes.select(F.col("code").alias("rep"), "code"), radius)
+    found = connected_components(links, "a", "b").select(F.col("node").alias("code"), F.col("component").alias("root"))
+    placed = codes.join(found, "code", "left").select("code", "low", F.coalesce("root", "code").alias("root"))
+    named = placed.groupBy("root").agg(F.min("low").alias("component"))
+    mapped = placed.join(named, "root").select("code", "component")
     return rows.join(mapped, "code").select("id", "code", "component")
 
 

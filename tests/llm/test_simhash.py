@@ -86,3 +86,21 @@ def test_routes_and_heavy_buckets(spark, monkeypatch, limit):
 def test_case_and_short_texts():
     a, b, none, one = fingerprints([b"One Two  three four", b"one two three\nfour", b" ", b"one"])
     assert a == b and none == 0 and one == xxhash.xxh64_intdigest(b"one", seed=42)
+
+
+def test_rows_without_an_id_link(spark, monkeypatch):
+    """A fingerprint that only null ids have bridges two others, and takes the component of those near it."""
+    codes = {b"a": 0, b"b": 0b111, b"c": 0b111111, b"d": 1 << 40 | 0xFF << 50}
+    monkeypatch.setattr(simhash, "_fingerprint_batches", coded(codes))
+    df = spark.createDataFrame([(5, "a"), (None, "b"), (9, "c"), (None, "d")], "doc_id long, text string")
+    assert rows(df) == sorted(brute.components([(5, 0), (None, 0b111), (9, 0b111111), (None, codes[b"d"])]), key=str)
+
+
+def coded(codes):
+    def batches(it, words):
+        import pyarrow as pa
+
+        for batch in it:
+            yield pa.record_batch([batch.column("id"), pa.array([codes[t] for t in batch.column("text").to_pylist()], type=pa.int64())], names=["id", "code"])
+
+    return batches
