@@ -1,18 +1,25 @@
-"""Near-duplicates beyond the SimHash radius: wider candidates by the Gray-order index, verified on word shingles.
+"""Near-duplicates beyond the SimHash radius: candidates verified on word shingles, complete by an exact set join.
 
 A fingerprint within a few bits finds copies with an odd word changed; texts of similarity 0.8 on five-word shingles are
-often ten bits apart. Candidates of up to `radius` bits come from buckets of two out of eight bytes of the fingerprint: all
-of up to six differing bits, and those of more that leave two bytes alone. In a bucket, texts are taken in order, and each is compared
-with the leaders near it, those before it that had no leader themselves; so a large group costs a few links for each text,
-not its pairs. Verified links make groups, of which the smallest id goes on; rounds with other orders follow until one finds no link.
+often ten bits apart. All links, by fingerprint and by verified similarity, are kept over all ids, and components are those of
+their union. Three searches add links, each only between texts that no link has joined so far:
+  leaders  buckets of two out of eight bytes of the fingerprint; in order, each text with the leaders within `radius` bits
+           before it, those that had no leader themselves. Finds most, at a few links a text
+  stars    texts that share a prefix hash, each with the smallest id that has it
+  all      every pair of texts of different components that shares a prefix hash
+A set's prefix are its rarest hashes, so many that two sets alike by `least` share one, in one order for all sets: how often
+hashes with the same last bits occur, then the hash. So the last search misses no pair. Its pairs can grow with the square of a
+family of texts that share rare hashes and are in different components.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +30,10 @@ from tallymill.operators.components import connected_components
 
 U = np.uint64
 STEP = 512
+#: Counters of the order of hashes; a power of two.
+COUNTERS = 1 << 20
+#: Pairs that a task holds before it sends.
+PAIRS = 1_000_000
 
 
 def leaders(index: GrayIndex, turn: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,22 +125,105 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Dat
     return j.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, least), "a long, b long")
 
 
+def _counts(it, words: int):
+    """How often a task's sets have hashes of the same last bits."""
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in _shingle_sets(it, words):
+        held = b"".join(batch.column("set").to_pylist())
+        total += np.bincount((np.frombuffer(held, dtype=U) & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    cuts = total.astype(np.uint32).reshape(16, -1)
+    yield pa.record_batch([pa.array(range(16), type=pa.int32()), pa.array([c.tobytes() for c in cuts], type=pa.binary())], names=["place", "load"])
+
+
+def _added(key, t):
+    total = sum(np.frombuffer(x.as_buffer(), dtype=np.uint32).astype(np.int64) for x in t.column("load"))
+    return pa.table({"place": pa.array([key[0].as_py()], type=pa.int32()), "load": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], type=pa.binary())})
+
+
+def _prefixes(it, words: int, least: float, often: np.ndarray):
+    """Of each set its size, a digest, and the rarest hashes, of which two sets that are alike share one."""
+    for batch in _shingle_sets(it, words):
+        sizes, digests, heads = [], [], []
+        for x in batch.column("set"):
+            own = np.frombuffer(x.as_buffer(), dtype=U)
+            take = len(own) - math.ceil(least * len(own) - 1e-9) + 1 if len(own) else 0
+            order = np.lexsort((own, often[(own & U(COUNTERS - 1)).astype(np.int64)]))
+            sizes.append(len(own))
+            digests.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+            heads.append(own[order[:take]].tobytes())
+        yield pa.record_batch([batch.column("id"), pa.array(sizes, type=pa.int64()), pa.array(digests, type=pa.int64()), pa.array(heads, type=pa.binary())], names=["id", "size", "digest", "head"])
+
+
+def _dealt(it):
+    for batch in it:
+        heads = batch.column("head").to_pylist()
+        times = np.array([len(h) // 8 for h in heads], dtype=np.int64)
+        token = np.frombuffer(b"".join(heads), dtype=np.int64)
+        yield pa.record_batch([pa.array(token), *[pa.array(np.repeat(batch.column(c).to_numpy(), times)) for c in ("id", "component", "size")]], names=["token", "id", "component", "size"])
+
+
+def _sharing(it, least: float, star: bool):
+    parts = [b for b in it if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts)
+    token, who, group, size = (t.column(c).to_numpy() for c in ("token", "id", "component", "size"))
+    order = np.lexsort((who, token))
+    token, who, group, size = (x[order] for x in (token, who, group, size))
+    first = K.group_starts(token)
+    several = np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first)
+    members = np.diff(np.append(first, len(token)))
+    first, members = first[several], members[several]
+    held, n = [], 0
+    steps = 1 if star else int(members.max(initial=1)) - 1
+    for k in range(1, steps + 1):
+        if star:
+            a, b = K.spread(first, members), np.repeat(first, members)
+        else:
+            some = members > k
+            a = K.spread(first[some], members[some] - k)
+            b = a + k
+        good = (group[a] != group[b]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
+        x, y = who[a[good]], who[b[good]]
+        held.append(np.stack((np.maximum(x, y), np.minimum(x, y))))
+        n += len(x)
+        if n >= PAIRS or k == steps:
+            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
+            yield from pa.table({"a": pairs[0], "b": pairs[1]}).to_batches()
+            held, n = [], 0
+
+
+def sharing_pairs(prefixes: DataFrame, placed: DataFrame, least: float, *, star: bool) -> DataFrame:
+    """(a, b) ids of different components, placed: (id, component), whose prefixes share a hash; star: with its smallest id only.
+
+    Equal sets in one component are taken once.
+    """
+    once = prefixes.select("id", "digest").join(placed, "id").groupBy("component", "digest").agg(F.min("id").alias("id")).select("id", "component")
+    dealt = prefixes.join(once, "id").select("id", "component", "size", "head").mapInArrow(_dealt, "token long, id long, component long, size long")
+    return dealt.repartition(partitions(prefixes.sparkSession), "token").mapInArrow(lambda it: _sharing(it, least, star), "a long, b long").distinct()
+
+
 def kept_ids(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", near: int = 3, radius: int = 12, words: int = 5, least: float = 0.8) -> DataFrame:
     """(id): one document, the smallest id, of each group linked by fingerprints within `near` bits or by verified similarity.
 
     Rows without an id are left out.
     """
-    groups = near_groups(docs, id_column=id_column, text_column=text_column, radius=near)
-    live = cut(groups.where("id = component").select(F.col("id").alias("rep"), "code").dropDuplicates(["rep"]))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text"))
-    seed = 0
-    while True:
-        links = cut(verified(wide_pairs(live, radius, seed), texts, words, least))
-        if not links.limit(1).count():
-            if seed:
-                break
-        else:
-            gone = connected_components(links, "a", "b").where("node != component").select(F.col("node").alias("rep"))
-            live = cut(live.join(gone, "rep", "left_anti"))
-        seed += 1
-    return live.select(F.col("rep").alias("id"))
+    spark = docs.sparkSession
+    groups = near_groups(docs, id_column=id_column, text_column=text_column, radius=near).where("id is not null")
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text")).where("id is not null")
+    rows = cut(groups.select("id", "code", "component"))
+    links = rows.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a != b").distinct()
+
+    def placed() -> DataFrame:
+        found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+        return cut(rows.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+
+    codes = rows.groupBy("code").agg(F.min("id").alias("rep"))
+    links = cut(links.union(verified(wide_pairs(codes, radius, 0), texts, words, least)))
+    # A row of counters for each task, added up in 16 cuts.
+    counted = texts.mapInArrow(lambda it: _counts(it, words), "place int, load binary").groupBy("place").applyInArrow(_added, "place int, load binary")
+    often = np.frombuffer(b"".join(bytes(r.load) for r in sorted(counted.collect())) or bytes(4 * COUNTERS), dtype=np.uint32)
+    prefixes = cut(texts.mapInArrow(lambda it: _prefixes(it, words, least, often), "id long, size long, digest long, head binary"))
+    for star in (True, False):
+        links = cut(links.union(verified(sharing_pairs(prefixes, placed(), least, star=star), texts, words, least)))
+    return placed().where("id = component").select("id")
