@@ -138,10 +138,12 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, node: str, shingles: str,
     return j.withColumn("likeness", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
 
 
-def leakage_groups(df: DataFrame, node: str, text: str, keys: list[str] | None = None, radius: int = 3, threshold: float = 0.82) -> DataFrame:
-    """(node, group, members): records joined by equal normalised texts, verified near texts and shared explicit keys.
+def leakage_groups(df: DataFrame, node: str, text: str, keys: list[str] | None = None, radius: int = 3, threshold: float = 0.82, image: str | None = None, image_radius: int = 5) -> DataFrame:
+    """(node, group, members): records joined by equal normalised texts, verified near texts, shared explicit keys and, with a
+    column of 64-bit image codes, near images; a null code is no image.
 
-    Exact copies and keys give star edges to the smallest row; codes are compared once for each distinct text.
+    Exact copies and keys give star edges to the smallest row; each pair of distinct texts with codes within the radius is
+    verified, so that a group of near copies costs its pairs.
     """
     rows = df.withColumn("norm", T.normalised(F.col(text)))
     exact = key_edges(rows.where("norm != ''"), node, "norm")
@@ -150,6 +152,9 @@ def leakage_groups(df: DataFrame, node: str, text: str, keys: list[str] | None =
     edges = exact.union(verified_pairs(near, once, node, "shingles", threshold).select("a", "b"))
     for k in keys or []:
         edges = edges.union(key_edges(rows.withColumn(k, T.blank_to_null(T.squeezed(F.col(k).cast("string")))), node, k))
+    if image:
+        coded = rows.where(F.col(image).isNotNull())
+        edges = edges.union(key_edges(coded, node, image)).union(hamming_pairs(coded, node, image, image_radius).select("a", "b"))
     cc = connected_components(edges, "a", "b")
     placed = rows.select(node).join(cc.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
     named = placed.groupBy("component").agg(T.group_name(F.collect_list(F.col(node).cast("string"))).alias("group"), F.count("*").alias("members"))
@@ -157,9 +162,13 @@ def leakage_groups(df: DataFrame, node: str, text: str, keys: list[str] | None =
 
 
 def hamming_texts(once: DataFrame, node: str, radius: int) -> DataFrame:
-    """Pairs of texts by code; texts of one code are paired with the code's smallest one."""
-    same = key_edges(once, node, "code")
-    return hamming_pairs(once, node, "code", radius).select("a", "b").union(same)
+    """Each pair of texts with codes within the radius, those of one code too."""
+    low = once.groupBy("code").agg(F.min(node).alias("low"))
+    member = once.join(low, "code").select("low", F.col(node).alias("id"))
+    x, y = member.select(F.col("low").alias("a"), F.col("id").alias("x")), member.select(F.col("low").alias("b"), F.col("id").alias("y"))
+    across = hamming_pairs(once, node, "code", radius).select("a", "b").join(x, "a").join(y, "b")
+    within = x.join(y, F.col("a") == F.col("b")).where("x < y")
+    return across.select("x", "y").union(within.select("x", "y")).toDF("a", "b")
 
 
 # Audits.
