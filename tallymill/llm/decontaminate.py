@@ -237,9 +237,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
     and spans (first word and size of each occurrence). keep_columns: also `rest`, a struct of the input's columns."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")] if keep_columns else []))
     carry = ["id", *(["rest"] if keep_columns else [])]
+    blocks = list(_blocks(benchmark, item_column, item_text, window))
+    if len(blocks) > 1:  # only rows with equal texts are one row to unite
+        rows = rows.withColumn("digest", F.sha2("text", 256))
+        carry.append("digest")
     kind = f", rest {rows.schema['rest'].dataType.simpleString()}" if keep_columns else ""
+    kind += ", digest string" if "digest" in carry else ""
     fields = f"id long{kind}, n_words long, n_hit long, items array<string>, spans array<struct<first:bigint,size:bigint>>"
-    blocks = list(_blocks(benchmark, item_column, item_text, window))
     parts = []
     for b in blocks:
         # As many counts as the block has shingles, whatever the number of documents.
@@ -252,11 +256,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
 
 def _united(parts: list[DataFrame], rows: DataFrame, carry: list[str]) -> DataFrame:
     """Several blocks: spans of all blocks by document row, and the words they cover counted once."""
-    keyed = [p.withColumn("row", F.xxhash64(*[F.col(c).cast("string") if c == "id" else F.to_json(c) for c in carry])) for p in parts]
+    keyed = [p.withColumn("row", F.xxhash64(*[F.to_json(c) if c == "rest" else F.col(c).cast("string") for c in carry])) for p in parts]
     every = keyed[0]
     for k in keyed[1:]:
         every = every.unionByName(k)
-    joined = every.groupBy("row", "id", "n_words").agg(
+    joined = every.groupBy("row", "id", "digest", "n_words").agg(
         *([F.first("rest").alias("rest")] if "rest" in carry else []),
         (F.count("*") / len(parts)).cast("int").alias("copies"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -269,4 +273,4 @@ def _united(parts: list[DataFrame], rows: DataFrame, carry: list[str]) -> DataFr
         lambda a: a["n"],
     )
     out = joined.withColumn("n_hit", reach).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*carry, "n_words", "n_hit", "items", "spans")
+    return out.select(*(c for c in carry if c != "digest"), "n_words", "n_hit", "items", "spans")

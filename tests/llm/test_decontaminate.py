@@ -43,3 +43,10 @@ def test_empty_tables(spark, tricky, empty):
 def test_spans(spark, tricky):
     spans = {r.id: r.spans for r in contamination(tricky, bench(spark, [(1, prose(7, 12))])).collect()}
     assert [(s["first"], s["size"]) for s in spans[10]] == [(0, 12)]
+
+
+def test_rows_of_one_id_and_length_stay_apart_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    docs = [(1, prose(4, 30)), (1, prose(31, 30)), (1, prose(6, 30)), (None, prose(6, 30)), (None, prose(32, 30)), (None, prose(32, 30))]
+    got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench(spark))
+    assert rows(got) == sorted(brute.hits(docs, ITEMS), key=str)
