@@ -116,6 +116,11 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(_WORDS.slices(words, at, at + width))
 
 
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each run of words, of any length."""
+    return mix(_WORDS.slices(words, starts, ends))
+
+
 def same_doc(bounds: np.ndarray, width: int, n: int) -> np.ndarray:
     """Mask over the first n - width + 1 words: the run of width words lies in one text."""
     m = max(0, n - width + 1)

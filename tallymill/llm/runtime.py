@@ -36,6 +36,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's own setting: a query's shuffle files go when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Tables of one job in a folder of its own in the shared folder. Lineage ends in them as in a checkpoint, and the shuffle
+    files behind each go once it is written, so that the disk a job needs is that of its widest step."""
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.path, self.tables = spark, new_path(spark, what), {}
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path, before = f"{self.path}/{len(self.tables)}", self.spark.conf.get(FREE, None)
+        self.spark.conf.set(FREE, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(FREE) if before is None else self.spark.conf.set(FREE, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[path] = out
+        return out
+
+    def clear(self, but: DataFrame | None = None) -> None:
+        """Removes the tables, all but one that a result still reads."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [p for p, t in self.tables.items() if t is not but]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            self.tables[path] = None
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 

@@ -1,21 +1,26 @@
-"""Near-duplicates beyond the SimHash radius: candidates verified on word shingles, complete by an exact set join.
-
-A fingerprint within a few bits finds copies with an odd word changed; texts of similarity 0.8 on five-word shingles are
-often ten bits apart. All links, by fingerprint and by verified similarity, are kept over all ids, and components are those of
-their union. Three searches add links, each only between texts that no link has joined so far:
-  leaders  buckets of two out of eight bytes of the fingerprint; in order, each text with the leaders within `radius` bits
-           before it, those that had no leader themselves. Finds most, at a few links a text
-  stars    texts that share a prefix hash, each with the smallest id that has it
-  all      every pair of texts of different components that shares a prefix hash
-A set's prefix are its rarest hashes, so many that two sets alike by `least` share one, in one order for all sets: how often
-hashes with the same last bits occur, then the hash. So the last search misses no pair. Its pairs can grow with the square of a
-family of texts that share rare hashes and are in different components.
+"""Near-duplicates by fingerprint and by verified similarity of shingle sets, complete over all pairs of different texts.
+
+A fingerprint within a few bits finds copies with an odd word changed; texts of similarity 0.8 on five-word shingles are often
+ten bits apart. So the links of the SimHash index are joined by an exact set join, and components are those of all links.
+
+A form is what texts of equal words have in common: a fingerprint and a set of shingles. Forms, not ids, are the nodes, so rows
+that repeat an id with another text are judged by their text.
+  prefix   the rarest hashes of a set, so many that two sets alike by `least` share one, in one order for all sets: how often
+           hashes with the same last bits occur, then the hash
+  stars    in each shared prefix hash, every form with one of the first and one of the last component there
+  pairs    after those links, all forms of different components that share a prefix hash
+Sizes, and the places of the shared hash in both prefixes, bound the overlap; what passes is verified on the whole sets. The
+last search misses no pair, and families of near copies are one component by then. Its work grows with the square of a family
+only where many texts of one size share their rarest hashes and stars have not linked them.
+
+Results in special cases: a null text is empty; texts without words have fingerprint zero and are linked to each other; a text
+of fewer words than a shingle is its own shingle; rows without an id are copies of nothing and all stay; of rows equal in id
+and text one stays, the one whose columns hash lowest; empty tables give empty results; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,113 +29,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import kernels as K
-from tallymill.llm.runtime import cut, partitions, text_bytes
-from tallymill.llm.simhash import GrayIndex, near_groups
+from tallymill.llm.runtime import Scratch, text_bytes
+from tallymill.llm.simhash import fingerprints, near_links
 from tallymill.operators.components import connected_components
 
 U = np.uint64
-STEP = 512
 #: Counters of the order of hashes; a power of two.
 COUNTERS = 1 << 20
-#: Pairs that a task holds before it sends.
-PAIRS = 1_000_000
-
-
-def leaders(index: GrayIndex, turn: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(follower, leader) pairs of positions in the index; turn: positions in the order in which they are taken.
-
-    A position that is near no leader becomes one and finds all that are near it.
-    """
-    code, root = index.codes, index.root
-    near_one = np.zeros(len(code), dtype=bool)
-    found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))]
-    for lo in range(0, len(turn), STEP):
-        part = turn[lo : lo + STEP]
-        free = part[~near_one[part]]
-        both = (np.bitwise_count(code[free][:, None] ^ code[free][None, :]) <= radius) & (root[free][:, None] == root[free][None, :])
-        mine = np.zeros(len(free), dtype=bool)
-        for i in range(len(free)):
-            mine[i] = not (both[i] & mine).any()
-        q = free[mine]
-        node, spent = root[q], np.zeros(len(q), dtype=np.int64)
-        for k in range(len(index.levels) - 1, -1, -1):
-            first, count, _, pattern, own = index.levels[k]
-            spent = spent + np.bitwise_count((code[q] ^ pattern[node]) & own[node])
-            go = spent <= radius
-            q, node, spent = q[go], node[go], spent[go]
-            kids = count[node]
-            q, spent, node = np.repeat(q, kids), np.repeat(spent, kids), K.spread(first[node], kids)
-        near = (node != q) & (np.bitwise_count(code[q] ^ code[node]) <= radius)
-        found.append((node[near], q[near]))
-        near_one[node[near]] = True
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
-
-
-def _search(it, radius: int, seed: int):
-    parts = [b for b in it if b.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    rep, code, bucket = (t.column(c).to_numpy() for c in ("rep", "code", "bucket"))
-    order = np.argsort(bucket, kind="stable")
-    first = K.group_starts(bucket[order])
-    size = np.diff(np.append(first, len(order)))
-    order = order[np.repeat(size > 1, size)]
-    if not len(order):
-        return
-    index = GrayIndex(bucket[order], code[order].view(U))
-    who = rep[order][index.order]
-    rank = who if seed == 0 else K.mix(who.view(U) + U(seed))
-    a, b = leaders(index, np.argsort(rank, kind="stable"), radius)
-    pairs = np.unique(np.stack((who[a], who[b])), axis=1) if len(a) else np.empty((2, 0), dtype=np.int64)
-    yield from pa.table({"a": pairs[0], "b": pairs[1]}).to_batches()
-
-
-def wide_pairs(codes: DataFrame, radius: int, seed: int) -> DataFrame:
-    """(a, b) candidates among rows (rep long, code long)."""
-    byte = lambda i: F.shiftrightunsigned("code", 8 * i).bitwiseAND(F.lit(255))
-    buckets = F.array(*[F.xxhash64(F.lit(8 * i + j), byte(i), byte(j)) for i, j in combinations(range(8), 2)])
-    dealt = codes.select("rep", "code", F.explode(buckets).alias("bucket"))
-    return dealt.repartition(partitions(codes.sparkSession), "bucket").mapInArrow(lambda it: _search(it, radius, seed), "a long, b long").distinct()
-
-
-def _shingle_sets(it, words: int):
-    for batch in it:
-        texts, blobs = batch.column("text").to_pylist(), []
-        for lo, hi in K.batches([len(t) for t in texts]):
-            w = K.Words(texts[lo:hi])
-            h = w.hashes(fold=True)
-            win = K.window_hashes(h, words)
-            for a, b in zip(w.bounds, w.bounds[1:], strict=False):
-                own = win[a : b - words + 1] if b - a >= words else K.mix(h[a:b].cumsum(dtype=U)[-1:])
-                blobs.append(np.unique(own).tobytes())
-        yield pa.record_batch([batch.column("id"), pa.array(blobs, type=pa.binary())], names=["id", "set"])
 
 
-def _alike(it, least: float):
-    for batch in it:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            s, t = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
-            both = len(np.intersect1d(s, t, assume_unique=True)) if min(len(s), len(t)) >= least * max(len(s), len(t)) else 0
-            keep.append(both >= least * (len(s) + len(t) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+def _shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes."""
+    out = []
+    for lo, hi in K.batches([len(t) for t in texts]):
+        w = K.Words(texts[lo:hi])
+        h = w.hashes(fold=True)
+        win = K.window_hashes(h, words)
+        first, end = w.bounds[:-1], w.bounds[1:]
+        brief = np.flatnonzero((end > first) & (end - first < words))
+        whole = dict(zip(brief.tolist(), K.sequence_hashes(h, first[brief], end[brief]), strict=True))
+        for i, (a, b) in enumerate(zip(first, end, strict=True)):
+            out.append(np.unique(win[a : b - words + 1]) if b - a >= words else np.array([whole[i]] if i in whole else [], dtype=U))
+    return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs of ids whose texts' shingle sets are that alike; docs: (id, text), of repeated ids the first set."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(docs.join(needed, "id", "left_semi").mapInArrow(lambda it: _shingle_sets(it, words), "id long, set binary").dropDuplicates(["id"]))
-    j = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return j.select("a", "b", "x", "y").mapInArrow(lambda it: _alike(it, least), "a long, b long")
-
-
-def _counts(it, words: int):
-    """How often a task's sets have hashes of the same last bits."""
+def _loads(it, words: int):
+    """How often a task's shingle hashes have the same last bits."""
     total = np.zeros(COUNTERS, dtype=np.int64)
-    for batch in _shingle_sets(it, words):
-        held = b"".join(batch.column("set").to_pylist())
-        total += np.bincount((np.frombuffer(held, dtype=U) & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    for batch in it:
+        texts = batch.column("text").to_pylist()
+        for lo, hi in K.batches([len(t) for t in texts]):
+            w = K.Words(texts[lo:hi])
+            win = K.window_hashes(w.hashes(fold=True), words)[K.same_doc(w.bounds, words, len(w))]
+            total += np.bincount((win & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
     cuts = total.astype(np.uint32).reshape(16, -1)
     yield pa.record_batch([pa.array(range(16), type=pa.int32()), pa.array([c.tobytes() for c in cuts], type=pa.binary())], names=["place", "load"])
 
@@ -140,90 +71,120 @@ def _added(key, t):
     return pa.table({"place": pa.array([key[0].as_py()], type=pa.int32()), "load": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], type=pa.binary())})
 
 
-def _prefixes(it, words: int, least: float, often: np.ndarray):
-    """Of each set its size, a digest, and the rarest hashes, of which two sets that are alike share one."""
-    for batch in _shingle_sets(it, words):
-        sizes, digests, heads = [], [], []
-        for x in batch.column("set"):
-            own = np.frombuffer(x.as_buffer(), dtype=U)
+def shingle_loads(texts: DataFrame, words: int) -> np.ndarray:
+    """The counters over all texts: a row of them for each task, added up in 16 cuts of fixed size."""
+    rows = texts.select("text").mapInArrow(lambda it: _loads(it, words), "place int, load binary").groupBy("place").applyInArrow(_added, "place int, load binary")
+    return np.frombuffer(b"".join(bytes(r.load) for r in sorted(rows.collect())) or bytes(4 * COUNTERS), dtype=np.uint32)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    edge = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    values = np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(edge), pa.array(values, type=pa.int64()))
+
+
+def _forms(it, words: int, least: float, often: np.ndarray):
+    for batch in it:
+        texts = batch.column("text").to_pylist()
+        sizes, same, heads = [], [], []
+        for own in _shingles(texts, words):
             take = len(own) - math.ceil(least * len(own) - 1e-9) + 1 if len(own) else 0
             order = np.lexsort((own, often[(own & U(COUNTERS - 1)).astype(np.int64)]))
             sizes.append(len(own))
-            digests.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
-            heads.append(own[order[:take]].tobytes())
-        yield pa.record_batch([batch.column("id"), pa.array(sizes, type=pa.int64()), pa.array(digests, type=pa.int64()), pa.array(heads, type=pa.binary())], names=["id", "size", "digest", "head"])
+            same.append(xxhash.xxh3_128_digest(own.tobytes()))
+            heads.append(own[order[:take]])
+        codes = pa.array(fingerprints(texts).view(np.int64))
+        yield pa.record_batch([batch.column("id"), batch.column("digest"), codes, pa.array(same, type=pa.binary()), pa.array(sizes, type=pa.int64()), _lists(heads)], names=["id", "digest", "code", "same", "size", "head"])
 
 
-def _dealt(it):
+def _sets(it, words: int):
     for batch in it:
-        heads = batch.column("head").to_pylist()
-        times = np.array([len(h) // 8 for h in heads], dtype=np.int64)
-        token = np.frombuffer(b"".join(heads), dtype=np.int64)
-        yield pa.record_batch([pa.array(token), *[pa.array(np.repeat(batch.column(c).to_numpy(), times)) for c in ("id", "component", "size")]], names=["token", "id", "component", "size"])
-
-
-def _sharing(it, least: float, star: bool):
-    parts = [b for b in it if b.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    token, who, group, size = (t.column(c).to_numpy() for c in ("token", "id", "component", "size"))
-    order = np.lexsort((who, token))
-    token, who, group, size = (x[order] for x in (token, who, group, size))
-    first = K.group_starts(token)
-    several = np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first)
-    members = np.diff(np.append(first, len(token)))
-    first, members = first[several], members[several]
-    held, n = [], 0
-    steps = 1 if star else int(members.max(initial=1)) - 1
-    for k in range(1, steps + 1):
-        if star:
-            a, b = K.spread(first, members), np.repeat(first, members)
-        else:
-            some = members > k
-            a = K.spread(first[some], members[some] - k)
-            b = a + k
-        good = (group[a] != group[b]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
-        x, y = who[a[good]], who[b[good]]
-        held.append(np.stack((np.maximum(x, y), np.minimum(x, y))))
-        n += len(x)
-        if n >= PAIRS or k == steps:
-            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
-            yield from pa.table({"a": pairs[0], "b": pairs[1]}).to_batches()
-            held, n = [], 0
-
-
-def sharing_pairs(prefixes: DataFrame, placed: DataFrame, least: float, *, star: bool) -> DataFrame:
-    """(a, b) ids of different components, placed: (id, component), whose prefixes share a hash; star: with its smallest id only.
-
-    Equal sets in one component are taken once.
-    """
-    once = prefixes.select("id", "digest").join(placed, "id").groupBy("component", "digest").agg(F.min("id").alias("id")).select("id", "component")
-    dealt = prefixes.join(once, "id").select("id", "component", "size", "head").mapInArrow(_dealt, "token long, id long, component long, size long")
-    return dealt.repartition(partitions(prefixes.sparkSession), "token").mapInArrow(lambda it: _sharing(it, least, star), "a long, b long").distinct()
-
-
-def kept_ids(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", near: int = 3, radius: int = 12, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(id): one document, the smallest id, of each group linked by fingerprints within `near` bits or by verified similarity.
-
-    Rows without an id are left out.
-    """
-    spark = docs.sparkSession
-    groups = near_groups(docs, id_column=id_column, text_column=text_column, radius=near).where("id is not null")
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text")).where("id is not null")
-    rows = cut(groups.select("id", "code", "component"))
-    links = rows.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a != b").distinct()
-
-    def placed() -> DataFrame:
-        found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-        return cut(rows.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
-
-    codes = rows.groupBy("code").agg(F.min("id").alias("rep"))
-    links = cut(links.union(verified(wide_pairs(codes, radius, 0), texts, words, least)))
-    # A row of counters for each task, added up in 16 cuts.
-    counted = texts.mapInArrow(lambda it: _counts(it, words), "place int, load binary").groupBy("place").applyInArrow(_added, "place int, load binary")
-    often = np.frombuffer(b"".join(bytes(r.load) for r in sorted(counted.collect())) or bytes(4 * COUNTERS), dtype=np.uint32)
-    prefixes = cut(texts.mapInArrow(lambda it: _prefixes(it, words, least, often), "id long, size long, digest long, head binary"))
-    for star in (True, False):
-        links = cut(links.union(verified(sharing_pairs(prefixes, placed(), least, star=star), texts, words, least)))
-    return placed().where("id = component").select("id")
+        yield pa.record_batch([batch.column("node"), _lists(_shingles(batch.column("text").to_pylist(), words))], names=["node", "shingles"])
+
+
+def _star(forms: DataFrame, key: str) -> DataFrame:
+    """(a, b): each form and the first of those with the same key."""
+    low = forms.groupBy(key).agg(F.min("node").alias("b"))
+    return forms.select("node", key).join(low, key).where("node != b").select(F.col("node").alias("a"), "b")
+
+
+def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (a, b)."""
+    ends = links.join(placed.toDF("a", "x"), "a").join(placed.toDF("b", "y"), "b").where("x != y").select("x", "y").distinct()
+    found = connected_components(ends, "x", "y").toDF("component", "into")
+    return placed.join(found, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+
+
+def _may_be_alike(least: float, size_a: str, pos_a: str, size_b: str, pos_b: str) -> F.Column:
+    """Bounds by the sizes, and by what can follow a hash that is at these places of both sets."""
+    a, b = F.col(size_a), F.col(size_b)
+    return (F.least(a, b) >= least * F.greatest(a, b) - 1e-9) & (F.least(a - F.col(pos_a), b - F.col(pos_b)) >= least / (1 + least) * (a + b) - 1e-6)
+
+
+def star_pairs(meeting: DataFrame, least: float) -> DataFrame:
+    """(a, b): in each hash that forms of several components share, each form with its first or last of another component."""
+    one = F.struct("component", "node", "size", "pos")
+    ends = meeting.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.component != high.component")
+    both = meeting.join(ends, "token").select("node", "component", "size", "pos", F.explode(F.array("low", "high")).alias("end"))
+    good = both.where(F.col("component") != F.col("end.component")).where(_may_be_alike(least, "size", "pos", "end.size", "end.pos"))
+    return good.select(F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b")).distinct()
+
+
+def all_pairs(meeting: DataFrame, least: float) -> DataFrame:
+    """(a, b): forms of different components that share a hash and may be alike. Sizes fall into classes so wide that a form's
+    partners are in its own or the next."""
+    several = meeting.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
+    met = meeting.join(several, "token", "left_semi").withColumn("class", F.floor(F.log("size") / -math.log(least) + 1e-9))
+    small = met.select("token", F.explode(F.array("class", F.col("class") + 1)).alias("class"), *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "size", "pos")])
+    large = met.select("token", "class", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "size", "pos")])
+    order = F.expr("component_a != component_b and (size_a < size_b or size_a = size_b and node_a < node_b)")
+    found = small.join(large, ["token", "class"]).where(order & _may_be_alike(least, "size_a", "pos_a", "size_b", "pos_b"))
+    return found.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, forms: DataFrame, texts: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
+    """The pairs of forms whose whole shingle sets are that alike; texts: (id, digest, text)."""
+    pairs = scratch.save(pairs)
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(forms.select("node", "id", "digest"), "node")
+    own = texts.join(needed, ["id", "digest"]).groupBy("node").agg(F.first("text").alias("text"))
+    sets = scratch.save(own.mapInArrow(lambda it: _sets(it, words), "node long, shingles array<long>"))
+    j = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return scratch.save(j.where(both >= least * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+
+
+def near_forms(texts: DataFrame, scratch: Scratch, *, near: int = 3, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, digest, component) of one row for each form of texts (id, digest, text): its smallest id, and digest for that id."""
+    often = shingle_loads(texts, words)
+    rows = texts.mapInArrow(lambda it: _forms(it, words, least, often), "id long, digest long, code long, same binary, size long, head array<long>")
+    once = rows.groupBy("code", "same").agg(F.min(F.struct("id", "digest")).alias("low"), F.first("size").alias("size"), F.first("head").alias("head"))
+    forms = scratch.save(once.select(F.monotonically_increasing_id().alias("node"), "low.*", "code", "same", "size", "head"))
+
+    codes = forms.select("code").distinct().select(F.col("code").alias("rep"), "code")
+    found = connected_components(scratch.save(near_links(codes, near)), "a", "b").toDF("code", "found")
+    rooted = forms.select("node", "code", "same").join(found, "code", "left").select("node", "same", F.coalesce("found", "code").alias("root"))
+    alone = forms.select("node", F.col("node").alias("component"))
+    placed = scratch.save(_merged(alone, _star(rooted, "root").union(_star(rooted, "same"))))
+
+    entries = forms.select("node", "size", F.posexplode("head").alias("pos", "token"))
+    shared = entries.groupBy("token").count().where("count > 1").select("token")
+    meeting = scratch.save(entries.join(shared, "token", "left_semi"))
+    for search in (star_pairs, all_pairs):
+        links = verified(search(meeting.join(placed, "node"), least), forms, texts, words, least, scratch)
+        placed = scratch.save(_merged(placed, links))
+    return forms.select("node", "id", "digest").join(placed, "node").select("id", "digest", "component")
+
+
+def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", near: int = 3, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs that stay: one of each group linked by fingerprints within `near` bits or by similarity of `least`, the
+    one with the smallest id, then text hash; and all rows without an id."""
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    body = text_bytes(F.col(text_column))
+    keyed = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.xxhash64(body).alias("digest"), body.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
+    texts = keyed.select("id", "digest", "text")
+    forms = near_forms(texts, scratch, near=near, words=words, least=least)
+    kept = scratch.save(forms.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("low")).select("low.*"))
+    scratch.clear(but=kept)
+    plain = [F.col(f"rest.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    out = keyed.select("id", "digest", "rest").join(kept, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.min_by("rest", F.xxhash64(*plain)).alias("rest"))
+    return out.select("rest.*").unionByName(docs.where(F.col(id_column).isNull()))

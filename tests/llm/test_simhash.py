@@ -58,7 +58,8 @@ def test_index_finds_every_link(seed, monkeypatch):
     b = np.random.default_rng(seed).integers(0, 3, len(c))
     index = GrayIndex(b, c)
     label, own = index.links(3), b[index.order]
-    codes = [(i, (int(own[i]) << 64 + 8) | int(index.codes[i])) for i in range(len(c))]
+    # Buckets are told apart by so many bits that no link crosses them.
+    codes = [(i, ((1 << 8 * int(own[i])) - 1) << 64 | int(index.codes[i])) for i in range(len(c))]
     assert [x[2] for x in brute.components(codes)] == label.tolist()
 
 

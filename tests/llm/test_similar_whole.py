@@ -3,7 +3,7 @@ import numpy as np
 from conftest import prose
 from test_similar import likeness
 
-from tallymill.llm.similar import kept_ids
+from tallymill.llm.similar import keep_one
 
 
 def edited(text, edits, rng):
@@ -43,5 +43,5 @@ def test_kept_are_those_of_all_links(spark):
         page = edited(template, 14, rng)
         texts += [page, edited(page, 5, rng)]
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
-    kept = [r.id for r in kept_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    kept = [r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(kept) == len(set(kept)) and set(kept) == whole(rows)
