@@ -2,7 +2,7 @@
 
 All stages but the last return the columns of documents. Special cases, in every stage: a null text counts as empty and stays
 null; an empty text, which is neither toxic nor contaminated, is a near-duplicate of other empty texts; a null doc_id is
-never a copy of another row, so it stays; of rows that repeat a doc_id the near-dedup keeps one at most; empty tables give
+never a copy of another row, so it stays; rows that repeat a doc_id are judged by their texts; empty tables give
 empty results; columns beyond those of documents pass through.
 """
 
@@ -16,7 +16,7 @@ from tallymill.llm.decontaminate import contamination
 from tallymill.llm.packing import pack_documents
 from tallymill.llm.queries import toxicity_chain
 from tallymill.llm.runtime import new_path, table
-from tallymill.llm.similar import kept_ids
+from tallymill.llm.similar import keep_one
 from tallymill.llm.substring import remove_repeats
 
 
@@ -28,15 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id: fingerprints within three bits, or wider
-    candidates whose five-word shingles are alike by 0.8 or more."""
-    keys = kept_ids(docs).select(F.col("id").alias("doc_id"))
-    ids = docs.where("doc_id is not null").select("doc_id")
-    repeats = ids.join(keys, "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.where("doc_id is not null").join(keys, "doc_id", "left_semi")
-    if repeats:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates: fingerprints within three bits, or five-word shingles alike by 0.8."""
+    return keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
