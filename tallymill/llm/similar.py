@@ -160,11 +160,10 @@ def near_forms(texts: DataFrame, scratch: Scratch, *, near: int = 3, words: int
     once = rows.groupBy("code", "same").agg(F.min(F.struct("id", "digest")).alias("low"), F.first("size").alias("size"), F.first("head").alias("head"))
     forms = scratch.save(once.select(F.monotonically_increasing_id().alias("node"), "low.*", "code", "same", "size", "head"))
 
-    codes = forms.select("code").distinct().select(F.col("code").alias("rep"), "code")
-    found = connected_components(scratch.save(near_links(codes, near)), "a", "b").toDF("code", "found")
-    rooted = forms.select("node", "code", "same").join(found, "code", "left").select("node", "same", F.coalesce("found", "code").alias("root"))
-    alone = forms.select("node", F.col("node").alias("component"))
-    placed = scratch.save(_merged(alone, _star(rooted, "root").union(_star(rooted, "same"))))
+    coded = forms.groupBy("code").agg(F.min("node").alias("rep"))
+    links = near_links(coded.select("rep", "code"), near).union(_star(forms, "code")).union(_star(forms, "same"))
+    found = connected_components(scratch.save(links), "a", "b").toDF("node", "component")
+    placed = scratch.save(forms.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
     entries = forms.select("node", "size", F.posexplode("head").alias("pos", "token"))
     shared = entries.groupBy("token").count().where("count > 1").select("token")
