@@ -15,6 +15,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Edges that one task takes: a small graph costs few tasks, whatever the session's shuffle width.
+TASK_EDGES = 200_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
@@ -34,12 +38,13 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     )
     before = _state(e)
     while before[0]:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tasks = -(-before[0] // TASK_EDGES)
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").coalesce(tasks).distinct().coalesce(tasks)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = small.union(least.select("a", F.col("m").alias("b"))).distinct().checkpoint(eager=True)
+        e = small.union(least.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct().coalesce(tasks).checkpoint(eager=True)
         after = _state(e)
         if after == before:
             break
