@@ -11,11 +11,13 @@ number (with fewer, all). Everything else, above all scoring, covers every row.
 
 Results in special cases: a null label leaves a row out of that category's training only; a label with one class gives its share (smoothed) as
 probability; rows with a null id are scored but never trained on; a null text is empty and gets the intercept; a repeated
-label row trains as often as it occurs.
+label row trains as often as it occurs; ties in the sample's order go by labels, then features; texts of any length count
+whole, in training as in scoring; empty tables give a model that says one half, and no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,33 +40,24 @@ FOLDS = 3
 FALSE_ALARMS, LEAST_REJECT, MOST_REJECT = 0.002, 0.05, 0.5
 
 
-def word_features(w: K.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, feature): features of the words at these positions; word numbers count through `at`."""
+def word_features(w: K.Words, at: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature): features of the words at these positions, whose hashes are whole; word numbers count through `at`."""
     table = K._FOLDED[w.buf]
     s, e = w.starts[at], w.ends[at]
-    long = e - s > K.LONG_WORD
-    e = np.where(long, s + K.LONG_WORD, e)
-    word, feature = [], []
-
-    def add(who: np.ndarray, a: np.ndarray, b: np.ndarray, kind: int) -> None:
-        h = K.mix(K._BYTES.slices(table, a, b) + U(kind << 56) + (b - a).astype(U))
-        word.append(who)
-        feature.append((h >> U(64 - BITS)).astype(np.int64))
-
-    every = np.arange(len(at))
-    add(every, s, e, 0)
+    word, feature = [np.arange(len(at))], [(K.mix(whole) >> U(64 - BITS)).astype(np.int64)]
     for n in HEADS:
         has = np.flatnonzero(e - s >= n)
-        add(has, s[has], s[has] + n, 1)
+        h = K.mix(K._BYTES.slices(table, s[has], s[has] + n) + U((1 << 56) + n))
+        word.append(has)
+        feature.append((h >> U(64 - BITS)).astype(np.int64))
     return np.concatenate(word), np.concatenate(feature)
 
 
-def distinct_words(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the batch's distinct words; (text, number) of each text's distinct words."""
-    h = w.hashes(fold=True)
-    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+def distinct_words(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the batch's distinct words; (text, number) of each text's distinct words."""
+    h, first, number = np.unique(w.hashes(fold=True), return_index=True, return_inverse=True)
     pair = np.unique(w.doc_of() * max(1, len(first)) + number)
-    return first, pair // max(1, len(first)), pair % max(1, len(first))
+    return first, h, pair // max(1, len(first)), pair % max(1, len(first))
 
 
 def _features(it):
@@ -73,17 +66,20 @@ def _features(it):
         texts, blobs = batch.column("text").to_pylist(), []
         for lo, hi in K.batches([len(t) for t in texts]):
             w = K.Words(texts[lo:hi])
-            at, text, number = distinct_words(w)
-            who, feature = word_features(w, at)
+            at, whole, text, number = distinct_words(w)
+            who, feature = word_features(w, at, whole)
             order = np.argsort(who, kind="stable")
             feature, count = feature[order], np.bincount(who, minlength=len(at))
             first = np.concatenate(([0], np.cumsum(count)))[:-1]
             doc = np.repeat(text, count[number])
             own = feature[K.spread(first[number], count[number])]
             key, n = np.unique(doc << BITS | own, return_counts=True)
+            # A count is a byte; a larger one goes on in further entries of the same feature.
+            more = -(-n // 255)
+            key, n = np.repeat(key, more), np.minimum(255, np.repeat(n, more) - 255 * K.spread(np.zeros(len(n), dtype=np.int64), more))
             edge = np.searchsorted(key, np.arange(hi - lo + 1) << BITS)
             for a, b in zip(edge, edge[1:], strict=False):
-                blobs.append((key[a:b] & ((1 << BITS) - 1)).astype("<u4").tobytes() + np.minimum(n[a:b], 255).astype(np.uint8).tobytes())
+                blobs.append((key[a:b] & ((1 << BITS) - 1)).astype("<u4").tobytes() + n[a:b].astype(np.uint8).tobytes())
         yield pa.record_batch([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(blobs, type=pa.binary())], names=[*(c for c in batch.schema.names if c != "text"), "features"])
 
 
@@ -243,13 +239,28 @@ def train(docs: DataFrame, labels: DataFrame, *, categories: dict[str, F.Column]
     # The sample's ids, at most `sample` short rows, go to where the texts are. Repeated document ids can add rows, so the
     # bound is set again on the features.
     found = texts.join(F.broadcast(marks), "id").select("id", *names, "text")
-    got = found.mapInArrow(_features, f"id long, {kinds}, features binary").orderBy(F.xxhash64("id"), "id", *names, "features").limit(sample).toArrow()
+    rows = found.mapInArrow(_features, f"id long, {kinds}, features binary").orderBy(F.xxhash64("id"), "id", *names, "features").limit(sample)
+    # One task fits the bounded sample; only the chain comes back.
+    order = tuple(categories)
+    fitted = rows.mapInArrow(lambda it: _fit(it, names, order), "chain binary").collect()
+    return pickle.loads(fitted[0].chain) if fitted else _fitted(pa.table({}), [], order)
+
+
+def _fitted(got: pa.Table, names: list[str], categories: tuple[str, ...]) -> Chain:
+    if not got.num_rows:
+        return fit_chain(Rows(np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32), np.empty(0, dtype=np.uint8)), [np.empty(0, dtype=np.int64) for _ in categories], categories, np.empty(0, dtype=np.int64))
     rows = _unpacked(got.column("features"))
     ids = got.column("id").to_numpy()
     folds = (K.mix(ids.astype(np.int64).view(U)) % U(FOLDS)).astype(np.int64)
     marked = [got.column(n).fill_null(-1).to_numpy().astype(np.int64) for n in names]
     del got  # the packed copy
-    return fit_chain(rows, marked, tuple(categories), folds)
+    return fit_chain(rows, marked, categories, folds)
+
+
+def _fit(it, names: list[str], categories: tuple[str, ...]):
+    parts = list(it)
+    if parts:
+        yield pa.record_batch([pa.array([pickle.dumps(_fitted(pa.Table.from_batches(parts), names, categories))], type=pa.binary())], names=["chain"])
 
 
 def _margins(chain: Chain, texts: list[bytes]) -> list[np.ndarray]:
@@ -258,8 +269,8 @@ def _margins(chain: Chain, texts: list[bytes]) -> list[np.ndarray]:
         w = K.Words(texts[lo:hi])
         if not len(w):
             continue
-        at, text, number = distinct_words(w)
-        who, feature = word_features(w, at)
+        at, whole, text, number = distinct_words(w)
+        who, feature = word_features(w, at, whole)
         for m, o in zip(chain.models, out, strict=True):
             score = np.bincount(who, weights=m.weights[feature], minlength=len(at))
             o[lo:hi] = np.bincount(text, weights=score[number], minlength=hi - lo)
