@@ -15,13 +15,17 @@ All counts cover every training text and grow with the input. What follows a con
 context's count without what follows it twice or more. With least=2 the single ones are counted but not stored, and their
 whole mass goes to the lower order, as if their discount were 1.
 
-Identity: a word is 48 bits of its hash, the first word of a bigram or trigram 32 bits within the rest. Of a bigram's or
+Shards are counted in PASSES turns over the texts, so that the trigrams under way at once are a part of all; their partial
+sums wait in scratch tables for the second exchange.
+
+Identity: a word is 63 bits of its hash, the first word of a bigram or trigram 48 bits within the rest. Of a bigram's or
 trigram's hash a shard keeps 40 bits beyond those that find its bucket of some 16.
 
 The shared folder must be a file system that workers can map (file:); others raise an error.
 
 Results in special cases: a null text is empty and has one token, its end; a null id counts as the empty id text; rows
-that repeat are trained on as often as they occur; without training texts every token has probability one.
+that repeat are trained on as often as they occur; texts of any length count whole; without training texts, as in an empty
+table, every token has probability one; only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import os
 import re
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import kernels as K
-from tallymill.llm.runtime import new_path, pack, partitions, text_bytes, unpack
+from tallymill.llm.runtime import Scratch, new_path, pack, partitions, text_bytes, unpack
 
 U = np.uint64
 START, END = U(1), U(2)
-WORD_BITS, FIRST_BITS = U((1 << 48) - 1), U((1 << 32) - 1)
+FIRST_BITS, LOW_BITS = U((1 << 48) - 1), U((1 << 32) - 1)
+#: Turns in which shards are counted.
+PASSES = 2
 #: Tokens that a task counts together before it sends.
 FLUSH = 2_500_000
 WORDS, CONTEXTS, STATS = 0, 1, 2
@@ -114,7 +121,7 @@ def _save_ngrams(path: str, keys: np.ndarray, columns: list[np.ndarray]) -> None
     bits = max(1, (len(keys) // 16).bit_length())
     starts = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U)).astype(np.uint32)
     rest = keys << U(bits) >> U(24)
-    _save(path, starts, (rest & FIRST_BITS).astype(np.uint32), (rest >> U(32)).astype(np.uint8), *_columns(columns))
+    _save(path, starts, (rest & LOW_BITS).astype(np.uint32), (rest >> U(32)).astype(np.uint8), *_columns(columns))
 
 
 class Table:
@@ -180,7 +187,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(int(bounds[-1]), dtype=U)
     ends = np.zeros(len(out), dtype=bool)
     ends[bounds[1:] - 1] = True
-    out[~ends] = w.hashes(fold=True) & WORD_BITS | U(4)
+    out[~ends] = w.hashes(fold=True) | U(4)
     out[ends] = END
     return out, bounds
 
@@ -209,20 +216,19 @@ def _grouped(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.
 
 
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (x & FIRST_BITS).astype(np.uint32), (x >> U(32)).astype(np.uint16)
+    return (x & LOW_BITS).astype(np.uint32), (x >> U(32)).astype(np.uint16)
 
 
 def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(U) | high.astype(U) << U(32)
 
 
-_TRIPLE = (np.uint32, np.uint16, np.uint32, np.uint32, np.uint16, np.uint32, np.uint32, np.uint32)
+_TRIPLE = (U, np.uint32, U, np.uint32, np.uint32, np.uint16, np.uint32)
 
 
-def _send_trigrams(layout: Layout, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-    shard = layout.pair_shard(b, c).astype(np.int32)
-    (shard, b, c, a), (n,) = _grouped([shard, b, c, (a & FIRST_BITS).astype(np.uint32)], [np.ones(len(a), dtype=np.int64)])
+def _send_trigrams(parts: list[tuple[np.ndarray, ...]]):
+    shard, a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    (shard, b, c, a), (n,) = _grouped([shard, b, c, a & FIRST_BITS], [np.ones(len(a), dtype=np.int64)])
     rows = []
     for lo, hi in K.runs(shard):
         # Runs: contexts, their last words, the words before with their counts.
@@ -231,7 +237,7 @@ def _send_trigrams(layout: Layout, parts: list[tuple[np.ndarray, np.ndarray, np.
         new_y = new_x | np.concatenate(([True], y[1:] != y[:-1]))
         pair = np.flatnonzero(new_y)
         first = np.flatnonzero(new_x[pair])
-        load = pack(*_halves(x[pair[first]]), np.diff(np.append(first, len(pair))).astype(np.uint32), *_halves(y[pair]), np.diff(np.append(pair, hi - lo)).astype(np.uint32), a[lo:hi], n[lo:hi].astype(np.uint32))
+        load = pack(x[pair[first]], np.diff(np.append(first, len(pair))).astype(np.uint32), y[pair], np.diff(np.append(pair, hi - lo)).astype(np.uint32), *_halves(a[lo:hi]), n[lo:hi].astype(np.uint32))
         rows.append((int(shard[lo]), 0, load))
     yield _batch(rows)
 
@@ -240,19 +246,23 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch({"to": pa.array([r[0] for r in rows], type=pa.int32()), "kind": pa.array([r[1] for r in rows], type=pa.int32()), "load": pa.array([r[2] for r in rows], type=pa.binary())})
 
 
-def _count(it, layout: Layout):
+def _count(it, layout: Layout, turn: int):
+    """The trigrams of the shards whose turn it is."""
     held, size = [], 0
     for batch in it:
         texts = batch.column("text").to_pylist()
         for lo, hi in K.batches([len(t) for t in texts]):
             t, bounds = tokens(texts[lo:hi])
-            held.append((*_before(t, bounds), t))
-            size += len(t)
+            two, one = _before(t, bounds)
+            shard = layout.pair_shard(one, t).astype(np.int32)
+            now = shard % PASSES == turn
+            held.append(tuple(x[now] for x in (shard, two, one, t)))
+            size += len(held[-1][0])
             if size >= FLUSH:
-                yield from _send_trigrams(layout, held)
+                yield from _send_trigrams(held)
                 held, size = [], 0
-    if held:
-        yield from _send_trigrams(layout, held)
+    if size:
+        yield from _send_trigrams(held)
 
 
 def _of_counts(n: np.ndarray) -> np.ndarray:
@@ -265,9 +275,9 @@ def _shard(layout: Layout, shard: int, t: pa.Table, least: int) -> pa.Table:
     """Writes a shard's trigrams and bigrams; sends on the sums that words and contexts need."""
     parts = []
     for load in t.column("load"):
-        xl, xh, xn, yl, yh, yn, a, n = unpack(load.as_buffer(), *_TRIPLE)
+        x, xn, y, yn, low, high, n = unpack(load.as_buffer(), *_TRIPLE)
         pair_of = np.repeat(np.arange(len(yn)), yn)
-        parts.append((np.repeat(_whole(xl, xh), xn)[pair_of], _whole(yl, yh)[pair_of], a, n.astype(np.int64)))
+        parts.append((np.repeat(x, xn)[pair_of], y[pair_of], _whole(low, high), n.astype(np.int64)))
     b, c, a, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     (pair, a, b, c), (n,) = _grouped([pair_key(b, c), a, b, c], [n])
@@ -281,12 +291,12 @@ def _shard(layout: Layout, shard: int, t: pa.Table, least: int) -> pa.Table:
     stored = raw >= 2
     _save_ngrams(layout.file("bigrams", shard), pk[stored], [follow[stored], raw[stored]])
     kept = n >= 2
-    tk = triple_key(pair[kept], a[kept].astype(U))
+    tk = triple_key(pair[kept], a[kept])
     order = np.argsort(tk)
     _save_ngrams(layout.file("trigrams", shard), tk[order], [n[kept][order]])
     if least == 1:
         _save_ngrams(layout.file("single_bigrams", shard), pk[~stored], [])
-        _save_ngrams(layout.file("single_trigrams", shard), np.sort(triple_key(pair[~kept], a[~kept].astype(U))), [])
+        _save_ngrams(layout.file("single_trigrams", shard), np.sort(triple_key(pair[~kept], a[~kept])), [])
 
     rows = [(shard, STATS, pack(np.concatenate((three, two, [raw.sum(), len(pk)]))))]
     zero = np.zeros(len(pk), dtype=np.int64)
@@ -301,7 +311,7 @@ def _shard(layout: Layout, shard: int, t: pa.Table, least: int) -> pa.Table:
     to = layout.word_shard(words[0])
     rows += _dealt(to, WORDS, [words[0]], sums)
     m = n[kept]
-    ctx_first, ctx_last = a[kept].astype(U), b[kept]
+    ctx_first, ctx_last = a[kept], b[kept]
     (to, key), sums = _grouped([layout.pair_shard(ctx_first, ctx_last), pair_key(ctx_first, ctx_last)], [m, (m == 2).astype(np.int64), (m >= 3).astype(np.int64)])
     rows += _dealt(to, CONTEXTS, [key], sums)
     return pa.Table.from_batches([_batch(rows)])
@@ -388,10 +398,16 @@ def train(docs: DataFrame, *, text_column: str = "text", least: int = 2) -> Mode
     layout = Layout(local_path(new_path(spark, "kneser-ney")), partitions(spark))
     os.makedirs(layout.path)
     body = docs.select(text_bytes(F.col(text_column)).alias("text"))
-    counted = body.mapInArrow(lambda it: _count(it, layout), SENT_SQL)
-    sums = counted.groupBy("to").applyInArrow(lambda key, t: _shard(layout, key[0].as_py(), t, least), SENT_SQL)
+    scratch = Scratch(spark, "kneser-ney-sums")
+
+    def counted(turn: int) -> DataFrame:
+        sent = body.mapInArrow(lambda it: _count(it, layout, turn), SENT_SQL)
+        return scratch.save(sent.groupBy("to").applyInArrow(lambda key, t: _shard(layout, key[0].as_py(), t, least), SENT_SQL))
+
+    sums = reduce(DataFrame.union, [counted(turn) for turn in range(PASSES)])
     # A row of 18 numbers for each shard.
     rows = sums.groupBy("to").applyInArrow(lambda key, t: _merge(layout, key[0].as_py(), t), "shard int, stats array<long>").collect()
+    scratch.clear()
     total = np.sum([r.stats for r in rows], axis=0).tolist() if rows else [0] * 18
     three, two, (n, pairs), one, distinct = total[:5], total[5:10], total[10:12], total[12:17], total[17]
     d = discounts(one)
