@@ -7,7 +7,7 @@ A form is what texts of equal words have in common: a fingerprint and a set of s
 that repeat an id with another text are judged by their text.
   prefix   the rarest hashes of a set, so many that two sets alike by `least` share one, in one order for all sets: how often
            hashes with the same last bits occur, then the hash
-  stars    in each shared prefix hash, every form with one of the first and one of the last component there
+  stars    in each shared prefix hash, every form with a few others there
   pairs    after those links, all forms of different components that share a prefix hash
 Sizes, and the places of the shared hash in both prefixes, bound the overlap; what passes is verified on the whole sets. The
 last search misses no pair, and families of near copies are one component by then. Its work grows with the square of a family
@@ -122,10 +122,12 @@ def _may_be_alike(least: float, size_a: str, pos_a: str, size_b: str, pos_b: str
 
 
 def star_pairs(meeting: DataFrame, least: float) -> DataFrame:
-    """(a, b): in each hash that forms of several components share, each form with its first or last of another component."""
-    one = F.struct("component", "node", "size", "pos")
-    ends = meeting.groupBy("token").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.component != high.component")
-    both = meeting.join(ends, "token").select("node", "component", "size", "pos", F.explode(F.array("low", "high")).alias("end"))
+    """(a, b): in each hash that forms of several components share, each form with four others, where those are of another
+    component: the first and the last of all, and two that chance picks for that hash, so that a form meets many."""
+    who = F.struct("component", "node", "size", "pos")
+    drawn = F.struct(F.xxhash64("token", "node").alias("turn"), who.alias("who"))
+    ends = meeting.groupBy("token").agg(F.min(who).alias("low"), F.max(who).alias("high"), F.min(drawn).alias("one"), F.max(drawn).alias("other")).where("low.component != high.component")
+    both = meeting.join(ends, "token").select("node", "component", "size", "pos", F.explode(F.array("low", "high", "one.who", "other.who")).alias("end"))
     good = both.where(F.col("component") != F.col("end.component")).where(_may_be_alike(least, "size", "pos", "end.size", "end.pos"))
     return good.select(F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b")).distinct()
 
