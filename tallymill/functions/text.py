@@ -64,8 +64,13 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def first_filled(*columns: Column) -> Column:
-    return F.coalesce(*[blank_to_null(c) for c in columns])
+    return F.coalesce(*[F.nullif(stripped(c), F.lit("")) for c in columns])
 
 
 def squeezed(text: Column) -> Column:
@@ -97,7 +102,8 @@ def without_urls(text: Column) -> Column:
 def char_shingles(text: Column, width: int = 4) -> Column:
     """Distinct character runs of the text between two spaces; a shorter text is one run; an empty one has none."""
     padded = F.concat(F.lit(" "), text, F.lit(" "))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - width + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(width)))
+    # At every character, not inside one that takes two code units.
+    runs = F.regexp_extract_all(padded, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{width}}}))"), 1)
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(padded) < width, F.array(padded)).otherwise(F.array_distinct(runs))
 
 
@@ -124,6 +130,32 @@ def simhash64(shingles: pd.Series) -> pd.Series:
     return shingles.map(one).astype("int64")
 
 
+@F.pandas_udf(LongType())
+def text_simhash64(text: pd.Series) -> pd.Series:
+    """simhash64 of the char_shingles of a text, each run of four characters hashed once for many texts."""
+    import hashlib
+    from functools import lru_cache
+
+    import numpy as np
+
+    @lru_cache(maxsize=1 << 18)
+    def digest(run: str) -> bytes:
+        return hashlib.blake2b(run.encode(), digest_size=8).digest()
+
+    def one(t) -> int:
+        if not t:
+            return 0
+        p = f" {t} "
+        runs = {p[i : i + 4] for i in range(max(1, len(p) - 3))}
+        h = np.frombuffer(b"".join(map(digest, runs)), dtype=np.uint8).reshape(-1, 8)
+        ones = np.zeros(64, dtype=np.int64)
+        for lo in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[lo : lo + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+        return int(np.packbits(2 * ones >= len(h)).view(">i8")[0])
+
+    return text.map(one).astype("int64")
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

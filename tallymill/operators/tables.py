@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymill.functions import text as T
-from tallymill.operators.components import connected_components
+from tallymill.operators.components import checkpoint_dir, connected_components
 
 
 def cleaned(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
     """The columns of rows that lack none of them and whose trimmed text is not empty."""
-    return df.select(*columns).dropna().withColumn(text, F.trim(text)).where(F.length(text) > 0)
+    return df.select(*columns).dropna().withColumn(text, T.stripped(F.col(text))).where(F.length(text) > 0)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -122,11 +123,13 @@ def key_edges(df: DataFrame, node: str, key: str) -> DataFrame:
 def hamming_pairs(df: DataFrame, node: str, code: str, radius: int) -> DataFrame:
     """(a, b, distance): rows with codes within the radius, one row of each code.
 
-    radius + 1 bit bands: two codes within the radius are equal in one at least.
+    Of radius + 2 parts, each every so-many-th bit, two codes within the radius are equal in two at least. Parts run through
+    the whole code, so bits that are constant in a table weaken all parts a little and none much.
     """
     once = df.groupBy(code).agg(F.min(node).alias("n"))
-    edge = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col(code), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("part")) for i, (lo, hi) in enumerate(zip(edge, edge[1:], strict=False))])
+    parts = [sum(1 << i for i in range(k, 64, radius + 2)) for k in range(radius + 2)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col(code).bitwiseAND(F.lit(signed(x | y))).alias("part")) for i, (x, y) in enumerate(combinations(parts, 2))])
     banded = once.select("n", F.col(code).alias("c"), F.inline(bands))
     a, b = banded.select("band", "part", F.col("n").alias("a"), F.col("c").alias("ca")), banded.select("band", "part", F.col("n").alias("b"), F.col("c").alias("cb"))
     near = a.join(b, ["band", "part"]).where((F.col("a") < F.col("b")) & (T.hamming(F.col("ca"), F.col("cb")) <= radius))
@@ -147,11 +150,15 @@ def leakage_groups(df: DataFrame, node: str, text: str, keys: list[str] | None =
     """
     rows = df.withColumn("norm", T.normalised(F.col(text)))
     exact = key_edges(rows.where("norm != ''"), node, "norm")
-    once = rows.where("norm != ''").groupBy("norm").agg(F.min(node).alias(node)).withColumn("shingles", T.char_shingles(F.col("norm"))).withColumn("code", T.simhash64("shingles"))
-    near = hamming_texts(once, node, radius)
-    edges = exact.union(verified_pairs(near, once, node, "shingles", threshold).select("a", "b"))
+    checkpoint_dir(df.sparkSession)
+    # Texts and codes are made once; sets of runs only for texts that have a candidate.
+    once = rows.where("norm != ''").groupBy("norm").agg(F.min(node).alias(node)).withColumn("code", T.text_simhash64("norm")).checkpoint(eager=True)
+    near = hamming_texts(once.select(node, "code"), node, radius).checkpoint(eager=True)
+    needed = near.select(F.col("a").alias(node)).union(near.select(F.col("b").alias(node))).distinct()
+    sets = once.join(needed, node, "left_semi").select(node, T.char_shingles(F.col("norm")).alias("shingles")).checkpoint(eager=True)
+    edges = exact.union(verified_pairs(near, sets, node, "shingles", threshold).select("a", "b"))
     for k in keys or []:
-        edges = edges.union(key_edges(rows.withColumn(k, T.blank_to_null(T.squeezed(F.col(k).cast("string")))), node, k))
+        edges = edges.union(key_edges(rows.withColumn(k, F.nullif(T.normalised(F.col(k).cast("string")), F.lit(""))), node, k))
     if image:
         coded = rows.where(F.col(image).isNotNull())
         edges = edges.union(key_edges(coded, node, image)).union(hamming_pairs(coded, node, image, image_radius).select("a", "b"))

@@ -379,10 +379,11 @@ def pairwise_family(spark, sf):
     return g.select("left", "right", "b", "c", "p_value", F.max("s").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("adjusted"))
 
 
-@query("w5_holm", "SELECT i, p, max(s) OVER (ORDER BY p, i) AS adjusted FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, i) + 1) * p) AS s FROM (SELECT event_id AS i, round(value / 1000, 6) AS p FROM events WHERE event_id < 12))", "p adjusted")
+@query("w5_holm", "SELECT i, p, max(s) OVER (ORDER BY p, i) AS adjusted FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, i) + 1) * p) AS s FROM (SELECT event_type AS i, round(avg(value) / 1000, 6) AS p FROM events GROUP BY event_type))", "p adjusted")
 def holm(spark, sf):
-    # A family of twelve comparisons, its size fixed by the study that it belongs to.
-    return I.holm(table(spark, sf, "events").where("event_id < 12").select(F.col("event_id").alias("i"), F.round(F.col("value") / 1000, 6).alias("p")), "p", ["i"])
+    # A family of one comparison for each type of event, over all events.
+    family = table(spark, sf, "events").groupBy(F.col("event_type").alias("i")).agg(F.round(F.avg("value") / 1000, 6).alias("p"))
+    return I.holm(family, "p", ["i"])
 
 
 # Leaderboards over heads.

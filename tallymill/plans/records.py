@@ -332,10 +332,10 @@ def overdue(spark, sf):
 # Vectors.
 
 
-@query("j2_gather", "SELECT e.vec_id, e.embedding[1] AS first FROM embeddings e WHERE e.vec_id % 3 = 0")
+@query("j2_gather", "SELECT d.doc_id, e.embedding[1] AS first FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id")
 def gather(spark, sf):
-    wanted = table(spark, sf, "embeddings").where("vec_id % 3 = 0").select("vec_id")
-    return wanted.join(table(spark, sf, "embeddings"), "vec_id").select("vec_id", F.col("embedding")[0].alias("first"))
+    wanted = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("vec_id"))
+    return wanted.join(table(spark, sf, "embeddings"), "vec_id").select("doc_id", F.col("embedding")[0].alias("first"))
 
 
 _FUSE = "list_transform({0}, lambda x: x / greatest(sqrt(list_sum(list_transform({0}, lambda v: v * v))), 1e-9))"
@@ -409,10 +409,9 @@ def near_codes(spark, sf):
     return O.hamming_pairs(codes(spark, sf), "id", "code", 3)
 
 
-@query("j7_near_images", f"WITH {_CODES}, once AS (SELECT code, min(id) AS id FROM codes WHERE id % 5 = 0 GROUP BY code) SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.code, y.code)) AS INTEGER) AS distance FROM once x JOIN once y ON x.id < y.id AND bit_count(xor(x.code, y.code)) <= 5")
+@query("j7_near_images", f"WITH {_CODES}, once AS (SELECT code, min(id) AS id FROM codes GROUP BY code) SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.code, y.code)) AS INTEGER) AS distance FROM once x JOIN once y ON x.id < y.id AND bit_count(xor(x.code, y.code)) <= 5")
 def near_images(spark, sf):
-    # Every fifth record has an image.
-    return O.hamming_pairs(codes(spark, sf).where("id % 5 = 0"), "id", "code", 5)
+    return O.hamming_pairs(codes(spark, sf), "id", "code", 5)
 
 
 @query("f5_hamming", f"WITH {_CODES} SELECT id, CAST(bit_count(xor(code, 12345)) AS INTEGER) AS distance FROM codes")

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tallymill.functions import text as T
 from tallymill.operators import tables
 
 WORDS = "road lamp water tree park report street city river bridge night light stone wheel market garden".split()
@@ -14,14 +15,14 @@ def groups(df, **more):
 
 def test_texts_that_are_alike_but_not_to_the_smallest_of_their_code(spark, monkeypatch):
     """1, 2, 3 share a code, 4 is one bit off; 2, 3 and 4 are alike, and 1 is alike to none."""
-    monkeypatch.setattr(tables.T, "simhash64", lambda c: F.when(F.array_contains(c, "zeta"), 1).otherwise(0).cast("long"))
+    monkeypatch.setattr(tables.T, "text_simhash64", lambda c: F.when(F.col(c).contains("zeta"), 1).otherwise(0).cast("long"))
     base = " ".join(WORDS * 2 + WORDS[::-1])
     rows = [(1, "something else entirely"), (2, base), (3, base + " end"), (4, base + " zeta"), (5, "apart from all zeta")]
     assert groups(spark.createDataFrame(rows, "id long, text string")) == [[1], [2, 3, 4], [5]]
 
 
 def test_only_a_text_that_is_not_the_smallest_links_across_codes(spark, monkeypatch):
-    monkeypatch.setattr(tables.T, "simhash64", lambda c: F.when(F.array_contains(c, "zeta"), 1).otherwise(0).cast("long"))
+    monkeypatch.setattr(tables.T, "text_simhash64", lambda c: F.when(F.col(c).contains("zeta"), 1).otherwise(0).cast("long"))
     base = " ".join(WORDS * 2 + WORDS[::-1])
     rows = [(1, "something else entirely"), (2, base), (4, base + " zeta")]
     assert groups(spark.createDataFrame(rows, "id long, text string")) == [[1], [2, 4]]
@@ -32,3 +33,27 @@ def test_near_images(spark):
     df = spark.createDataFrame(rows, "id long, text string, image long")
     assert groups(df, image="image") == [[1, 2, 3, 6], [4], [5], [7]]
     assert len(groups(df)) == 7
+
+
+def test_codes_of_texts_are_those_of_their_runs(spark):
+    texts = ["", "a", "ab", "abc", "straße 日本語 text", "x" * 5000, "lorem ipsum " * 40, "😀😀 smile"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r.a == r.b for r in df.select(T.text_simhash64("t").alias("a"), T.simhash64(T.char_shingles(F.col("t"))).alias("b")).collect())
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    df = spark.createDataFrame([("\u00a0\tx y\n",), (" \u2003\t",), (None,)], "t string")
+    assert [r.s for r in df.select(T.stripped(F.col("t")).alias("s")).collect()] == ["x y", "", None]
+    assert [r.s for r in df.select(T.first_filled(F.col("t"), F.lit("z")).alias("s")).collect()] == ["x y", "z", "z"]
+
+
+def test_pairs_within_a_radius_where_high_bits_are_constant(spark):
+    import random
+
+    r = random.Random(4)
+    codes = {r.getrandbits(20) for _ in range(200)}
+    codes |= {c ^ (1 << r.randrange(20)) ^ (1 << r.randrange(20)) for c in list(codes)[:80]} | {-1, -2}
+    rows = list(enumerate(sorted(codes)))
+    for radius in (3, 5):
+        got = {(x.a, x.b) for x in tables.hamming_pairs(spark.createDataFrame(rows, "n long, c long"), "n", "c", radius).collect()}
+        assert got == {(i, j) for i, c in rows for j, d in rows if i < j and ((c ^ d) % 2**64).bit_count() <= radius}
