@@ -225,3 +225,26 @@ def problem_of(kind: str, value: Column) -> Column:
         "phone": (digits < 10) | (digits > 15),
     }[kind]
     return F.when(missing, "required").when(wrong, "invalid")
+
+
+def canonical_json(**fields: Column) -> Column:
+    """A JSON object with its keys in order and no white space; nulls stay."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def utc_problem(text: Column, now: Column) -> Column:
+    """Null for an ISO 8601 time in UTC that is not in the future, else what is wrong with it."""
+    parsed = F.try_to_timestamp(F.regexp_replace(text, r"Z$", "+00:00"))
+    iso = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$") & parsed.isNotNull()
+    return (
+        F.when(text.isNull(), "missing")
+        .when(~iso, "not ISO 8601")
+        .when(~text.rlike(r"(Z|[+-]\d{2}:\d{2})$"), "no zone")
+        .when(~text.rlike(r"(Z|[+-]00:00)$"), "not UTC")
+        .when(parsed > now, "future")
+    )
+
+
+def tested_candidates(selected: Column, fixed: Column, reference: Column, compared: Column) -> Column:
+    """Candidates to test, each once, in the order of their first mention; nulls are no candidates."""
+    return F.array_distinct(F.array_compact(F.concat(F.array(selected), fixed, F.array(reference), compared)))

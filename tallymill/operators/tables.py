@@ -110,6 +110,20 @@ def reconciled(declared: DataFrame, actual: DataFrame, key: str, digest: str) ->
     return j.select(key, finding.alias("finding")).where("finding is not null")
 
 
+def class_map_digest(classes: DataFrame, label_id: str, label: str, version: int) -> DataFrame:
+    """(classes, digest) of the ordered map of label ids and names; a row for each class, so a list of them is small."""
+    entry = F.struct(F.col(label_id).alias("label_id"), F.col(label).alias("label_name"))
+    ordered = classes.agg(F.array_sort(F.collect_list(entry)).alias("c"))
+    text = T.canonical_json(classes=F.col("c"), label_id_column=F.lit(label_id), label_name_column=F.lit(label), schema_version=F.lit(version))
+    return ordered.select(F.size("c").cast("long").alias("classes"), F.sha2(text, 256).alias("digest"))
+
+
+def split_manifest(df: DataFrame, split: str, group: str, time: str) -> DataFrame:
+    """(split, rows, groups, largest_group, first, last) of each split."""
+    by_group = df.groupBy(split, group).agg(F.count("*").alias("n"), F.min(time).alias("low"), F.max(time).alias("high"))
+    return by_group.groupBy(split).agg(F.sum("n").alias("rows"), F.count("*").alias("groups"), F.max("n").alias("largest_group"), F.min("low").alias("first"), F.max("high").alias("last"))
+
+
 # Near-duplicate groups.
 
 
