@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallymill.operators.ordered import numbered
+
 
 def mcnemar(df: DataFrame, reference: str, challenger: str) -> DataFrame:
     """(b, c, delta, p_value) from two correctness columns: discordant counts, accuracy gain, exact two-sided p."""
@@ -81,37 +86,112 @@ def cluster_design(df: DataFrame, cluster: str, y: str, ts: str) -> DataFrame:
     return out.withColumn("stratum", F.concat(F.lit("utc_month="), F.col("month"), F.lit("|majority_label="), F.col("label").cast("string")))
 
 
-def draw_table(spark, strata: dict[str, int], draws: int, seed: int) -> DataFrame:
-    """(draw, stratum, member, times): whole-cluster resamples with replacement inside strata.
+def stream(seed: int, *path: int) -> np.random.Generator:
+    """PCG64 of a descendant of the seed: below its first child for clusters, its second child for training seeds."""
+    return np.random.default_rng(np.random.SeedSequence(seed, spawn_key=path))
+
+
+#: Clusters of a block: a matrix of draws spans one block of a stratum.
+BLOCK = 256
+
 
-    Each draw has its own child of the seed, so blocks of draws can be made anywhere and repeat exactly.
+def block_times(seed: int, stratum: str, clusters: int, block: int, draws: int) -> np.ndarray:
+    """(draws, clusters of the block): how often each cluster of a stratum comes when as many as it has are drawn with replacement.
+
+    The stratum's draws are shared out by halves of its blocks, a binomial for each node with a stream of its own, then among the
+    block's clusters. So blocks can be made anywhere, in any order, and their counts still add up to the stratum's size.
     """
-    names = sorted(strata)
+    name = int.from_bytes(hashlib.sha256(stratum.encode()).digest()[:8], "little")
+    lo, hi, left = 0, -(-clusters // BLOCK), np.full(draws, clusters, dtype=np.int64)
+    size = lambda a, b: min(b * BLOCK, clusters) - a * BLOCK
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        first = stream(seed, 0, name, lo, hi).binomial(left, size(lo, mid) / size(lo, hi))
+        lo, hi, left = (lo, mid, first) if block < mid else (mid, hi, left - first)
+    m = size(lo, hi)
+    return stream(seed, 0, name, lo, hi).multinomial(left, np.full(m, 1 / m))
+
+
+def seed_draws(seed: int, seeds: int, draws: int) -> np.ndarray:
+    """(draws, seeds): positions of training seeds drawn with replacement, from the seed's second child."""
+    return stream(seed, 1).integers(0, seeds, size=(draws, seeds))
+
 
-    def blocks(it):
-        import pandas as pd
+def draw_table(spark: SparkSession, strata: dict[str, int], draws: int, seed: int) -> DataFrame:
+    """(draw, stratum, member, times): the counts that block_times gives, those above zero."""
+    names = spark.createDataFrame(list(strata.items()), "stratum string, clusters long")
+    blocks = names.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("clusters") / BLOCK) - 1)).alias("block"))
 
+    def run(it):
         for pdf in it:
-            rows = []
-            for d in pdf["id"]:
-                rng = np.random.default_rng([seed, int(d)])
-                for s in names:
-                    member, times = np.unique(rng.integers(0, strata[s], strata[s]), return_counts=True)
-                    rows += [(int(d), s, int(m), int(t)) for m, t in zip(member, times, strict=True)]
-            yield pd.DataFrame(rows, columns=["draw", "stratum", "member", "times"])
+            for stratum, clusters, block in pdf.itertuples(index=False):
+                times = block_times(seed, stratum, clusters, block, draws)
+                draw, member = np.nonzero(times)
+                yield pd.DataFrame({"draw": draw, "stratum": stratum, "member": member + block * BLOCK, "times": times[draw, member]})
 
-    return spark.range(draws).mapInPandas(blocks, "draw long, stratum string, member long, times long")
+    return blocks.mapInPandas(run, "draw long, stratum string, member long, times long")
 
 
-def cluster_bootstrap(clusters: DataFrame, statistics: list[str], draws: int, seed: int) -> DataFrame:
-    """(statistic sums of each draw): clusters (stratum, cluster, statistics...) resampled inside strata.
+def cluster_bootstrap(clusters: DataFrame, statistics: list[str], draws: int, seed: int, *, stats: str | None = None, columns: np.ndarray | None = None) -> DataFrame:
+    """(draw, statistic sums): clusters (stratum, cluster, statistics...) resampled inside strata, the same clusters for every statistic.
 
-    Clusters travel as their sufficient statistics; draws meet them by stratum and member number.
+    Clusters are numbered in their stratum and packed in blocks of BLOCK; a task adds up its blocks for all draws and sends one row a draw,
+    so neither clusters nor draws are shuffled against each other. stats, columns: an array column that holds the statistics instead,
+    and which of its entries each draw takes. Null strata are a stratum; an empty table has no draws.
     """
-    strata = {r.stratum: r.n for r in clusters.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
-    numbered = clusters.withColumn("member", (F.row_number().over(W.partitionBy("stratum").orderBy("cluster")) - 1).cast("long"))
-    table = draw_table(clusters.sparkSession, strata, draws, seed)
-    return table.join(numbered, ["stratum", "member"]).groupBy("draw").agg(*[F.sum(F.col(s) * F.col("times")).alias(s) for s in statistics])
+    packed = clusters.select(F.coalesce("stratum", F.lit("")).alias("stratum"), "cluster", (F.col(stats) if stats else F.array(*[F.col(s).cast("double") for s in statistics])).alias("x"))
+    member = numbered(packed, "stratum", "cluster", "member")
+    blocks = member.groupBy("stratum", F.floor(F.col("member") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("member", "x"))).alias("rows"))
+    sizes = packed.groupBy("stratum").agg(F.count("*").alias("clusters"))
+    sized = blocks.join(sizes, "stratum").select("stratum", "clusters", "block", F.flatten(F.transform("rows", lambda r: r["x"])).alias("x"), F.size("rows").alias("m"))
+
+    def run(it):
+        total = None
+        for pdf in it:
+            for stratum, n, block, x, m in pdf.itertuples(index=False):
+                sums = block_times(seed, stratum, n, block, draws) @ np.asarray(x, dtype=np.float64).reshape(m, -1)
+                mine = sums if columns is None else np.take_along_axis(sums, columns, axis=1)
+                total = mine if total is None else total + mine
+        if total is not None:
+            yield pd.DataFrame({"draw": np.arange(draws)} | {s: total[:, i] for i, s in enumerate(statistics)})
+
+    schema = ", ".join(["draw long", *[f"{s} double" for s in statistics]])
+    return sized.mapInPandas(run, schema).groupBy("draw").agg(*[F.sum(s).alias(s) for s in statistics])
+
+
+def seed_sensitivity(rows: DataFrame, strata: DataFrame, seeds: int, draws: int, seed: int) -> DataFrame:
+    """(draw, n, a, b): rows, and correct rows of two systems whose training seeds are drawn anew beside the clusters.
+
+    rows: (cluster, y, a, b) with each system's class probabilities for each seed. A draw's seeds are the same for both systems; the
+    sampled probabilities are averaged, the smallest class wins a tie. strata: (cluster, stratum). Cluster draws are those of
+    cluster_bootstrap with this seed. Draws that hold the same seeds share one prediction, so a row is judged once for each such
+    multiset and clusters keep one sum for each.
+    """
+    drawn = seed_draws(seed, seeds, draws)
+    taken = np.stack([(drawn == s).sum(axis=1) for s in range(seeds)], axis=1)
+    kinds, kind = np.unique(taken, axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    k = len(kinds)
+
+    def judge(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            y, out = pdf["y"].to_numpy(), [np.ones((len(pdf), 1))]
+            for system in ("a", "b"):
+                p = np.array([np.stack(list(v)) for v in pdf[system]], dtype=np.float64)
+                out.append(np.einsum("ks,rsc->rkc", kinds / seeds, p).argmax(axis=2) == y[:, None])
+            names, code = np.unique(pdf["cluster"].to_numpy(), return_inverse=True)
+            sums = np.zeros((len(names), 1 + 2 * k))
+            np.add.at(sums, code, np.hstack(out).astype(np.float64))
+            yield pd.DataFrame({"cluster": names, "x": list(sums)})
+
+    kept = rows.where(F.col("cluster").isNotNull()).select("cluster", "y", "a", "b")
+    part = kept.mapInPandas(judge, f"cluster {dict(kept.dtypes)['cluster']}, x array<double>")
+    entry = part.select("cluster", F.posexplode("x").alias("i", "v")).groupBy("cluster", "i").agg(F.sum("v").alias("v"))
+    sums = entry.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("x"))
+    columns = np.stack((np.zeros(draws, dtype=np.int64), 1 + kind, 1 + k + kind), axis=1)
+    return cluster_bootstrap(sums.join(strata.select("cluster", "stratum"), "cluster"), ["n", "a", "b"], draws, seed, stats="x", columns=columns)
 
 
 def interval(values: DataFrame, column: str, level: float = 0.95) -> DataFrame:

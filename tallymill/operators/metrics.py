@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymill.functions import vectors as V
+from tallymill.operators.ordered import running_sums
 
 
 def predicted(df: DataFrame) -> DataFrame:
@@ -93,12 +94,11 @@ def calibration_error(table: DataFrame) -> DataFrame:
 def rank_auc(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve for each group, ties at average rank; null where a class is absent.
 
-    Rows are counted by distinct score first, so the ordered window is over scores.
+    Rows are counted by distinct score first, then added up in ranges of the score.
     """
     by = by or []
     s = df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("pos"))
-    below = F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, W.currentRow))
-    g = s.withColumn("rank", below - F.col("n") + (F.col("n") + 1) / 2).groupBy(*by).agg(F.sum("pos").alias("np"), F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("ranks"))
+    g = running_sums(s, score, {"upto": "n"}, by).withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).groupBy(*by).agg(F.sum("pos").alias("np"), F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("ranks"))
     pos, neg = F.col("np"), F.col("n") - F.col("np")
     return g.select(*by, F.when((pos > 0) & (neg > 0), (F.col("ranks") - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0))).alias("auc"))
 
@@ -113,8 +113,7 @@ def macro_auc(df: DataFrame, classes: int) -> DataFrame:
 def tie_groups(df: DataFrame, score: str) -> DataFrame:
     """(score, n, errors, seen, wrong): counts by distinct score, running from the smallest."""
     g = df.groupBy(score).agg(F.count("*").alias("n"), F.sum((~F.col("correct")).cast("long")).alias("errors"))
-    run = W.orderBy(score).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return g.withColumns({"seen": F.sum("n").over(run), "wrong": F.sum("errors").over(run)})
+    return running_sums(g, score, {"seen": "n", "wrong": "errors"})
 
 
 def area_under_risk(df: DataFrame, score: str) -> DataFrame:
@@ -125,8 +124,7 @@ def area_under_risk(df: DataFrame, score: str) -> DataFrame:
 def average_precision(df: DataFrame, score: str) -> DataFrame:
     """Average precision of errors ranked by descending score, ties whole; null without errors."""
     g = df.groupBy(score).agg(F.count("*").alias("n"), F.sum((~F.col("correct")).cast("long")).alias("errors"))
-    run = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = g.withColumns({"seen": F.sum("n").over(run), "found": F.sum("errors").over(run)})
+    t = running_sums(g, score, {"seen": "n", "found": "errors"}, descending=True)
     return t.agg((F.sum(F.col("errors") * F.col("found") / F.col("seen")) / F.nullif(F.sum("errors"), F.lit(0))).alias("average_precision"))
 
 

@@ -1,14 +1,15 @@
 """Thresholds on uncertainty: whole tie groups are accepted, from the most certain on.
 
-Running counts are over distinct scores, counted first, so the ordered window has a row for each score, not each row.
+Running counts are over distinct scores, counted first, in ranges of the score.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallymill.operators.ordered import running_sums
+
 
 def needed(target: Column, n: Column) -> Column:
     """Rows that reach the target share."""
@@ -17,7 +18,7 @@ def needed(target: Column, n: Column) -> Column:
 
 def running(df: DataFrame, score: str) -> DataFrame:
     g = df.groupBy(score).agg(F.count("*").alias("n"))
-    return g.withColumn("seen", F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return running_sums(g, score, {"seen": "n"})
 
 
 def thresholds(df: DataFrame, score: str, targets: list[float]) -> DataFrame:
@@ -45,8 +46,8 @@ def joint_gate(df: DataFrame, gates: list[str], target: float) -> DataFrame:
     ranked = df
     for g in gates:
         s = df.groupBy(g).agg(F.count("*").alias("n"))
-        below = F.sum("n").over(W.orderBy(g).rowsBetween(W.unboundedPreceding, -1))
-        ranked = ranked.join(s.select(g, (F.coalesce(below, F.lit(0)) + 1).alias(f"rank_{g}")), g)
+        upto = running_sums(s, g, {"upto": "n"})
+        ranked = ranked.join(upto.select(g, (F.col("upto") - F.col("n") + 1).alias(f"rank_{g}")), g)
     top = F.greatest(*[F.col(f"rank_{g}") for g in gates]) if len(gates) > 1 else F.col(f"rank_{gates[0]}")
     ranked = ranked.withColumn("joint", top)
     run = running(ranked, "joint")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import text as T
 from tallymill.operators.components import checkpoint_dir, connected_components
+from tallymill.operators.ordered import running_sums
 
 
 def cleaned(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -63,10 +64,10 @@ def temporal_split(df: DataFrame, group: str, time: str, val_start: str, test_st
 def ordered_cutoffs(df: DataFrame, group: str, time: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """(val_start, test_start): start times of the groups at the given shares of all groups in order of start.
 
-    Start times are counted by value first; the ordered window has a row for each.
+    Start times are counted by value first, then added up in ranges of time.
     """
     starts = group_ranges(df, group, time).groupBy("first").agg(F.count("*").alias("k"))
-    run = starts.withColumn("upto", F.sum("k").over(W.orderBy("first").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    run = running_sums(starts, "first", {"upto": "k"})
     n = run.crossJoin(run.agg(F.max("upto").alias("n")))
     at = lambda share: F.floor(F.lit(share) * F.col("n"))
     return n.agg(F.min(F.when(F.col("upto") > at(train), F.col("first"))).alias("val_start"), F.min(F.when(F.col("upto") > at(train + val), F.col("first"))).alias("test_start"))

@@ -338,23 +338,27 @@ def strata(spark, sf):
     return design(spark, sf)[1].groupBy("stratum").agg(F.count("*").alias("clusters"))
 
 
+#: Resamples of every bootstrap.
+DRAWS = 10_000
+
+
 @query("a29_cluster_bootstrap")
 def bootstrap(spark, sf):
     rows, plan = design(spark, sf)
     stats = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("a").cast("long")).alias("a"), F.sum(F.col("b").cast("long")).alias("b"))
-    draws = I.cluster_bootstrap(stats.join(plan.select("cluster", "stratum"), "cluster"), ["n", "a", "b"], 1000, 271828)
+    draws = I.cluster_bootstrap(stats.join(plan.select("cluster", "stratum"), "cluster"), ["n", "a", "b"], DRAWS, 271828)
     return I.interval(draws.withColumn("delta", (F.col("b") - F.col("a")) / F.col("n")), "delta")
 
 
 @query("a30_seed_sensitivity")
 def seed_sensitivity(spark, sf):
-    """Heads are redrawn beside clusters: each draw's accuracy is over the clusters' rows of the heads drawn."""
-    h = M.predicted(heads(spark, sf)).withColumn("cluster", F.col("id") % 60)
-    stats = h.groupBy("h", "cluster").agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("long")).alias("right"))
-    seeds = I.draw_table(spark, {"seeds": 5}, 200, 17).select("draw", F.col("member").cast("int").alias("h"), F.col("times").alias("t1"))
-    clusters = I.draw_table(spark, {"all": 60}, 200, 18).select("draw", F.col("member").alias("cluster"), F.col("times").alias("t2"))
-    both = seeds.join(clusters, "draw").join(stats, ["h", "cluster"]).groupBy("draw").agg((F.sum(F.col("right") * F.col("t1") * F.col("t2")) / F.sum(F.col("n") * F.col("t1") * F.col("t2"))).alias("accuracy"))
-    return I.interval(both, "accuracy")
+    """Both systems have three training seeds: heads 0 to 2, heads 2 to 4."""
+    _, plan = design(spark, sf)
+    by_head = F.map_from_entries(F.collect_list(F.struct("h", "p")))
+    tensor = lambda lo: F.array(*[F.element_at("heads", F.lit(h)) for h in range(lo, lo + 3)])
+    rows = heads(spark, sf).groupBy("id", "y").agg(by_head.alias("heads")).select((F.col("id") % 60).alias("cluster"), "y", tensor(0).alias("a"), tensor(2).alias("b"))
+    draws = I.seed_sensitivity(rows, plan, 3, DRAWS, 271828)
+    return I.interval(draws.withColumn("delta", (F.col("b") - F.col("a")) / F.col("n")), "delta")
 
 
 @query("v21_draws")
