@@ -32,6 +32,8 @@ PATTERNS = {
     "url": r"(?i)https?://\S+|www\.\S+",
     "indonesian_plate": r"(?i)(?<![A-Z0-9])(?:B|D|F|T|E|Z|A|G|H|K|R|AA|AB|AD)\s?\d{1,4}\s?[A-Z]{1,3}(?![A-Z0-9])",
 }
+#: The same for regular expressions whose classes and case folding are ASCII unless told otherwise.
+SCREENS = {name: f"(?U){pattern}" for name, pattern in PATTERNS.items()}
 # Answers that mean yes and no.
 YES, NO = ["1", "y", "yes", "ya", "true"], ["0", "n", "no", "tidak", "false"]
 

@@ -124,3 +124,16 @@ def same_number(a: Column, b: Column, slack: float) -> Column:
     """Within the slack, or both absent, or both not a number."""
     both = (a.isNull() & b.isNull()) | (F.isnan(a) & F.isnan(b))
     return F.coalesce(both | (F.abs(a - b) <= slack), F.lit(False))
+
+
+def grey_code(grey: Column, wide: int = 9, high: int = 8) -> Column:
+    """64 bits of an image's grey values, row by row: a bit is set where a value exceeds the one before it; the first is the lowest.
+
+    Null unless there are wide x high values.
+    """
+    bits = [((F.get(grey, F.lit(r * wide + c + 1)) > F.get(grey, F.lit(r * wide + c))).cast("long"), r * (wide - 1) + c) for r in range(high) for c in range(wide - 1)]
+    code = None
+    for flag, at in bits:
+        bit = F.shiftleft(flag, at)
+        code = bit if code is None else code.bitwiseOR(bit)
+    return F.when(F.size(grey) == wide * high, code)

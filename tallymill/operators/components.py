@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; only where none is set (tests, a laptop) one under /tmp."""
+    """The shared folder of the session; only a local session without one (tests, a laptop) gets one under /tmp."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "/tmp/checkpoints/tallymill"
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
+    at = at or "/tmp/checkpoints/tallymill"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at.rstrip("/")

@@ -159,3 +159,11 @@ def updated_from(current: DataFrame, source: DataFrame, key: str, column: str) -
     """UPDATE ... FROM: the column takes the source's value where the source has the key."""
     hit = source.select(key, F.col(column).alias("new_value"), F.lit(True).alias("hit"))
     return current.join(hit, key, "left").withColumn(column, F.when(F.col("hit"), F.col("new_value")).otherwise(F.col(column))).drop("new_value", "hit")
+
+
+def stamped(current: DataFrame, incoming: DataFrame, key: str, now: Column) -> DataFrame:
+    """upserted, with created_at and updated_at: a new row gets now for both where created_at is null, an incoming row of a known key
+    keeps the first created_at and is touched now. A key that repeats in incoming is touched in each of its rows."""
+    first = current.groupBy(key).agg(F.min("created_at").alias("first_created"))
+    touched = incoming.join(first, key, "left").withColumns({"created_at": F.coalesce("first_created", "created_at", now), "updated_at": now}).drop("first_created")
+    return upserted(current, touched, key)

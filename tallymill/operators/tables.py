@@ -245,10 +245,21 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def screen(df: DataFrame, text: str) -> DataFrame:
     """(pattern, occurrences, rows) of every personal-data pattern."""
-    counts = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(p)).alias("k")) for n, p in T.PATTERNS.items()])
+    counts = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(p)).alias("k")) for n, p in T.SCREENS.items()])
     return df.select(F.inline(counts)).groupBy("pattern").agg(F.sum("k").alias("occurrences"), F.count_if(F.col("k") > 0).alias("rows"))
 
 
+def private_findings(df: DataFrame, text: str, id: str, salt: str) -> DataFrame:
+    """(private_row_id, finding_types) of rows with personal data: the salted id and the names of the patterns found, sorted.
+
+    The salt is a secret of 16 characters or more. Null ids have one null code; a null text has no findings.
+    """
+    if len(salt) < 16:
+        raise ValueError("the salt needs at least 16 characters")
+    found = F.array_sort(F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in T.SCREENS.items()])))
+    return df.select(T.salted_id(F.col(id), salt).alias("private_row_id"), found.alias("finding_types")).where(F.size("finding_types") > 0)
+
+
 # Exact reconstruction of counts from rates at four decimals, in whole numbers.
 
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymill.functions import text as T
+from tallymill.functions import vectors as V
+from tallymill.operators import baselines as B
+from tallymill.operators import metrics as M
+from tallymill.operators import store as R
 from tallymill.operators import tables as O
 from tallymill.plans.registry import query, table
 from tallymill.plans.scans import _folder
 from tallymill.sources import files as S
+from tallymill.streaming import live as L
 
 
 @query("f11_canonical_digest", """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS digest FROM nation""")
@@ -83,3 +88,47 @@ def predictions(spark, sf):
     path = _folder(spark, "predictions")
     S.write_predictions(table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 7).alias("p")), path)
     return S.typed_csv(spark, path, "o_orderkey long, p double", "o_orderkey")
+
+
+_GREY = "list_concat(embedding, list_slice(embedding, 1, 8))"
+
+
+@query("v20_grey_codes", f"SELECT vec_id, list_reduce(list_transform(range(0, 64), lambda k: CASE WHEN g[k // 8 * 9 + k % 8 + 2] > g[k // 8 * 9 + k % 8 + 1] THEN CASE WHEN k = 63 THEN -9223372036854775808 ELSE 1::BIGINT << k END ELSE 0::BIGINT END), lambda a, b: a | b) AS code FROM (SELECT vec_id, {_GREY} AS g FROM embeddings)")
+def grey_codes(spark, sf):
+    # 64 dimensions and the first 8 again stand for 9 x 8 grey values.
+    return table(spark, sf, "embeddings").select("vec_id", V.grey_code(F.concat("embedding", F.slice("embedding", 1, 8))).alias("code"))
+
+
+@query("d6_stamped", """WITH cur AS (SELECT c_custkey AS id, c_name AS name, TIMESTAMP '1992-01-01' AS created_at, TIMESTAMP '1992-01-02' AS updated_at FROM customer WHERE c_custkey % 3 <> 0),
+inc AS (SELECT c_custkey AS id, c_name || '!' AS name, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '1993-01-01' END AS created_at FROM customer WHERE c_custkey % 2 = 0)
+SELECT * FROM cur WHERE id NOT IN (SELECT id FROM inc) UNION ALL SELECT inc.id, inc.name, coalesce(cur.created_at, inc.created_at, TIMESTAMP '2000-01-01'), TIMESTAMP '2000-01-01' FROM inc LEFT JOIN cur USING (id)""")
+def stamped(spark, sf):
+    c, at = table(spark, sf, "customer"), lambda d: F.lit(d).cast("timestamp")
+    current = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), at("1992-01-01").alias("created_at"), at("1992-01-02").alias("updated_at"))
+    incoming = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit("!")).alias("name"), F.when(F.col("c_custkey") % 5 == 0, at("1993-01-01")).alias("created_at"))
+    return R.stamped(current, incoming, "id", at("2000-01-01"))
+
+
+@query("t6_row_changes", """WITH v AS (SELECT user_id AS id, event_id AS version, event_type AS status, event_id % 4 = 0 AS early FROM events),
+st AS (SELECT id, max(version) AS low FROM v WHERE early GROUP BY id),
+line AS (SELECT v.* FROM v LEFT JOIN st USING (id) WHERE (early AND version = low) OR (NOT early AND (low IS NULL OR version > low))),
+seen AS (SELECT *, lag(status) OVER w AS old_status, row_number() OVER w AS turn FROM line WINDOW w AS (PARTITION BY id ORDER BY version))
+SELECT id, version, CASE WHEN turn = 1 THEN 'insert' ELSE 'update' END AS kind, old_status, status AS new_status FROM seen WHERE NOT early AND (turn = 1 OR status IS DISTINCT FROM old_status)""")
+def row_changes(spark, sf):
+    v = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("status"))
+    state = L.newest(v.where("version % 4 = 0"), "id", ["version"])
+    return L.row_changes(state, v.where("version % 4 <> 0"), "id", ["version"], ["status"])
+
+
+@query("c24_class_prior", "SELECT k AS class, (SELECT count(*) FILTER (WHERE label = k) / count(*) FROM embeddings) AS share FROM range(0, 10) t(k)", "share")
+def class_prior(spark, sf):
+    return B.class_prior(table(spark, sf, "embeddings"), "label", 10).select(F.posexplode("p").alias("class", "share")).select(F.col("class").cast("long").alias("class"), "share")
+
+
+@query("c24_text_classifier")
+def text_classifier(spark, sf):
+    """Class report of the linear baseline on the language of a text, over all rows it was fitted on."""
+    langs = ["de", "en", "es", "fr"]
+    d = table(spark, sf, "documents").select("doc_id", "text", (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int").alias("y")).where("y >= 0")
+    model = B.fit_text_classifier(d, "text", "y")
+    return M.class_report(M.predicted(B.text_probabilities(d, model, "text", ["doc_id", "y"])), len(langs))

@@ -1,14 +1,14 @@
 """Live lists: a stream of row versions kept as the newest version of each key.
 
-Each micro-batch is reduced to its newest row of a key (by version, then sequence) and merged into the stored table of
-newest rows, which is written as a new generation and then pointed to, so a repeated batch gives the same state. Late versions never replace newer
-ones. Lists are views over the state: filters and limits come after it, so a row that leaves a filter leaves the list.
+Each micro-batch is reduced to its newest row of a key (by version, then sequence) and merged into the buckets of the stored table whose
+keys it has; other buckets stay as they are. Changed buckets are written beside the old ones and then pointed to, so a repeated batch
+gives the same state, and what no pointer names goes one batch later. Late versions never replace newer ones. Lists are views over
+the state: filters and limits come after it, so a row that leaves a filter leaves the list.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,37 +21,87 @@ def newest(df: DataFrame, key: str, version: list[str]) -> DataFrame:
     return df.withColumn("turn", F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(v) for v in version]))).where("turn = 1").drop("turn")
 
 
+def row_changes(state: DataFrame, batch: DataFrame, key: str, version: list[str], watched: list[str]) -> DataFrame:
+    """What a trigger on each row would see: batch rows that are new or differ in a watched column from the version before, which may be
+    in the state or in the batch. (key, version, kind: insert or update, old_ and new_ values). Nulls are values here. Versions at or
+    before the state's are late and change nothing.
+    """
+    names = [key, *version, *watched]
+    there = state.select(*names, F.lit(True).alias("stored"))
+    both = there.unionByName(batch.select(*names, F.lit(False).alias("stored")))
+    by = W.partitionBy(key).orderBy(*version, F.desc("stored"))
+    seen = both.withColumns({f"old_{c}": F.lag(c).over(by) for c in watched} | {"turn": F.row_number().over(by), "known": F.max("stored").over(W.partitionBy(key)), "late": ~F.max("stored").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    differs = F.lit(False)
+    for c in watched:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    fresh = seen.where(~F.col("stored") & ~(F.col("known") & F.col("late")) & ((F.col("turn") == 1) | differs))
+    kind = F.when(F.col("turn") == 1, "insert").otherwise("update")
+    return fresh.select(key, *version, kind.alias("kind"), *[f"old_{c}" for c in watched], *[F.col(c).alias(f"new_{c}") for c in watched])
+
+
 class LiveTable:
-    """The newest row of each key under a shared folder."""
+    """The newest row of each key under a shared folder, in buckets of the key's hash."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, version: list[str], buckets: int = 64) -> None:
+        self.spark, self.path, self.schema, self.key, self.version, self.buckets = spark, path.rstrip("/"), schema, key, version, buckets
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._at(""))
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, version: list[str]) -> None:
-        self.spark, self.path, self.schema, self.key, self.version = spark, path.removeprefix("file:"), schema, key, version
-        os.makedirs(self.path, exist_ok=True)
+    def _at(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
 
     def _pointer(self) -> dict:
-        at = f"{self.path}/current.json"
-        return json.load(open(at)) if os.path.exists(at) else {"batch": -1}
+        """The last batch, and where each bucket's rows are. Pointers are numbered, written whole and then named; the highest counts."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at("")) if s.getPath().getName().startswith("pointer-")]
+        if not names:
+            return {"batch": -1, "at": {}}
+        last = max(names, key=lambda n: int(n.partition("-")[2]))
+        return json.loads(self.spark.read.text(f"{self.path}/{last}", wholetext=True).first().value)
+
+    def _point(self, pointer: dict) -> None:
+        part, name = self._at(f"_part-{pointer['batch']}"), self._at(f"pointer-{pointer['batch']}")
+        out = self._fs.create(part, True)
+        out.write(bytearray(json.dumps(pointer).encode()))
+        out.close()
+        self._fs.rename(part, name)
+
+    def _bucket(self):
+        return F.pmod(F.hash(self.key), F.lit(self.buckets))
+
+    def _rows(self, at: dict, buckets=None) -> DataFrame:
+        paths = [f"{self.path}/batch-{n}/bucket={b}" for b, n in at.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        now = self._pointer()
-        if now["batch"] < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/generation-{now['batch']}")
+        return self._rows(self._pointer()["at"])
 
     def merge(self, batch: DataFrame, number: int) -> None:
-        if number <= self._pointer()["batch"]:
+        now = self._pointer()
+        if number <= now["batch"]:
             return
-        both = self.read().unionByName(batch.select(*self.read().columns))
-        newest(both, self.key, self.version).write.mode("overwrite").parquet(f"{self.path}/generation-{number}")
-        part = f"{self.path}/current.json.part"
-        with open(part, "w") as f:
-            json.dump({"batch": number}, f)
-        os.replace(part, f"{self.path}/current.json")
-
-    def follow(self, stream: DataFrame, checkpoint: str, then: Callable[[DataFrame], None] | None = None, seconds: int | None = None) -> StreamingQuery:
-        """Starts merging a stream; seconds: poll at this interval, else take all there is and stop."""
+        touched = {r.b for r in batch.select(self._bucket().alias("b")).distinct().collect()}  # at most as many as buckets
+        old = self._rows(now["at"], touched)
+        both = newest(old.unionByName(batch.select(*old.columns)), self.key, self.version)
+        both.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch-{number}")
+        kept = {b: n for b, n in now["at"].items() if int(b) not in touched}
+        self._point({"batch": number, "at": kept | {str(b): number for b in touched}, "unused": sorted({f"batch-{n}/bucket={b}" for b, n in now["at"].items() if int(b) in touched})})
+        # Readers of the pointer before may still read what it named; what it no longer named goes.
+        for name in now.get("unused", []):
+            self._fs.delete(self._at(name), True)
+        self._fs.delete(self._at(f"pointer-{now['batch']}"), False)
+
+    def follow(self, stream: DataFrame, checkpoint: str, then: Callable[[DataFrame], None] | None = None, seconds: int | None = None, on_changes: tuple[list[str], Callable[[DataFrame, int], None]] | None = None) -> StreamingQuery:
+        """Starts merging a stream; seconds: poll at this interval, else take all there is and stop.
+
+        on_changes: watched columns and what to do with the row_changes of each batch, before it is merged; a batch that is repeated
+        after a failure gives the same changes under the same number.
+        """
 
         def step(batch: DataFrame, number: int) -> None:
+            if on_changes and number > self._pointer()["batch"]:
+                watched, act = on_changes
+                act(row_changes(self.read(), batch, self.key, self.version, watched), number)
             self.merge(batch, number)
             if then:
                 then(self.read())
