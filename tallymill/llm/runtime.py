@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.operators.components import checkpoint_dir
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,14 +21,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Only where that is unset (tests, a laptop) one under /tmp is set."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = "/tmp/checkpoints/tallymill"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
+    """The folder every executor sees: spark.checkpoint.dir. Only a local session without it (tests, a laptop) gets one under /tmp."""
+    return checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,7 +5,12 @@ refer to; records come back through a join of the two. Every payload is checked
 
 Of records with equal payloads that reach `least` bytes, the one with the largest id is the response and the others
 are revisits of it; smaller payloads are all responses. Rows that repeat the largest id are all responses. Null ids order
-below every id. A null payload is the empty one; a null url leaves the target URI out.
+below every id. A null payload is the empty one; a null url leaves the target URI out. An empty table gives an empty archive; only the
+id, url and payload columns are read, so others may have any name.
+
+A response's block is an HTTP message of a minimal head and the payload; a revisit has no block. A record's id is made of the page's id (or
+null) and a hash of its url and payload, so only rows that repeat all three share one, and a revisit names its response's record.
+Rows of one payload meet its digest in a join that Spark's adaptive execution splits where a payload is very frequent.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ CRLF = "\r\n"
 
 @dataclass(frozen=True)
 class Archive:
-    """Two Parquet folders: payloads (sha256, sha1, size, owner, data) and records (position by id, header, sha256)."""
+    """Two Parquet folders: payloads (sha256, sha1, size, owner, tag, data) and records (header, sha256)."""
 
     path: str
 
@@ -45,9 +50,9 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def _digests(it):
-    """For each row its digests; the payload itself only in the row that has the largest key of its digest in this batch."""
+    """Digests and payload of the row that has the largest key (then tag) of its digest in this batch."""
     for batch in it:
-        keys, loads = batch.column("key").to_pylist(), batch.column("payload")
+        keys, loads = list(zip(batch.column("key").to_pylist(), batch.column("tag").to_pylist(), strict=True)), batch.column("payload")
         strong, weak, size, best = [], [], [], {}
         for i, load in enumerate(loads):
             data = load.as_buffer()
@@ -63,7 +68,8 @@ def _digests(it):
                 "sha256": pa.array([strong[i] for i in kept], type=pa.binary()),
                 "sha1": pa.array([weak[i] for i in kept], type=pa.string()),
                 "size": pa.array([size[i] for i in kept], type=pa.int64()),
-                "owner": pa.array([keys[i] for i in kept], type=pa.int64()),
+                "owner": pa.array([keys[i][0] for i in kept], type=pa.int64()),
+                "tag": pa.array([keys[i][1] for i in kept], type=pa.int64()),
                 "data": pa.array([zlib.compress(loads[i].as_buffer(), 1) for i in kept], type=pa.binary()),
             }
         )
@@ -88,8 +94,8 @@ def _one_each(it):
         yield pa.RecordBatch.from_pylist([held], schema=PAYLOADS)
 
 
-PAYLOADS = pa.schema([("sha256", pa.binary()), ("sha1", pa.string()), ("size", pa.int64()), ("owner", pa.int64()), ("data", pa.binary())])
-PAYLOADS_SQL = "sha256 binary, sha1 string, size long, owner long, data binary"
+PAYLOADS = pa.schema([("sha256", pa.binary()), ("sha1", pa.string()), ("size", pa.int64()), ("owner", pa.int64()), ("tag", pa.int64()), ("data", pa.binary())])
+PAYLOADS_SQL = "sha256 binary, sha1 string, size long, owner long, tag long, data binary"
 
 
 def _header(lines: list[tuple[str, F.Column]]) -> F.Column:
@@ -98,33 +104,40 @@ def _header(lines: list[tuple[str, F.Column]]) -> F.Column:
     return F.concat(F.lit(f"WARC/1.1{CRLF}"), *[F.coalesce(f, F.lit("")) for f in fields], F.lit(CRLF)).cast("binary")
 
 
+def _record_id(page: F.Column, tag: F.Column) -> F.Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.lower(F.hex(tag)), F.lit(">"))
+
+
 def write_archive(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least: int = 0, path: str | None = None, date: str = "1970-01-01T00:00:00Z") -> Archive:
     """One WARC record for each row. date: of all records, as the input has none."""
     spark = pages.sparkSession
     at = Archive(path or new_path(spark, "warc"))
     body = text_bytes(F.col(payload_column))
-    rows = pages.select(order_key(F.col(id_column)).alias("key"), F.col(id_column).cast("long").alias("id"), F.col(url_column).cast("string").alias("url"), body.alias("payload"))
-    once = rows.select("key", "payload").mapInArrow(_digests, PAYLOADS_SQL).repartition("sha256").sortWithinPartitions("sha256", F.desc("owner"))
+    rows = pages.select(order_key(F.col(id_column)).alias("key"), F.col(id_column).cast("long").alias("id"), F.col(url_column).cast("string").alias("url"), body.alias("payload")).withColumn("tag", F.xxhash64("url", "payload"))
+    once = rows.select("key", "tag", "payload").mapInArrow(_digests, PAYLOADS_SQL).repartition("sha256").sortWithinPartitions("sha256", F.desc("owner"), F.desc("tag"))
     once.mapInArrow(_one_each, PAYLOADS_SQL).write.parquet(at.payloads)
 
-    owners = spark.read.parquet(at.payloads).select("sha256", "sha1", F.col("size").alias("bytes"), "owner")
-    mine = rows.select("key", "id", "url", F.unhex(F.sha2("payload", 256)).alias("sha256"))
+    owners = spark.read.parquet(at.payloads).select("sha256", "sha1", F.col("size").alias("bytes"), "owner", F.col("tag").alias("owner_tag"))
+    mine = rows.select("key", "id", "url", "tag", F.unhex(F.sha2("payload", 256)).alias("sha256"))
     joined = mine.join(owners, "sha256")
     revisit = (F.col("bytes") >= least) & (F.col("key") < F.col("owner"))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     header = _header(
         [
             ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-            ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(">"))),
+            ("WARC-Record-ID", _record_id(F.col("id"), F.col("tag"))),
             ("WARC-Date", F.lit(date)),
             ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
             ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("owner").cast("string"), F.lit(">")))),
-            ("Content-Type", F.lit("text/html; charset=utf-8")),
-            ("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))),
+            ("WARC-Refers-To", F.when(revisit, _record_id(F.col("owner"), F.col("owner_tag")))),
+            ("Content-Type", F.lit("application/http; msgtype=response")),
+            ("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.octet_length(http) + F.col("bytes"))),
         ]
     )
-    joined.select(header.alias("header"), "sha256").write.parquet(at.records)
+    # The HTTP head is part of the record's header bytes here, as the payload alone is shared.
+    whole = F.concat(header, F.when(revisit, F.lit("")).otherwise(http).cast("binary"))
+    joined.select(whole.alias("header"), "sha256").write.parquet(at.records)
     return at
 
 
@@ -141,11 +154,11 @@ def _verified(it):
 
 
 def _field(name: str) -> F.Column:
-    return F.nullif(F.regexp_extract(F.col("header").cast("string"), rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.col("header").cast("string"), rf"\A[^\r]*\r\n(?:[^\r\n]+\r\n)*?{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
 
 
 def _page(name: str) -> F.Column:
-    return F.nullif(F.regexp_extract(_field(name), r"^<urn:page:(-?\d+)>$", 1), F.lit("")).cast("long")
+    return F.nullif(F.regexp_extract(_field(name), r"^<urn:page:(-?\d+):[0-9a-f]+>$", 1), F.lit("")).cast("long")
 
 
 def read_index(spark: SparkSession, archive: Archive) -> DataFrame:

@@ -47,10 +47,28 @@ def test_warc_round_trip(spark):
     archive = write_archive(pages(spark))
     out = read_records(spark, archive).collect()
     assert sorted(bytes(r.payload) for r in out) == sorted((h or "").encode() for _, _, h in PAGES)
+    ids, refers = collections.Counter(), set()
     for r in out:
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
-        size = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
-        assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and rest == (bytes(r.payload) if size else b"") + b"\r\n\r\n"
+        assert head.startswith(b"WARC/1.1\r\n") and rest.endswith(b"\r\n\r\n")
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        block = rest[:-4]
+        assert int(fields[b"Content-Length"]) == len(block) and fields[b"Content-Type"] == b"application/http; msgtype=response"
+        ids[fields[b"WARC-Record-ID"]] += 1
+        if fields[b"WARC-Type"] == b"revisit":
+            assert block == b""
+            refers.add(fields[b"WARC-Refers-To"])
+        else:
+            http, _, payload = block.partition(b"\r\n\r\n")
+            assert payload == bytes(r.payload) and http.endswith(f"Content-Length: {len(payload)}".encode()) and http.startswith(b"HTTP/1.1 200 OK")
+    # Every record has an id; only rows that repeat id, url and payload share one. Revisits name records that are there.
+    assert sum(ids.values()) == len(PAGES) and len(ids) == len(set(PAGES)) and refers <= set(ids)
+
+
+def test_warc_fields_cannot_be_forged(spark):
+    rows = [(1, "http://a\r\nWARC-Type: revisit", "\r\nWARC-Record-ID: <urn:page:9:0>\r\n"), (2, "WARC-Refers-To: <urn:page:7:0>", "x")]
+    got = sorted((r.id, r.record_type, r.refers_to) for r in read_index(spark, write_archive(pages(spark, rows))).collect())
+    assert got == [(1, "response", None), (2, "response", None)]
 
 
 def test_warc_detects_damage(spark):
