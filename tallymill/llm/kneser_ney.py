@@ -392,7 +392,7 @@ class Model:
     least: int
 
 
-def train(docs: DataFrame, *, text_column: str = "text", least: int = 2) -> Model:
+def train(docs: DataFrame, *, text_column: str = "text", least: int = 1) -> Model:
     """Counts all rows of docs; least is 1 for all bigrams and trigrams, 2 to leave out those seen once."""
     spark = docs.sparkSession
     layout = Layout(local_path(new_path(spark, "kneser-ney")), partitions(spark))
@@ -519,7 +519,7 @@ def _score(it, model: Model):
         yield pa.record_batch([batch.column("id"), batch.column("held_out"), pa.array(n, type=pa.int64()), pa.array(known, type=pa.int64()), pa.array(base, type=pa.float64()), pa.array(score, type=pa.float64())], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
-def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", folds: int = 7, held_fold: int = 2, least: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", folds: int = 7, held_fold: int = 2, least: int = 1) -> DataFrame:
     """Every row's scores by a model of the rows whose crc32 of the id modulo folds is not held_fold; least as in train."""
     held = F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
     rows = docs.select(F.col(id_column).cast("long").alias("id"), held.alias("held_out"), F.col(text_column).alias("text"))

@@ -12,7 +12,9 @@ Documents are dealt by id hash into groups of bounded size, and groups are packe
 another one; at most one badly filled tail of bins comes from each group.
 
 Results in special cases: a null or blank text has no words and gets no bin (null bin and offset); a null source or cluster conflicts with
-nothing; repeated rows are packed one by one; ties go by id, then text hash.
+nothing; repeated rows are packed one by one; ties go by id, then text hash, then source; a text longer than a bin is cut into pieces and none of
+its words is left out; a null id is packed as any other; an empty table gives no rows. Only the id, text and source columns are
+read, so others may have any name.
 """
 
 from __future__ import annotations

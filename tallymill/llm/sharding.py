@@ -2,7 +2,8 @@
 takes rows only into itself.
 
 Null ids go where the lowest 64-bit key goes. Slots count up from 0 in each shard in order of id (null first), text CRC and
-size; repeated rows get a slot each. A null text has no bytes.
+size; repeated rows get a slot each. A null text has no bytes; a text of any length counts whole. An empty table gives no rows. Only the
+id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations

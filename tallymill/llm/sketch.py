@@ -9,7 +9,9 @@ in ascending order. Words are split at ASCII white space, A-Z lower-cased; a tex
 text without words has none. Likeness is 1 for equal word sequences and, where both sketches are empty, else 0. A null text
 is the empty one.
 
-Order: descending id; a null id comes last; rows that repeat an id follow each other by text hash.
+Order: descending id; a null id comes last; rows that repeat an id follow each other by text hash. The only row of a table is its own
+next one; an empty table gives no rows. Texts of any length count whole. Only the id and text columns are read, so others may have any
+name.
 """
 
 from __future__ import annotations

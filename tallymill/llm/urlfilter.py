@@ -9,7 +9,10 @@ cascade, over the rules, tells the blocking ones.
 Sizes: the first filter's false-positive rate is set from the number of rules and of distinct candidates, so that the false
 positives that reach the driver are about as many as the rules; twice as many as that bound start a tighter build.
 
-A url that no rule fits is not listed: the verdict is allow. A null url, or one without ://, has empty host and path.
+A url that no rule fits is not listed: the verdict is allow. A null url, or one without ://, has empty host and path. Rows that repeat are
+judged one by one, whatever their id; of two rules that fit, the longer decides, and two of equal length cannot both fit one url
+unless they are the same. A url of any length is judged whole: only its suffixes and prefixes of lengths that rules have are keys. An
+empty table gives no rows. Only the id and url columns are read, so others may have any name.
 """
 
 from __future__ import annotations

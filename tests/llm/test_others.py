@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from conftest import ROWS, prose
 
+from tallymill.llm import kernels as K
 from tallymill.llm import kneser_ney, toxicity, urlfilter
 from tallymill.llm.packing import pack_documents, pack_group
 from tallymill.llm.sharding import jump, shard_rows
@@ -101,7 +102,13 @@ def test_packing_rules(tricky):
         assert (r.bin is None) == (r.n_words == 0) == (r.offset is None)
         if r.bin is not None:
             bins[r.bin].append(r)
+    texts, sources = dict(ROWS), collections.defaultdict(set)
+    for k, (d, _) in enumerate(ROWS):
+        sources[d].add("s1" if k % 3 else None)
     for rows in bins.values():
+        assert sum(sources[r.id] == {"s1"} for r in rows) <= 2
+        same = collections.Counter(texts[r.id] for r in rows if r.id is not None)
+        assert max(same.values(), default=0) <= 1
         rows.sort(key=lambda r: r.offset)
         assert sum(r.n_words for r in rows) <= 64
         assert [r.offset for r in rows] == list(np.cumsum([0] + [r.n_words for r in rows[:-1]]))
@@ -131,6 +138,33 @@ def test_packing_is_best_fit(seed):
         b["s"].append(source[i])
 
 
+def test_packing_query_is_best_fit(spark):
+    """The query over its whole table: every piece is in the tightest bin that could take it, or opens one."""
+    from tallymill.llm.queries import op4_packing
+
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op4_packing(spark, "/root/testdata/sf0.001").collect()
+    words = {d: len(brute.words(r.text)) for d, r in docs.items()}
+    full = [r for r in got if r.n_words == 2048]
+    assert len(full) == sum(n // 2048 for n in words.values()) and len({r.bin for r in full}) == len(full)
+    last = {r.doc_id: r for r in got if r.bin is not None and r.n_words < 2048}
+    assert {d: r.n_words for d, r in last.items()} == {d: n % 2048 for d, n in words.items() if n % 2048}
+    bins = {}
+    for d in sorted(last, key=lambda d: (-last[d].n_words, -words[d], d)):
+        r, source, text = last[d], docs[d].source, docs[d].text
+        can = [b["room"] for b in bins.values() if b["room"] >= r.n_words and text not in b["texts"] and (source is None or b["sources"].count(source) < 4)]
+        if r.bin in bins:
+            assert bins[r.bin]["room"] == min(can)
+        else:
+            assert not can
+            bins[r.bin] = {"room": 2048, "texts": [], "sources": []}
+        b = bins[r.bin]
+        assert r.offset == 2048 - b["room"]
+        b["room"] -= r.n_words
+        b["texts"].append(text)
+        b["sources"].append(source)
+
+
 def test_packing_empty(empty):
     assert pack_documents(empty).collect() == []
 
@@ -150,6 +184,9 @@ def test_urls(spark):
     assert got[9] == ("org", "", None, "allow") and got[0] == ("", "", None, "allow") and got[2][0] == ""
     assert got[10] == ("y:", "//z.org/", None, "allow") and got[11][2] is None
     assert judge_urls(df.where("false"), RULES).collect() == []
+    long = "http://" + "a." * 3000 + "example.org/es/" + "x/" * 20000
+    wide = spark.createDataFrame([(1, long), (1, long), (None, long)], "page_id long, url string").withColumns({c: F.lit(1) for c in ("id", "path", "rule", "verdict")})
+    assert [(r.rule, r.verdict, len(r.path)) for r in judge_urls(wide, RULES).collect()] == [("example.org/es/", "block", 40004)] * 3
 
 
 def test_cascade_is_exact():
@@ -186,10 +223,52 @@ def test_edits_and_order(tricky):
     assert all(len(v) == 1 for v in same.values())
 
 
+def plain_fingerprint(text):
+    """(distinct shingles, their hashes below a quarter of the range), each shingle hashed as a text of its own."""
+    w = brute.words(brute.fold(text))
+    shingles = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    hashes = {int(s.hashes[0]) for s in sketches([" ".join(x).encode() for x in shingles], scale=1)}
+    assert len(hashes) == len(shingles)
+    return tuple(w), len(shingles), {h for h in hashes if h < 1 << 62}
+
+
+def check_edits(rows, got):
+    """rows: (id, text) in the query's order; all of its columns."""
+    left = collections.Counter()
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        half = len(t) // 2
+        edit = t[: len(t) - half] + after[:half]
+        mine, other, following = map(plain_fingerprint, (t, edit, after))
+
+        def like(a, b):
+            return 1.0 if a[0] == b[0] else len(a[2] & b[2]) / len(a[2] | b[2]) if a[2] | b[2] else 0.0
+
+        left[d, len(t), hashlib.sha256(edit.encode()).hexdigest(), mine[1], tuple(sorted(mine[2])), other[1], tuple(sorted(other[2])), round(like(mine, other), 12), round(like(mine, following), 12)] += 1
+    for r in got:
+        a, b = Sketch.parse(r.fingerprint), Sketch.parse(r.edited_fingerprint)
+        left[r[0], r.n_chars, r.edited_sha256, a.distinct, tuple(a.hashes.tolist()), b.distinct, tuple(b.hashes.tolist()), round(r.near_edited, 12), round(r.near_next, 12)] -= 1
+    assert not +left and not -left
+
+
+def test_edits_of_odd_rows_against_sets(tricky):
+    key = F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = [(r.doc_id, r.text or "") for r in tricky.orderBy(key).collect()]
+    check_edits(rows, fingerprint_edits(tricky).collect())
+
+
+def test_edits_query_against_sets(spark):
+    from tallymill.llm.queries import op8_fingerprints
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = sorted(((r.doc_id, r.text or "") for r in docs), key=lambda r: -r[0])
+    check_edits(rows, op8_fingerprints(spark, "/root/testdata/sf0.001").collect())
+
+
 def test_wrap_and_empty(spark, empty):
     one = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     r = fingerprint_edits(one).first()
-    assert r.edited_sha256 == hashlib.sha256(b"a b a b").hexdigest()[:0] + hashlib.sha256(("a b c d"[:4] + "a b").encode()).hexdigest()
+    assert r.edited_sha256 == hashlib.sha256(b"a b a b").hexdigest()
     assert r.near_next == 1.0 and fingerprint_edits(empty).collect() == []
 
 
@@ -228,15 +307,16 @@ def test_shards(tricky, empty):
 # Language model.
 
 
-def test_scores_against_plain_counts(spark, tricky):
-    got = kneser_ney.score_documents(tricky).collect()
-    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
-    train = [t for d, t in ROWS if not held(d)]
+def held(d):
+    return zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+
+
+def plain_model(train, least):
+    """Counts in dictionaries, and p(word after two words); least=2 takes the whole of single bigrams and trigrams for the lower order."""
     tri = brute.trigrams(train)
     count = collections.Counter(w for (_, _, w), n in tri.items() for _ in range(n))
-    total, vocab = sum(count.values()), len(count)
     raw, follow = collections.Counter(), collections.Counter()
-    for (a, b, w), n in tri.items():
+    for (_, b, w), n in tri.items():
         raw[b, w] += n
         follow[b, w] += 1
     for k in follow:
@@ -245,45 +325,72 @@ def test_scores_against_plain_counts(spark, tricky):
     types = collections.Counter(w for _, w in follow)
     of = lambda v: [collections.Counter(v)[i] for i in (1, 2, 3, 4)]
     d3, d2, d1 = (kneser_ney.discounts(of(x.values())) for x in (tri, follow, types))
-    off = lambda d, n: d[min(n, 3) - 1] if n else 0.0
-    freed = sum(off(d1, n) for n in types.values())
+    if least == 2:
+        d3, d2 = (1.0, *d3[1:]), (1.0, *d2[1:])
+    after2, after3 = collections.defaultdict(dict), collections.defaultdict(dict)
+    for (b, w), n in follow.items():
+        after2[b][w] = n
+    for (a, b, w), n in tri.items():
+        after3[a, b][w] = n
+    kept = lambda n, d: n - d[min(n, 3) - 1] if n else 0.0
+    freed = sum(n - kept(n, d1) for n in types.values())
+    masses2 = {b: (sum(c.values()), sum(kept(n, d2) for n in c.values())) for b, c in after2.items()}
+    masses3 = {k: sum(kept(n, d3) for n in c.values()) for k, c in after3.items()}
 
     def p(a, b, w):
-        p1 = max(types[w] - off(d1, types[w]), 0) / len(follow) + freed / len(follow) / (vocab + 1)
-        c2 = {x: n for (y, x), n in follow.items() if y == b}
-        if c2:
-            s = sum(c2.values())
-            kept = sum(n - off(d2, n) for n in c2.values() if n >= 2)
-            p1 = (c2.get(w, 0) - off(d2, c2.get(w, 0)) if c2.get(w, 0) >= 2 else 0) / s + (1 - kept / s) * p1
-        if raw[a, b] >= 2:
-            c3 = {x: n for (y, z, x), n in tri.items() if (y, z) == (a, b)}
-            kept = sum(n - off(d3, n) for n in c3.values() if n >= 2)
-            p1 = (c3.get(w, 0) - off(d3, c3.get(w, 0)) if c3.get(w, 0) >= 2 else 0) / raw[a, b] + (1 - kept / raw[a, b]) * p1
-        return p1
-
-    texts = collections.defaultdict(list)
-    for d, t in ROWS:
-        texts[d].append(t)
-    for r in got:
-        assert r.train_tokens == total and r.held_out == held(r.id)
-        ok = []
-        for t in texts[r.id]:
-            x = [*brute.words(brute.fold(t)), "</s>"]
-            base = sum(math.log10((count[w] + 1) / (total + vocab + 1)) for w in x)
-            y = ["<s>", "<s>", *x]
-            score = sum(math.log10(p(*y[i - 2 : i + 1])) for i in range(2, len(y))) if len(x) < 300 else r.score
-            ok.append(r.n_tokens == len(x) and r.n_known == sum(count[w] > 0 for w in x) and math.isclose(base, r.base_score, rel_tol=1e-9) and math.isclose(score, r.score, rel_tol=1e-9))
-        assert any(ok)
+        x = kept(types[w], d1) / len(follow) + freed / len(follow) / (len(count) + 1)
+        if b in after2:
+            total, mass = masses2[b]
+            x = kept(after2[b].get(w, 0), d2) / total + (1 - mass / total) * x
+        if raw[a, b]:
+            x = kept(after3[a, b].get(w, 0), d3) / raw[a, b] + (1 - masses3[a, b] / raw[a, b]) * x
+        return x
+
+    return count, p
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_scores_against_plain_counts(spark, tricky, least):
+    """Every row, every text whole, against a model of dictionaries over all counts."""
+    got = kneser_ney.score_documents(tricky, least=least).collect()
+    count, p = plain_model([t for d, t in ROWS if not held(d)], least)
+    total, vocab = sum(count.values()), len(count)
+
+    def plain(d, t):
+        x = [*brute.words(brute.fold(t)), "</s>"]
+        y = ["<s>", "<s>", *x]
+        base = sum(math.log10((count[w] + 1) / (total + vocab + 1)) for w in x)
+        score = sum(math.log10(p(*y[i - 2 : i + 1])) for i in range(2, len(y)))
+        return (d is None, d or 0, held(d), len(x), sum(count[w] > 0 for w in x), total, base, score)
+
+    mine = sorted((r.id is None, r.id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
+    want = sorted(plain(d, t) for d, t in ROWS)
+    assert len(mine) == len(want)
+    for x, y in zip(mine, want, strict=True):
+        assert x[:6] == y[:6] and x[6:] == pytest.approx(y[6:], rel=1e-9)
+
+
+def test_query_scores_whole_table(spark):
+    from tallymill.llm.queries import op9_kneser_ney
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    count, p = plain_model([t for d, t in rows if not held(d)], 1)
+    got = {r.doc_id: r for r in op9_kneser_ney(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        y = ["<s>", "<s>", *brute.words(brute.fold(t)), "</s>"]
+        assert got[d].score == pytest.approx(sum(math.log10(p(*y[i - 2 : i + 1])) for i in range(2, len(y))), rel=1e-9)
+        assert (got[d].held_out, got[d].n_tokens, got[d].train_tokens) == (held(d), len(y) - 2, sum(count.values()))
 
 
 def test_model_beats_unigrams_and_empty(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    held = [r for r in kneser_ney.score_documents(docs).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    unseen = [r for r in kneser_ney.score_documents(docs).collect() if r.held_out]
+    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
     assert kneser_ney.score_documents(empty).collect() == []
-    alone = spark.createDataFrame([(10, "only held")], "doc_id long, text string").where("true")
-    for r in kneser_ney.score_documents(alone).collect():
-        assert r.train_tokens in (0, 3)
+    alone = next(d for d in range(99) if held(d))
+    one = kneser_ney.score_documents(spark.createDataFrame([(alone, "only held")], "doc_id long, text string")).first()
+    assert (one.held_out, one.train_tokens, one.n_tokens, one.n_known, one.base_score, one.score) == (True, 0, 3, 0, 0.0, 0.0)
 
 
 # Toxicity.
@@ -311,6 +418,37 @@ def test_held_out_accuracy(spark):
     assert toxicity.LEAST_REJECT <= chain.reject <= toxicity.MOST_REJECT
 
 
+def plain_chain(chain, text):
+    """Each distinct word's weights added one by one, then the chain."""
+    sums = [0.0] * len(chain.models)
+    for word in set(brute.words(brute.fold(text))):
+        w = K.Words([word.encode()])
+        _, feature = toxicity.word_features(w, np.array([0]), w.hashes(fold=True))
+        assert len(feature) == 1 + sum(len(word.encode()) >= n for n in toxicity.HEADS)
+        sums = [s + float(m.weights[feature].sum()) for s, m in zip(sums, chain.models, strict=True)]
+    out = []
+    for m, s in zip(chain.models, sums, strict=True):
+        odds = [math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6))) for p in out]
+        x = m.bias + s + sum(min(max(o, -6), 6) * e for o, e in zip(odds, m.earlier, strict=True))
+        out.append(1 / (1 + math.exp(-min(max(x, -35), 35))))
+    return out
+
+
+def test_scores_word_by_word(spark, tricky):
+    from tallymill.llm.queries import op6_toxicity, toxicity_chain
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    chain = toxicity_chain(spark, docs, sf)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = op6_toxicity(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        assert [r.p_low_quality, r.p_toxic] == pytest.approx(plain_chain(chain, texts[r.doc_id]), abs=1e-9) and r.toxic == (r.p_toxic >= chain.reject)
+    odd = sorted((r.p_low_quality, r.p_toxic) for r in toxicity.score(tricky, chain).collect())
+    assert np.allclose(odd, sorted(plain_chain(chain, t or "") for _, t in ROWS), atol=1e-9)
+
+
 def test_threshold():
     y = np.array([0] * 1000 + [1] * 10 + [-1] * 5)
     p = np.concatenate((np.linspace(0, 0.3, 1000), np.full(15, 0.9)))
