@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallymill.operators.components import checkpoint_dir
+
 #: Hash parts of numbered: fixed, so that numbers do not depend on the session's shuffle width.
 PARTS = 1024
 
@@ -24,9 +26,12 @@ def _beside(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 def running_sums(df: DataFrame, key: str, sums: dict[str, str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
     """df, of one row for each key within by, with a column for each of sums: the named column's sum from the first key to this one.
 
-    key: a number, a date or a time. Nulls come first, and last when descending. An empty table stays empty.
+    key: a number, a date or a time. Nulls come first, and last when descending. An empty table stays empty. df is read for the bounds of
+    the ranges, for their sums and for the windows, so it is checkpointed first.
     """
     by = list(by or [])
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts).alias("running_cuts"))
     part = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter("running_cuts", lambda c: c <= F.col(key))))
