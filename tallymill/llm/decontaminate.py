@@ -24,14 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import kernels as K
-from tallymill.llm.runtime import text_bytes
+from tallymill.llm.runtime import loosened, text_bytes, whole_row, with_rest
 
 BLOCK_BYTES = 4 << 20
 #: Words of a shingle; an item shorter than that is its own shingle.
 SHINGLE = 3
 U = np.uint64
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_KEEP = bytes(i if not K.PUNCTUATION[i] else 32 for i in range(256)).translate(_FOLD)
+_KEEP = bytes(i if not K.PUNCTUATION[i] else 32 for i in range(256)).translate(K.FOLD)
 
 
 @dataclass
@@ -67,8 +66,10 @@ class Matcher:
     def __init__(self, block: Block, shingles: list[tuple[int, ...]]) -> None:
         self.base = len(block.vocabulary) + 1
         assert self.base**SHINGLE < 1 << 63, "a block has too many words"
-        known = K.Words([b" ".join(block.vocabulary)])
-        h = known.hashes()
+        known, self.seed = K.Words([b" ".join(block.vocabulary)]), 0
+        # No two words of a block share a hash: the seed rises until all differ.
+        while len(np.unique(h := known.hashes(seed=self.seed))) < len(h):
+            self.seed += 1
         order = np.argsort(h)
         #: Sorted hashes of the vocabulary, to number a document's words as arrays; equality is then checked on the bytes.
         self.hashes, self.number, self.spelling = h[order], order, list(block.vocabulary)
@@ -87,7 +88,7 @@ class Matcher:
 
     def numbers(self, w: K.Words) -> np.ndarray:
         """Each word's number in the vocabulary, or -1."""
-        h = w.hashes(fold=True)
+        h = w.hashes(fold=True, seed=self.seed)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.number[at], -1)
 
@@ -216,7 +217,9 @@ def _scan(it, block: Block, docs: dict[int, int], carry: list[str]):
                 mine = doc == d
                 items[lo + d] = [names[i] for i in sorted({i for n in np.unique(win[mine]) for i in owned[n]})]
                 spans[lo + d] = [{"first": int(a), "size": int(b)} for a, b in sorted(set(zip((begin[mine] - w.bounds[d]).tolist(), p.width[win[mine]].tolist(), strict=True)))]
-        yield pa.record_batch([*(batch.column(c) for c in carry), pa.array(n_words), pa.array(n_hit), pa.array(items, type=pa.list_(pa.string())), pa.array(spans, type=pa.list_(pa.struct([("first", pa.int64()), ("size", pa.int64())])))], names=[*carry, "n_words", "n_hit", "items", "spans"])
+        got = {c: batch.column(c) for c in carry if c != "rest"}
+        got |= {"n_words": pa.array(n_words), "n_hit": pa.array(n_hit), "items": pa.array(items, type=pa.list_(pa.string())), "spans": pa.array(spans, type=pa.list_(pa.struct([("first", pa.int64()), ("size", pa.int64())])))}
+        yield pa.record_batch(got | ({"rest": loosened(batch.column("rest"))} if "rest" in carry else {}))
 
 
 def _blocks(benchmark: DataFrame, item_column: str, text_column: str, window: int):
@@ -235,15 +238,15 @@ def _blocks(benchmark: DataFrame, item_column: str, text_column: str, window: in
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = 13, keep_columns: bool = False) -> DataFrame:
     """For each document: id, n_words, n_hit (words inside an occurrence of a benchmark window), items (sorted ids as strings)
     and spans (first word and size of each occurrence). keep_columns: also `rest`, a struct of the input's columns."""
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")] if keep_columns else []))
-    carry = ["id", *(["rest"] if keep_columns else [])]
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text"), *([whole_row(docs)] if keep_columns else []))
+    carry = ["id"]
     blocks = list(_blocks(benchmark, item_column, item_text, window))
     if len(blocks) > 1:  # only rows with equal texts are one row to unite
         rows = rows.withColumn("digest", F.sha2("text", 256))
         carry.append("digest")
-    kind = f", rest {rows.schema['rest'].dataType.simpleString()}" if keep_columns else ""
-    kind += ", digest string" if "digest" in carry else ""
-    fields = f"id long{kind}, n_words long, n_hit long, items array<string>, spans array<struct<first:bigint,size:bigint>>"
+    carry += ["rest"] if keep_columns else []
+    fields = f"id long{', digest string' if 'digest' in carry else ''}, n_words long, n_hit long, items array<string>, spans array<struct<first:bigint,size:bigint>>"
+    fields = with_rest(fields, docs) if keep_columns else fields
     parts = []
     for b in blocks:
         # As many counts as the block has shingles, whatever the number of documents.

@@ -1,7 +1,6 @@
 """Vectorised text kernels: whole batches of texts are cut into words and hashed as arrays, without a Python step per word.
 
-A word's 64-bit hash is a polynomial in its bytes, taken from one running sum over the batch, then mixed. A window's hash is
-the same over word hashes.
+A word's hash is the XXH64 of its bytes. A window's hash is a tree over its words' hashes, a longer sequence's the XXH64 of them.
 """
 
 from __future__ import annotations
@@ -9,13 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import xxhash
+
+from tallymill.llm.xxh64 import xxh64_slices
 
 U64 = np.uint64
 #: Bytes of text that one array step works on; a longer text makes a batch of its own.
 BATCH_BYTES = 1 << 19
-#: Longer words are hashed one by one.
-LONG_WORD = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,37 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class Polynomial:
-    """Hashes of slices of an array from one running sum, for an odd base modulo 2**64."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=U64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
-
-    def slices(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(values)
-        self._grow(n + 1)
-        run = np.empty(n + 1, dtype=U64)
-        run[0] = 0
-        np.cumsum(values * self.up[:n], out=run[1:])
-        return (run[ends] - run[starts]) * self.down[starts]
-
-
-_BYTES, _WORDS = Polynomial(0x9E3779B97F4A7C15), Polynomial(0xD6E8FEB86659FD93)
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-#: A-Z hash as a-z.
-_FOLDED = _TABLE.copy()
-_FOLDED[65:91] = _TABLE[97:123]
+#: A-Z as a-z.
+FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 #: Separators of words [^\x20\x09-\x0D]+.
 SPACES = np.zeros(256, dtype=bool)
@@ -92,33 +61,34 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.texts), dtype=np.int64), np.diff(self.bounds))
 
-    def hashes(self, fold: bool = False) -> np.ndarray:
-        table, out, n, at = _FOLDED if fold else _TABLE, np.empty(len(self), dtype=U64), len(self), 0
-        while at < n:
-            a = self.starts[at]
-            stop = max(at + 1, int(np.searchsorted(self.starts, a + BATCH_BYTES)))
-            b = min(int(self.ends[stop - 1]), int(a) + BATCH_BYTES + LONG_WORD)
-            out[at:stop] = _BYTES.slices(table[self.buf[a:b]], self.starts[at:stop] - a, np.minimum(self.ends[at:stop], b) - a)
-            at = stop
-        sizes = self.ends - self.starts
-        for i in np.flatnonzero(sizes > LONG_WORD):
-            w = self.data[self.starts[i] : self.ends[i]]
-            out[i] = xxhash.xxh64_intdigest(w.lower() if fold else w)
-        return mix(out + sizes.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    def hashes(self, fold: bool = False, seed: int = 0) -> np.ndarray:
+        """XXH64 of each word. Seeds give independent hashes."""
+        return xxh64_slices(self.data.translate(FOLD) if fold else self.data, self.starts, self.ends, seed)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix((a * U64(0x9E3779B97F4A7C15)) ^ b)
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each run of width words; runs that cross a text's end are the caller's to mask."""
+    """The hash of each run of width words, a tree over runs of 1, 2, 4, ... words whose every node is mixed, so that no
+    pattern of words cancels out; runs that cross a text's end are the caller's to mask."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, dtype=U64)
-    at = np.arange(n)
-    return mix(_WORDS.slices(words, at, at + width))
+    run, size, out, done = words, 1, None, 0
+    while True:
+        if width & size:
+            out = run[:n] if out is None else _joined(out, run[done : done + n])
+            done += size
+        if done == width:
+            return mix(out + U64(width))
+        run, size = _joined(run[:-size], run[size:]), 2 * size
 
 
 def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each run of words, of any length."""
-    return mix(_WORDS.slices(words, starts, ends))
+    """The hash of each run of words, of any length: XXH64 over the words' hashes."""
+    return xxh64_slices(np.ascontiguousarray(words, dtype="<u8").tobytes(), 8 * np.asarray(starts), 8 * np.asarray(ends), 0)
 
 
 def same_doc(bounds: np.ndarray, width: int, n: int) -> np.ndarray:

@@ -6,11 +6,14 @@ import struct
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymill.operators.components import checkpoint_dir
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,6 +74,47 @@ def text_bytes(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
 
 
+def quoted(name: str) -> str:
+    """A column's name for expressions, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> F.Column:
+    """All columns as one struct, `rest`."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("rest")
+
+
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with every part nullable: what Python tasks return is declared so."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True, f.metadata) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType), True)
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType), True)
+    return kind
+
+
+def with_rest(fields: str, docs: DataFrame) -> T.StructType:
+    """The fields given as text and `rest`."""
+    return T.StructType([*T.StructType.fromDDL(fields), T.StructField("rest", nullable(T.StructType(docs.schema.fields)))])
+
+
+def _loose(kind: pa.DataType) -> pa.DataType:
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _loose(f.type), metadata=f.metadata) for f in kind])
+    if pa.types.is_map(kind):
+        return pa.map_(pa.field(kind.key_field.name, _loose(kind.key_type), False), pa.field(kind.item_field.name, _loose(kind.item_type)))
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, _loose(kind.value_type)))
+    return kind
+
+
+def loosened(column):
+    """An Arrow column of a Python task as nullable() declares it."""
+    return column.cast(_loose(column.type))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of fixed width, one after the other; read back by unpack with the same dtypes."""
     parts = [np.ascontiguousarray(a) for a in arrays]

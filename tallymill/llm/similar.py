@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import kernels as K
-from tallymill.llm.runtime import Scratch, text_bytes
+from tallymill.llm.runtime import Scratch, text_bytes, whole_row
 from tallymill.llm.simhash import fingerprints, near_links
 from tallymill.operators.components import connected_components
 
@@ -181,11 +181,11 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     one with the smallest id, then text hash; and all rows without an id."""
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     body = text_bytes(F.col(text_column))
-    keyed = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.xxhash64(body).alias("digest"), body.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
+    keyed = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.xxhash64(body).alias("digest"), body.alias("text"), whole_row(docs))
     texts = keyed.select("id", "digest", "text")
     forms = near_forms(texts, scratch, near=near, words=words, least=least)
     kept = scratch.save(forms.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("low")).select("low.*"))
     scratch.clear(but=kept)
-    plain = [F.col(f"rest.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    out = keyed.select("id", "digest", "rest").join(kept, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.min_by("rest", F.xxhash64(*plain)).alias("rest"))
+    # Equal ids and texts: ordered by the whole row as text, so that no column is left out.
+    out = keyed.select("id", "digest", "rest").join(kept, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.min_by("rest", F.sha2(F.to_json("rest"), 256)).alias("rest"))
     return out.select("rest.*").unionByName(docs.where(F.col(id_column).isNull()))

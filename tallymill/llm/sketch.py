@@ -76,8 +76,7 @@ def sketches(texts: list[bytes], words: int = SHINGLE, scale: int = SCALE) -> li
         h = w.hashes(fold=True)
         win = K.window_hashes(h, words)
         n = np.diff(w.bounds)
-        whole = K._WORDS.slices(h, w.bounds[:-1], w.bounds[1:])
-        whole = K.mix(whole + n.astype(U))
+        whole = K.sequence_hashes(h, w.bounds[:-1], w.bounds[1:])
         for i in range(hi - lo):
             if n[i] >= words:
                 every = np.unique(win[w.bounds[i] : w.bounds[i + 1] - words + 1])

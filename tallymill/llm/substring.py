@@ -10,7 +10,10 @@ documents share sends one entry per bucket, not one per document.
 
 Results in special cases: a null or empty text has no words and stays; a null id is neither smaller nor larger than any, so
 its row loses and removes nothing; rows that repeat an id are not smaller than each other, each gets its own result; a text
-shorter than the window stays. Other columns pass through untouched, whatever their names.
+shorter than the window stays; a very long text is one row like any other; of equal windows in one document, each is judged;
+an empty table gives no rows. Other columns pass through untouched, whatever their names and types.
+
+Anchors only choose candidates, by 64 bits of a hash. Windows count as equal by 128 bits of two hashes with different seeds.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import kernels as K
-from tallymill.llm.runtime import pack, partitions, text_bytes, unpack
+from tallymill.llm.runtime import loosened, pack, partitions, text_bytes, unpack, whole_row, with_rest
 
 #: Perfect or minimal difference covers: every difference modulo the period occurs between two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 ENTRY, SETTLED = 0, 1
+#: Windows are equal if two hashes over words that are hashed with two seeds are: 128 bits.
+SECOND = 0x5EED
 
 
 @dataclass(frozen=True)
@@ -73,13 +78,13 @@ def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[at].astype(np.uint32), np.diff(np.append(at, len(rows))).astype(np.uint32)
 
 
-def _entries(source: int, target: np.ndarray, rows: np.ndarray, ids: np.ndarray, pos: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+def _entries(source: int, target: np.ndarray, rows: np.ndarray, ids: np.ndarray, pos: np.ndarray, *keys: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """One packed row for each target bucket. rows are ascending."""
     order = np.argsort(target, kind="stable")
-    target, rows, pos, keys = target[order], rows[order], pos[order], keys[order]
+    target, rows, pos, keys = target[order], rows[order], pos[order], [k[order] for k in keys]
     for a, b in K.runs(target):
         who, n = _runs(rows[a:b])
-        yield int(target[a]), ENTRY, pack(np.array([source], dtype=np.int64), who, n, ids[who], pos[a:b].astype(np.uint32), keys[a:b])
+        yield int(target[a]), ENTRY, pack(np.array([source], dtype=np.int64), who, n, ids[who], pos[a:b].astype(np.uint32), *(k[a:b] for k in keys))
 
 
 def _settled(source: int, rows: np.ndarray, pos: np.ndarray) -> bytes:
@@ -130,7 +135,16 @@ def _anchors(plan: Plan, source: int, t: pa.Table) -> pa.Table:
     return _sent(out)
 
 
-def _gathered(t: pa.Table, key: type) -> tuple[list, list]:
+def _starts(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Where each run of rows that agree in every key begins, in that order."""
+    if not len(order):
+        return np.empty(0, dtype=np.int64)
+    turn = np.ones(len(order), dtype=bool)
+    turn[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    return np.flatnonzero(turn)
+
+
+def _gathered(t: pa.Table, *keys: type) -> tuple[list, list]:
     """The entries that met in a bucket, and what is settled and only passes."""
     entries, passing = [], []
     for kind, load in zip(t.column("kind").to_pylist(), t.column("load"), strict=True):
@@ -138,17 +152,17 @@ def _gathered(t: pa.Table, key: type) -> tuple[list, list]:
         if kind == SETTLED:
             passing.append((int(unpack(blob, np.int64, np.uint32, np.uint32, np.uint32)[0][0]), blob.to_pybytes()))
         else:
-            source, who, n, ids, pos, keys = unpack(blob, np.int64, np.uint32, np.uint32, np.int64, np.uint32, key)
-            entries.append((np.full(len(pos), source[0], dtype=np.int64), np.repeat(who, n), np.repeat(ids, n), pos, keys))
+            source, who, n, ids, pos, *key = unpack(blob, np.int64, np.uint32, np.uint32, np.int64, np.uint32, *keys)
+            entries.append((np.full(len(pos), source[0], dtype=np.int64), np.repeat(who, n), np.repeat(ids, n), pos, *key))
     return entries, passing
 
 
 def _answers(entries: list, passing: list, keep) -> pa.Table:
     out = [(to, SETTLED, blob) for to, blob in passing]
     if entries:
-        source, row, ids, pos, keys = (np.concatenate(x) for x in zip(*entries, strict=True))
-        order = np.argsort(keys, kind="stable")
-        first = K.group_starts(keys[order])
+        source, row, ids, pos, *keys = (np.concatenate(x) for x in zip(*entries, strict=True))
+        order = np.lexsort(keys[::-1])
+        first = _starts(keys, order)
         size = np.diff(np.append(first, len(order)))
         who = ids[order]
         hit = order[keep(who, np.repeat(np.minimum.reduceat(who, first), size), np.repeat(np.maximum.reduceat(who, first), size))]
@@ -167,7 +181,7 @@ def _shared_anchors(t: pa.Table) -> pa.Table:
 
 def _repeated_windows(t: pa.Table) -> pa.Table:
     """Windows that also start in a smaller document, back to their buckets."""
-    return _answers(*_gathered(t, np.uint64), lambda who, low, high: who > low)
+    return _answers(*_gathered(t, np.uint64, np.uint64), lambda who, low, high: who > low)
 
 
 def _positions(t: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,15 +199,14 @@ def _positions(t: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _windows(plan: Plan, source: int, t: pa.Table, sent: pa.Table) -> pa.Table:
     b = _bucket(t)
     arow, apos = _positions(sent, len(b.ids))
-    keys, rows, pos = [], [], []
+    keys, second, rows, pos = [], [], [], []
     for lo, hi in K.batches([len(x) for x in b.texts]):
         x, y = np.searchsorted(apos_row := arow, [lo, hi])
         if x == y:
             continue
         w = K.Words(b.texts[lo:hi])
-        h = K.window_hashes(w.hashes(), plan.window)
-        m = len(h)
-        if not m:
+        m = len(w) - plan.window + 1
+        if m <= 0:
             continue
         # A window touches a shared anchor if it starts up to period - 1 words before it.
         edge = np.zeros(m + 1, dtype=np.int32)
@@ -202,29 +215,30 @@ def _windows(plan: Plan, source: int, t: pa.Table, sent: pa.Table) -> pa.Table:
         np.add.at(edge, np.minimum(at + 1, m), -1)
         cand = np.flatnonzero((np.cumsum(edge[:m]) > 0) & K.same_doc(w.bounds, plan.window, len(w)))
         local = np.searchsorted(w.bounds, cand, side="right") - 1
-        keys.append(h[cand])
+        keys.append(K.window_hashes(w.hashes(), plan.window)[cand])
+        second.append(K.window_hashes(w.hashes(seed=SECOND), plan.window)[cand])
         rows.append(local + lo)
         pos.append(cand - w.bounds[local])
     if not keys:
         return _sent([])
-    key, row, at = np.concatenate(keys), np.concatenate(rows), np.concatenate(pos)
+    key, more, row, at = (np.concatenate(x) for x in (keys, second, rows, pos))
     live = b.known[row]
-    key, row, at = key[live], row[live], at[live]
+    key, more, row, at = key[live], more[live], row[live], at[live]
     if not len(key):
         return _sent([])
-    order = np.lexsort((b.ids[row], key))
-    first = K.group_starts(key[order])
+    order = np.lexsort((b.ids[row], more, key))
+    first = _starts([key, more], order)
     size = np.diff(np.append(first, len(order)))
     later = b.ids[row[order]] > np.repeat(b.ids[row[order[first]]], size)
     send = np.sort(order[~later])
-    out = list(_entries(source, (key[send] >> np.uint64(32)).astype(np.int64) % plan.buckets, row[send], b.ids, at[send], key[send]))
+    out = list(_entries(source, (key[send] >> np.uint64(32)).astype(np.int64) % plan.buckets, row[send], b.ids, at[send], key[send], more[send]))
     if later.any():
         mine = np.sort(order[later])
         out.append((source % plan.buckets, SETTLED, _settled(source, row[mine], at[mine])))
     return _sent(out)
 
 
-def _cut_texts(plan: Plan, joiner: bytes | None, t: pa.Table, sent: pa.Table, schema: pa.Schema) -> pa.Table:
+def _cut_texts(plan: Plan, joiner: bytes | None, t: pa.Table, sent: pa.Table) -> pa.Table:
     b = _bucket(t)
     wrow, wpos = _positions(sent, len(b.ids))
     n_words, n_removed, kept = np.zeros(len(b.ids), dtype=np.int64), np.zeros(len(b.ids), dtype=np.int64), []
@@ -259,10 +273,9 @@ def _cut_texts(plan: Plan, joiner: bytes | None, t: pa.Table, sent: pa.Table, sc
         "n_removed": pa.array(n_removed[back]),
         "kept_text": pa.array(kept, type=pa.string()).take(pa.array(back)),
     }
-    if "rest" in schema.names:
-        cols["rest"] = t.column("rest")
-        cols["no_text"] = t.column("no_text")
-    return pa.table([cols[n] for n in schema.names], names=schema.names)
+    if "rest" in t.column_names:
+        cols |= {"no_text": t.column("no_text"), "rest": loosened(t.column("rest"))}
+    return pa.table(cols)
 
 
 def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", window: int = 13, join_words: str | None = None, keep_columns: bool = False) -> DataFrame:
@@ -278,17 +291,13 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     cols = [part.alias("part"), F.col(id_column).cast("long").alias("id"), F.xxhash64(body).alias("same"), body.alias("text")]
     fields, extra = "id long, n_words long, n_removed long, kept_text string", []
     if keep_columns:
-        rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        extra = [rest.alias("rest"), F.col(text_column).isNull().alias("no_text")]
-        kind = docs.select(rest.alias("rest")).schema["rest"].dataType.simpleString()
-        fields += f", rest {kind}, no_text boolean"
+        extra = [whole_row(docs), F.col(text_column).isNull().alias("no_text")]
+        fields = with_rest(f"{fields}, no_text boolean", docs)
     dealt = docs.select(*cols, *extra)
     narrow = dealt.groupBy("part")
-    names = pa.schema([(f.strip().split(" ")[0], pa.null()) for f in ("id x", "n_words x", "n_removed x", "kept_text x", *(("rest x", "no_text x") if keep_columns else ()))])
-
     anchors = narrow.applyInArrow(lambda key, t: _anchors(plan, key[0].as_py(), t), SENT_SQL)
     shared = anchors.groupBy("to").applyInArrow(_shared_anchors, SENT_SQL)
     windows = narrow.cogroup(shared.groupBy("to")).applyInArrow(lambda key, t, s: _windows(plan, key[0].as_py(), t, s), SENT_SQL)
     repeated = windows.groupBy("to").applyInArrow(_repeated_windows, SENT_SQL)
     joiner = None if join_words is None else join_words.encode()
-    return narrow.cogroup(repeated.groupBy("to")).applyInArrow(lambda key, t, s: _cut_texts(plan, joiner, t, s, names), fields)
+    return narrow.cogroup(repeated.groupBy("to")).applyInArrow(lambda key, t, s: _cut_texts(plan, joiner, t, s), fields)

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import kernels as K
-from tallymill.llm.runtime import text_bytes
+from tallymill.llm.runtime import loosened, text_bytes, whole_row, with_rest
+from tallymill.llm.xxh64 import xxh64_slices
 
 U = np.uint64
 BITS = 18
@@ -42,12 +43,11 @@ FALSE_ALARMS, LEAST_REJECT, MOST_REJECT = 0.002, 0.05, 0.5
 
 def word_features(w: K.Words, at: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature): features of the words at these positions, whose hashes are whole; word numbers count through `at`."""
-    table = K._FOLDED[w.buf]
-    s, e = w.starts[at], w.ends[at]
+    folded, s, e = w.data.translate(K.FOLD), w.starts[at], w.ends[at]
     word, feature = [np.arange(len(at))], [(K.mix(whole) >> U(64 - BITS)).astype(np.int64)]
     for n in HEADS:
         has = np.flatnonzero(e - s >= n)
-        h = K.mix(K._BYTES.slices(table, s[has], s[has] + n) + U((1 << 56) + n))
+        h = xxh64_slices(folded, s[has], s[has] + n, n)
         word.append(has)
         feature.append((h >> U(64 - BITS)).astype(np.int64))
     return np.concatenate(word), np.concatenate(feature)
@@ -280,16 +280,17 @@ def _margins(chain: Chain, texts: list[bytes]) -> list[np.ndarray]:
 def score(docs: DataFrame, chain: Chain, *, id_column: str = "doc_id", text_column: str = "text", keep_columns: bool = False) -> DataFrame:
     """(id, one probability for each category in order); keep_columns: also `rest`, a struct of the input's columns."""
     names = [f"p{i}" for i in range(len(chain.models))]
-    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")] if keep_columns else []
+    rest = [whole_row(docs)] if keep_columns else []
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text"), *rest)
     carry = ["id", *(["rest"] if keep_columns else [])]
-    fields = f"id long{f', rest {rows.schema["rest"].dataType.simpleString()}' if keep_columns else ''}, " + ", ".join(f"{n} double" for n in names)
+    fields = "id long, " + ", ".join(f"{n} double" for n in names)
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # 2 MB for each category, fixed by BITS
 
     def run(it):
         for b in it:
             p = sent.value.probabilities(_margins(sent.value, b.column("text").to_pylist()))
-            yield pa.record_batch([*(b.column(c) for c in carry), *(pa.array(x, type=pa.float64()) for x in p)], names=[*carry, *names])
+            kept = [loosened(b.column("rest"))] if keep_columns else []
+            yield pa.record_batch([b.column("id"), *(pa.array(x, type=pa.float64()) for x in p), *kept], names=["id", *names, *carry[1:]])
 
-    out = rows.mapInArrow(run, fields)
+    out = rows.mapInArrow(run, with_rest(fields, docs) if keep_columns else fields)
     return out.select(*carry, *[F.col(n).alias(f"p_{c}") for n, c in zip(names, chain.categories, strict=True)])

@@ -42,3 +42,34 @@ def tricky(spark):
 @pytest.fixture
 def empty(tricky):
     return tricky.where("false")
+
+
+@pytest.fixture
+def odd_columns(tricky):
+    """Names that need quoting, and fields of every kind that are not nullable."""
+    from pyspark.sql import functions as F
+
+    one = F.lit(1)
+    extra = {
+        "my col": F.lit("b"),
+        "x.y": one,
+        "a:b": F.lit(2.5),
+        "tick`": F.lit(True),
+        "pairs": F.create_map(F.lit("k"), one),
+        "list": F.array(one, F.lit(2)),
+        "box": F.struct(one.alias("in side"), F.array(F.struct(one.alias("z"))).alias("deep")),
+        "when": F.to_timestamp(F.lit("2024-01-02 03:04:05")),
+        "day": F.to_date(F.lit("2024-01-02")),
+        "sum": F.lit(1).cast("decimal(12,2)"),
+        "raw": F.lit("q").cast("binary"),
+    }
+    return tricky.withColumns(extra)
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    """The sequence of n symbols over a and b in which patterns cancel most."""
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+def twins(n: int) -> tuple[str, str]:
+    return thue_morse(n, "x", "y"), thue_morse(n, "y", "x")

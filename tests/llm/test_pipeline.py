@@ -22,6 +22,14 @@ def test_stages_take_anything(spark, tricky, empty, name, stage):
     assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
 
 
+@pytest.mark.parametrize("name,stage", P.STAGES[:-1])
+def test_stages_keep_odd_columns(spark, odd_columns, name, stage):
+    out = stage(spark, odd_columns, "/root/testdata/sf0.001")
+    assert out.columns == odd_columns.columns and out.dtypes == odd_columns.dtypes
+    got = out.collect()
+    assert got and all(r["my col"] == "b" and r["pairs"] == {"k": 1} and r["box"]["deep"][0]["z"] == 1 and r["tick`"] is True for r in got)
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, tricky):
     kept = [r.doc_id for r in P.near_dedup(spark, tricky, None).collect()]
     assert sorted(d for d in kept if d is not None) == stay([(d, t) for d, t in ROWS if d is not None]) and kept.count(None) == 2
