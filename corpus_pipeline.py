@@ -35,9 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that smaller documents have too; the other texts stay byte for byte."""
     out = remove_repeats(docs, window=13, keep_columns=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("rest.text"))
-    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))}
-    return out.select(*[changed.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("rest").getField("text"))
+    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("rest").getField("n_chars"))}
+    return out.select(*[changed.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
