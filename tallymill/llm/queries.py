@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from tallymill.llm import toxicity
 from tallymill.llm.decontaminate import contamination
 from tallymill.llm.kneser_ney import score_documents
+from tallymill.llm.merkle import manifest, tampered
 from tallymill.llm.oracles import SQL
 from tallymill.llm.packing import pack_documents
+from tallymill.llm.quality import judged
 from tallymill.llm.runtime import table
 from tallymill.llm.sharding import shard_rows
 from tallymill.llm.simhash import fingerprint_hex, near_groups
 from tallymill.llm.sketch import fingerprint_edits
 from tallymill.llm.substring import remove_repeats
 from tallymill.llm.urlfilter import judge_urls
+from tallymill.llm.vectorcodes import compress
 from tallymill.llm.warc import read_index, write_archive
 
 
@@ -84,6 +87,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= chain.reject).alias("toxic"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judged(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", F.array_join("failed", ", ").alias("failed"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"), present=tampered()).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -95,6 +111,9 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_sharding": op10_sharding,
+    "op11_quality": op11_quality,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 __all__ = ["QUERIES", "SQL"]

@@ -10,7 +10,7 @@ from test_similar import stay
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert len({n.split("_")[0] for n in names}) == 10 and "pipeline" in entry.queries() and set(QUERIES) == set(names)
+    assert len({n.split("_")[0] for n in names}) == 13 and "pipeline" in entry.queries() and set(QUERIES) == set(names)
 
 
 @pytest.mark.parametrize("name,stage", P.STAGES)
