@@ -1,6 +1,6 @@
 """The registered queries, by family."""
 
-from tallymill.plans import manifests, metrics, records, scans, store
+from tallymill.plans import arrays, manifests, metrics, records, scans, store, streams
 from tallymill.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "manifests", "metrics", "records", "scans", "store"]
+__all__ = ["QUERIES", "SQL", "arrays", "manifests", "metrics", "records", "scans", "store", "streams"]
