@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -159,6 +160,48 @@ def cluster_bootstrap(clusters: DataFrame, statistics: list[str], draws: int, se
     return sized.mapInPandas(run, schema).groupBy("draw").agg(*[F.sum(s).alias(s) for s in statistics])
 
 
+def paired_names(classes: int) -> list[str]:
+    """The sums that both metrics of two systems follow from: rows of a class, rows given to it, and right ones, by system."""
+    return [f"{k}{c}" for k in ("y", "a", "ta", "b", "tb") for c in range(classes)]
+
+
+def paired_counts(rows: DataFrame, classes: int) -> DataFrame:
+    """(cluster, the sums of paired_names) of rows (cluster, y, a, b), a and b being two systems' predictions. Rows without a cluster
+    are left out."""
+    of = {"y": lambda c: F.col("y") == c, "a": lambda c: F.col("a") == c, "ta": lambda c: (F.col("a") == c) & (F.col("y") == c), "b": lambda c: F.col("b") == c, "tb": lambda c: (F.col("b") == c) & (F.col("y") == c)}
+    return rows.where(F.col("cluster").isNotNull()).groupBy("cluster").agg(*[F.count_if(f(c)).alias(f"{k}{c}") for k, f in of.items() for c in range(classes)])
+
+
+def metric_differences(sums: DataFrame, classes: int) -> DataFrame:
+    """With accuracy and macro_f1: what system b gains over a, from the sums of paired_names. A class that is neither there nor given
+    counts as 0, and every class counts."""
+    add = lambda k: reduce(lambda x, y: x + y, [F.col(f"{k}{c}") for c in range(classes)])
+
+    def f1(side: str) -> Column:
+        each = [F.coalesce(2.0 * F.col(f"t{side}{c}") / F.nullif((F.col(f"{side}{c}") + F.col(f"y{c}")).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in range(classes)]
+        return reduce(lambda x, y: x + y, each) / classes
+
+    return sums.withColumns({"accuracy": (add("tb") - add("ta")) / add("y"), "macro_f1": f1("b") - f1("a")})
+
+
+def paired_bootstrap(rows: DataFrame, strata: DataFrame, classes: int, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+    """(metric, delta, low, high, p_nonpositive, p_nonnegative, p_two_sided) for accuracy and macro-F1 of two fixed systems.
+
+    rows: (cluster, y, a, b); strata: (cluster, stratum). Whole clusters are drawn within strata, the same for both systems and both
+    metrics; each cluster is its class counts, so a draw costs clusters, not rows. Tail shares count the point itself once.
+    """
+    names, counts = paired_names(classes), paired_counts(rows, classes)
+    drawn = metric_differences(cluster_bootstrap(counts.join(strata.select("cluster", "stratum"), "cluster"), names, draws, seed), classes)
+    point = metric_differences(counts.agg(*[F.sum(c).alias(c) for c in names]), classes).select("accuracy", "macro_f1")
+    tail, out = (1 - level) / 2, []
+    for m in ("accuracy", "macro_f1"):
+        below, above = ((F.count_if(t) + 1) / (draws + 1) for t in (F.col(m) <= 0, F.col(m) >= 0))
+        ends = drawn.agg(F.percentile(m, F.lit(tail)).alias("low"), F.percentile(m, F.lit(1 - tail)).alias("high"), below.alias("p_nonpositive"), above.alias("p_nonnegative"))
+        both = ends.join(F.broadcast(point.select(F.col(m).alias("delta"))))  # a row each
+        out.append(both.select(F.lit(m).alias("metric"), "delta", "low", "high", "p_nonpositive", "p_nonnegative", F.least(F.lit(1.0), 2 * F.least("p_nonpositive", "p_nonnegative")).alias("p_two_sided")))
+    return out[0].unionByName(out[1])
+
+
 def seed_sensitivity(rows: DataFrame, strata: DataFrame, seeds: int, draws: int, seed: int) -> DataFrame:
     """(draw, n, a, b): rows, and correct rows of two systems whose training seeds are drawn anew beside the clusters.
 

@@ -350,6 +350,31 @@ def bootstrap(spark, sf):
     return I.interval(draws.withColumn("delta", (F.col("b") - F.col("a")) / F.col("n")), "delta")
 
 
+def predictions(spark, sf):
+    """(cluster, y, a, b): the predictions of two systems."""
+    pair = M.predicted(heads(spark, sf).where("h in (0, 1)")).groupBy("id", "y").agg(F.max(F.when(F.col("h") == 0, F.col("pred"))).alias("a"), F.max(F.when(F.col("h") == 1, F.col("pred"))).alias("b"))
+    return pair.select((F.col("id") % 60).alias("cluster"), "y", "a", "b")
+
+
+@query("a29_paired_bootstrap")
+def paired_bootstrap(spark, sf):
+    """Point difference, interval and tail shares for both metrics."""
+    rows, plan = predictions(spark, sf), design(spark, sf)[1].select("cluster", "stratum")
+    return I.paired_bootstrap(rows, plan, CLASSES, DRAWS, 271828)
+
+
+_SIDES = f"{_H}, both_ AS (SELECT id, y, max(pred) FILTER (WHERE h = 0) AS a, max(pred) FILTER (WHERE h = 1) AS b FROM (SELECT id, y, h, list_position(p, list_max(p)) - 1 AS pred FROM heads) GROUP BY id, y)"
+
+
+def _macro(side: str) -> str:
+    return f"(SELECT avg(coalesce(2.0 * c / nullif(d + s, 0), 0)) FROM (SELECT (SELECT count(*) FROM both_ WHERE y = k AND {side} = k) AS c, (SELECT count(*) FROM both_ WHERE {side} = k) AS d, (SELECT count(*) FROM both_ WHERE y = k) AS s FROM range(0, 10) t(k)))"
+
+
+@query("a29_point_differences", f"{_SIDES} SELECT 'accuracy' AS metric, (SELECT avg(CAST(b = y AS DOUBLE)) - avg(CAST(a = y AS DOUBLE)) FROM both_) AS delta UNION ALL SELECT 'macro_f1', {_macro('b')} - {_macro('a')}", "delta")
+def point_differences(spark, sf):
+    return I.metric_differences(I.paired_counts(predictions(spark, sf), CLASSES).agg(*[F.sum(c).alias(c) for c in I.paired_names(CLASSES)]), CLASSES).select(F.explode(F.map_from_arrays(F.array(F.lit("accuracy"), F.lit("macro_f1")), F.array("accuracy", "macro_f1"))).alias("metric", "delta"))
+
+
 @query("a30_seed_sensitivity")
 def seed_sensitivity(spark, sf):
     """Both systems have three training seeds: heads 0 to 2, heads 2 to 4."""
@@ -363,7 +388,8 @@ def seed_sensitivity(spark, sf):
 
 @query("v21_draws")
 def draws(spark, sf):
-    return I.draw_table(spark, {"x": 6, "y": 3}, 20, 271828)
+    sizes = strata(spark, sf).collect()  # a row for each month and label
+    return I.draw_table(spark, {r.stratum: r.clusters for r in sizes}, 20, 271828)
 
 
 _PAIRS = f"""{_H}, k AS (SELECT id, h, list_position(p, list_max(p)) - 1 = y AS ok FROM heads), d AS (SELECT x.h AS left, z.h AS right, count(*) FILTER (WHERE x.ok AND NOT z.ok) AS b, count(*) FILTER (WHERE z.ok AND NOT x.ok) AS c FROM k x JOIN k z ON x.id = z.id AND x.h < z.h GROUP BY ALL),
@@ -499,10 +525,11 @@ def grid(spark, sf):
     return spark.range(5).select(F.col("id").cast("int").alias("h")).join(seen, "h", "left").select("h", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("present"))
 
 
-@query("j22_product", "SELECT CAST(a.x AS INTEGER) AS candidate, CAST(b.x AS INTEGER) AS seed FROM range(0, 14) a(x), range(0, 5) b(x)")
+@query("j22_product", f"{_H} SELECT candidate, seed FROM (SELECT DISTINCT h AS candidate FROM heads), (SELECT DISTINCT label AS seed FROM embeddings)")
 def product(spark, sf):
-    # Fourteen candidates by five seeds.
-    return spark.range(14).select(F.col("id").cast("int").alias("candidate")).crossJoin(spark.range(5).select(F.col("id").cast("int").alias("seed")))
+    """Every candidate (a head) with every seed (a label), as arrays of what there is: both are short lists at any scale."""
+    sets = heads(spark, sf).agg(F.collect_set("h").alias("c"), F.collect_set("y").alias("s"))
+    return sets.select(F.explode("c").alias("candidate"), "s").select("candidate", F.explode("s").alias("seed"))
 
 
 @query("c15_arms", f"{_H} SELECT h % 2 AS arm, count(*) AS rows, count(DISTINCT id) AS ids, count(*) = count(DISTINCT (id, h)) AS unique_rows FROM heads GROUP BY ALL")

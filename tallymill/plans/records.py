@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallymill.functions import text as T
 from tallymill.functions import vectors as V
 from tallymill.operators import tables as O
-from tallymill.plans.fixtures import HEADS_CTE, heads
+from tallymill.operators.metrics import predicted
+from tallymill.plans.fixtures import CLASSES, HEADS_CTE, PRED_CTE, head, heads
 from tallymill.plans.registry import query, table
 
 #: Raw agency names, by part number, that exercise every rule.
@@ -379,9 +380,11 @@ def cosine(spark, sf):
     return sides(spark, sf).select("vec_id", V.cosine(F.col("a"), F.col("b")).alias("cosine"))
 
 
-@query("v11_edges", "SELECT CAST(i AS INTEGER) AS i, i / 15.0::DOUBLE AS edge FROM range(0, 16) t(i)", "edge")
+@query("v11_edges", "SELECT CAST(i AS INTEGER) AS i, low + (high - low) * i / 15.0::DOUBLE AS edge FROM (SELECT min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem), range(0, 16) t(i)", "edge")
 def edges(spark, sf):
-    return spark.range(16).select(F.col("id").cast("int").alias("i"), (F.col("id") / 15.0).alias("edge"))
+    # Even edges from the least to the greatest price.
+    span = table(spark, sf, "lineitem").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+    return span.select("low", "high", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i")).select("i", (F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / 15.0).alias("edge"))
 
 
 # Duplicates.
@@ -588,28 +591,48 @@ REPORT = [
     ("Regional-owned enterprises", "0.6711", "0.7937", "0.7273", 252),
     ("Other agency (catch-all)", "0.5486", "0.4857", "0.5152", 663),
 ]
-_REPORT = "rep(label, p, r, f, s) AS (VALUES " + ", ".join(f"('{a}', {int(b.replace('.', ''))}, {int(c.replace('.', ''))}, {int(d.replace('.', ''))}, {e})" for a, b, c, d, e in REPORT) + ")"
-_REBUILT = f"{_REPORT}, tp AS (SELECT *, k AS tp FROM rep, range(0, 2030) t(k) WHERE k <= s AND (2 * r - 1) * s <= 20000 * k AND 20000 * k < (2 * r + 1) * s), rec AS (SELECT label, tp, s - tp AS fn, j AS fp FROM tp, range(0, 9267) u(j) WHERE tp + j > 0 AND (2 * p - 1) * (tp + j) <= 20000 * tp AND 20000 * tp < (2 * p + 1) * (tp + j) AND (2 * f - 1) * (tp + j + s) <= 40000 * tp AND 40000 * tp < (2 * f + 1) * (tp + j + s) AND j <= 9266 - s)"
+def shown(num: str, den: str) -> str:
+    """A rate at four decimals, half up, in ten-thousandths; zero without a denominator."""
+    return f"coalesce((20000 * {num} + {den}) // (2 * nullif({den}, 0)), 0)"
 
 
-def report(spark):
-    return spark.createDataFrame(REPORT, "label string, precision string, recall string, f1 string, support long")
+#: The class report of head 0 as it would be printed.
+_REPORT = f"""{PRED_CTE}, cnt AS (SELECT CAST(g.class AS VARCHAR) AS label, (SELECT count(*) FROM pred WHERE y = g.class) AS s, (SELECT count(*) FROM pred WHERE pred.pred = g.class) AS d,
+  (SELECT count(*) FROM pred WHERE y = g.class AND pred.pred = g.class) AS c FROM range(0, 10) g(class)),
+rep AS (SELECT label, {shown("c", "d")} AS p, {shown("c", "s")} AS r, {shown("2 * c", "(d + s)")} AS f, s, (SELECT count(*) FROM pred) AS n FROM cnt)"""
+_REBUILT = f"""{_REPORT}, tp AS (SELECT * FROM (SELECT *, unnest(range(0, s + 1)) AS tp FROM rep) WHERE (2 * r - 1) * s <= 20000 * tp AND 20000 * tp < (2 * r + 1) * s),
+rec AS (SELECT label, tp, s - tp AS fn, j AS fp FROM (SELECT *, unnest(range(0, n - s + 1)) AS j FROM tp) WHERE tp + j > 0 AND (2 * p - 1) * (tp + j) <= 20000 * tp AND 20000 * tp < (2 * p + 1) * (tp + j) AND (2 * f - 1) * (tp + j + s) <= 40000 * tp AND 40000 * tp < (2 * f + 1) * (tp + j + s))"""
+
+
+def printed_report(spark, sf):
+    """(label, precision, recall, f1, support): rates as text of four decimals."""
+    marks = F.array(F.struct(F.col("y").alias("k"), F.lit(1).alias("s"), F.lit(0).alias("d"), F.col("correct").cast("int").alias("c")), F.struct(F.col("pred").alias("k"), F.lit(0).alias("s"), F.lit(1).alias("d"), F.lit(0).alias("c")))
+    seen = head(spark, sf).select(F.inline(marks)).groupBy("k").agg(F.sum("s").alias("support"), F.sum("d").alias("decided"), F.sum("c").alias("tp"))
+    c = spark.range(CLASSES).withColumnRenamed("id", "k").join(seen, "k", "left").fillna(0).select(F.col("k").cast("string").alias("label"), "support", "decided", "tp")
+    rate = lambda n, d: F.when(F.expr(d) > 0, F.expr(f"(20000 * {n} + {d}) div (2 * ({d}))")).otherwise(0)
+    text = lambda x: F.format_string("%d.%04d", F.floor(x / 10000), x % 10000)
+    rates = {"precision": rate("tp", "decided"), "recall": rate("tp", "support"), "f1": rate("(2 * tp)", "(decided + support)")}
+    return c.select("label", *[text(v).alias(k) for k, v in rates.items()], "support")
 
 
 @query("v13_reconstruct", f"WITH {_REBUILT} SELECT label, tp, fn, fp FROM rec")
 def reconstruct(spark, sf):
-    return O.reconstruct(report(spark), 9266)
+    return O.reconstruct(printed_report(spark, sf), table(spark, sf, "embeddings").count())
 
 
 @query("a39_margins", f"WITH {_REBUILT} SELECT CAST(sum(tp + fn) AS BIGINT) AS samples, CAST(sum(tp) AS BIGINT) AS correct, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp, avg(tp / (tp + fp)) AS macro_precision, avg(tp / (tp + fn)) AS macro_recall, avg(2 * tp / (2 * tp + fp + fn)) AS macro_f1 FROM rec", "macro_precision macro_recall macro_f1")
 def margins(spark, sf):
-    return O.margins(O.reconstruct(report(spark), 9266))
+    return O.margins(O.reconstruct(printed_report(spark, sf), table(spark, sf, "embeddings").count()))
 
 
-@query("v14_correct_counts", "SELECT shown, k AS correct FROM (VALUES (8073), (8074)) v(shown), range(0, 9267) t(k) WHERE (2 * shown - 1) * 9266 <= 20000 * k AND 20000 * k < (2 * shown + 1) * 9266")
+@query("v14_correct_counts", f"""WITH {HEADS_CTE}, k AS (SELECT h, list_position(p, list_max(p)) - 1 = y AS ok FROM heads), a AS (SELECT h, count(*) AS n, count(*) FILTER (WHERE ok) AS c FROM k GROUP BY h), v AS (SELECT h, n, {shown("c", "n")} AS shown FROM a)
+SELECT h, CAST(shown AS INTEGER) AS shown, correct FROM (SELECT *, unnest(range(0, n + 1)) AS correct FROM v) WHERE (2 * shown - 1) * n <= 20000 * correct AND 20000 * correct < (2 * shown + 1) * n""")
 def correct_counts(spark, sf):
-    shown = spark.createDataFrame([(8073,), (8074,)], "shown int")
-    return shown.withColumn("correct", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9266)))).where(O.displays_as(F.col("correct"), F.lit(9266), F.col("shown")))
+    """The numbers of correct rows that show the accuracy of each head."""
+    a = predicted(heads(spark, sf)).groupBy("h").agg(F.count("*").alias("n"), F.count_if("correct").alias("c"))
+    v = a.select("h", "n", F.expr("(20000 * c + n) div (2 * n)").cast("int").alias("shown"))
+    every = v.withColumn("correct", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
+    return every.where(O.displays_as(F.col("correct"), F.col("n"), F.col("shown"))).select("h", "shown", "correct")
 
 
 @query("v12_display", "SELECT l_orderkey, l_linenumber, (2 * q - 1) * 50 <= 20000 * n AND 20000 * n < (2 * q + 1) * 50 AS shown FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS n, CAST(l_quantity AS BIGINT) * 200 + l_linenumber % 2 AS q FROM lineitem)")

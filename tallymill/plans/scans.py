@@ -12,7 +12,8 @@ from tallymill.operators import metrics as M
 from tallymill.operators.components import checkpoint_dir
 from tallymill.operators.tables import temporal_split
 from tallymill.plans.fixtures import CLASSES, PRED_CTE, head
-from tallymill.plans.records import _CODES, REPORT, codes
+from tallymill.plans.records import _CODES, _REPORT, codes, printed_report
+from tallymill.plans.metrics import report_sql
 from tallymill.plans.registry import query, table
 from tallymill.sources import files as S
 
@@ -29,10 +30,10 @@ def typed_scan(spark, sf):
     return S.typed_csv(spark, path, "l_orderkey long, l_linenumber int, l_quantity double", "l_orderkey", rules)
 
 
-@query("s3_metric_scan", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', CAST({e} AS BIGINT))" for a, b, _, _, e in REPORT) + ") v(label, precision, support)")
+@query("s3_metric_scan", f"WITH {_REPORT} SELECT label, printf('%d.%04d', p // 10000, p % 10000) AS precision, s AS support FROM rep")
 def metric_scan(spark, sf):
     path = _folder(spark, "report")
-    spark.createDataFrame(REPORT, "label string, precision string, recall string, f1 string, support long").write.option("header", True).csv(path)
+    printed_report(spark, sf).write.option("header", True).csv(path)
     return S.metric_report(spark, path).select("label", "precision", "support")
 
 
@@ -77,6 +78,13 @@ METRICS = {
 }
 
 
+@query("x4_metrics", f"WITH {PRED_CTE} SELECT 'accuracy' AS metric, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS value FROM pred UNION ALL SELECT 'macro_f1', avg(f1) FROM ({report_sql('pred')}) UNION ALL SELECT 'brier', avg(list_sum(list_transform(p, lambda x, i: (x - CASE WHEN i - 1 = y THEN 1 ELSE 0 END) * (x - CASE WHEN i - 1 = y THEN 1 ELSE 0 END)))) FROM pred", "value")
+def every_metric(spark, sf):
+    """Every metric of the registry, by its name."""
+    values = [f(head(spark, sf)).select(F.lit(name).alias("metric"), "value") for name, f in METRICS.items()]
+    return values[0].unionByName(values[1]).unionByName(values[2])
+
+
 @query("x4_metric_by_name", f"WITH {PRED_CTE} SELECT avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS value FROM pred", "value")
 def metric_by_name(spark, sf):
     return METRICS["accuracy"](head(spark, sf))

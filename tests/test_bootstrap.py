@@ -97,3 +97,52 @@ def test_running_sums(spark):
     assert running_sums(wide, "k", {"seen": "n"}).where("seen <> k + 1").count() == 0
     same = wide.withColumn("g", F.lit("g"))
     assert [r.number for r in numbered(same, "g", "k").orderBy("number").collect()] == list(range(5000))
+
+
+def macro_f1(y, p, classes):
+    out = []
+    for c in range(classes):
+        tp = sum(a == c == b for a, b in zip(y, p, strict=True))
+        den = sum(b == c for b in p) + sum(a == c for a in y)
+        out.append(2 * tp / den if den else 0.0)
+    return float(np.mean(out))
+
+
+def test_ensembles_are_judged_by_their_mean_probabilities(spark):
+    """Two seeds that are wrong alone and right together: the gain in macro-F1 is 2 / 3, not the mean of the seeds' own gains."""
+    y = [0, 1, 0, 1]
+    two = lambda pred, sure: [[sure, 1 - sure] if k == 0 else [1 - sure, sure] for k in pred]
+    reference = [two([0] * 4, 0.9), two([1] * 4, 0.9)]
+    challenger = [two(y, 0.9), two([1 - k for k in y], 0.51)]
+    mean = lambda systems: np.mean(systems, axis=0).argmax(axis=1).tolist()
+    rows = [("abcd"[i], y[i], int(mean(reference)[i]), int(mean(challenger)[i])) for i in range(4)]
+    df = spark.createDataFrame(rows, "cluster string, y int, a int, b int")
+    strata = spark.createDataFrame([(c, "2026-01") for c in "abcd"], "cluster string, stratum string")
+    got = {r.metric: r for r in I.paired_bootstrap(df, strata, 2, 100, 19).collect()}
+    assert got["macro_f1"].delta == pytest.approx(2 / 3) and got["accuracy"].delta == pytest.approx(0.5)
+    assert got["macro_f1"].low <= 2 / 3 and got["macro_f1"].p_nonnegative == 1.0 and 0 < got["macro_f1"].p_nonpositive < 1
+
+
+def test_intervals_of_both_metrics_against_resampled_rows(spark):
+    rng = np.random.default_rng(8)
+    n, classes, draws, seed = 300, 4, 200, 5
+    y, a, b = rng.integers(0, 3, n), rng.integers(0, classes, n), rng.integers(0, 3, n)  # no row is of class 3, some are given to it
+    b = np.where(rng.random(n) < 0.4, y, b)
+    cluster = rng.integers(0, 40, n)
+    rows = list(zip(cluster.tolist(), y.tolist(), a.tolist(), b.tolist(), strict=True)) + [(None, 0, 0, 1)]
+    df = spark.createDataFrame(rows, "cluster long, y int, a int, b int")
+    strata = spark.createDataFrame([(int(c), f"s{c % 3}") for c in np.unique(cluster)], "cluster long, stratum string")
+    got = {r.metric: r for r in I.paired_bootstrap(df, strata, classes, draws, seed, level=0.9).collect()}
+    placed = {r.cluster: (r.stratum, r.number) for r in numbered(strata, "stratum", "cluster").collect()}
+    sizes = {s: sum(p[0] == s for p in placed.values()) for s in ("s0", "s1", "s2")}
+    times = {s: I.block_times(seed, s, k, 0, draws) for s, k in sizes.items()}
+    gains = {"accuracy": [], "macro_f1": []}
+    for d in range(draws):
+        take = np.concatenate([np.repeat(np.flatnonzero(cluster == c), times[s][d, k]) for c, (s, k) in placed.items()])
+        gains["accuracy"].append((b[take] == y[take]).mean() - (a[take] == y[take]).mean())
+        gains["macro_f1"].append(macro_f1(y[take], b[take], classes) - macro_f1(y[take], a[take], classes))
+    for m, g in gains.items():
+        low, high = np.quantile(g, [0.05, 0.95])
+        assert (got[m].low, got[m].high) == pytest.approx((low, high), abs=1e-12)
+        assert got[m].p_nonpositive == pytest.approx((sum(x <= 0 for x in g) + 1) / (draws + 1))
+    assert got["macro_f1"].delta == pytest.approx(macro_f1(y, b, classes) - macro_f1(y, a, classes))
