@@ -6,7 +6,7 @@ window inside the part. The only window over all parts has a row for each part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,18 @@ def _beside(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(there, on).drop(*[f"there_{k}" for k in keys])
 
 
+def cuts_below(cuts: Column, key: Column) -> Column:
+    """How many of the ascending values in the array are at or below the key, by halving: as many steps as the array's size has bits."""
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(cuts).cast("long"))))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        at = F.get(cuts, mid) <= key
+        return F.struct(F.when(at & (a["lo"] < a["hi"]), mid + 1).otherwise(a["lo"]).alias("lo"), F.when(~at & (a["lo"] < a["hi"]), mid).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve, lambda a: a["lo"])
+
+
 def running_sums(df: DataFrame, key: str, sums: dict[str, str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
     """df, of one row for each key within by, with a column for each of sums: the named column's sum from the first key to this one.
 
@@ -34,7 +46,7 @@ def running_sums(df: DataFrame, key: str, sums: dict[str, str], by: list[str] |
     df = df.checkpoint(eager=True)
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts).alias("running_cuts"))
-    part = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter("running_cuts", lambda c: c <= F.col(key))))
+    part = F.when(F.col(key).isNull(), -1).otherwise(cuts_below(F.col("running_cuts"), F.col(key)))
     placed = df.crossJoin(F.broadcast(cuts)).withColumn("running_part", part).drop("running_cuts")  # cuts: one row
     turn = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     earlier = W.partitionBy(*by).orderBy(turn("running_part")).rowsBetween(W.unboundedPreceding, -1)

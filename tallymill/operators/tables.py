@@ -156,31 +156,77 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, node: str, shingles: str,
     return j.withColumn("likeness", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
 
 
-def leakage_groups(df: DataFrame, node: str, text: str, keys: list[str] | None = None, radius: int = 3, threshold: float = 0.82, image: str | None = None, image_radius: int = 5) -> DataFrame:
-    """(node, group, members): records joined by equal normalised texts, verified near texts, shared explicit keys and, with a
-    column of 64-bit image codes, near images; a null code is no image.
+def unique_ids(df: DataFrame, node: str) -> DataFrame:
+    """The frame itself, once no id is null or comes twice: rows of one id would join what is unlike."""
+    bad = df.groupBy(node).count().where(F.col(node).isNull() | (F.col("count") > 1)).limit(5).collect()
+    if bad:
+        raise ValueError(f"{node} must be unique and not null: {[r[0] for r in bad]}")
+    return df
+
+
+def grouped(df: DataFrame, node: str, text: str, keys: list[str] | None = None, radius: int = 3, threshold: float = 0.82, image: str | None = None, image_radius: int = 5, image_problem: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Leakage groups and their receipt.
+
+    Groups: (node, group, members), rows joined by equal normalised texts, verified near texts, near images (64-bit codes; null is
+    none) and shared explicit keys. Receipt, one row: how many edges of each kind unite what no kind before did (exact_text_edges,
+    near_text_edges, near_image_edges, explicit_group_edges), as the fall in the number of components, whatever the order of rows; and
+    missing_images and unreadable_images (rows without a code, by whether image_problem says `unreadable`).
 
     Exact copies and keys give star edges to the smallest row; each pair of distinct texts with codes within the radius is
-    verified, so that a group of near copies costs its pairs.
+    verified, so that a group of near copies costs its pairs. Each kind's edges are contracted to the components before it, so a round
+    of components sees only what is not yet united. Ids must be unique and not null.
     """
-    rows = df.withColumn("norm", T.normalised(F.col(text)))
-    exact = key_edges(rows.where("norm != ''"), node, "norm")
+    rows = unique_ids(df, node).withColumn("norm", T.normalised(F.col(text)))
     checkpoint_dir(df.sparkSession)
+    merged, united = None, {}
+    for kind, edges in _edges_by_kind(rows, node, keys or [], radius, threshold, image, image_radius):
+        merged, united[kind] = _contracted(merged, edges)
+    placed = rows.select(node).join(merged.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
+    named = placed.groupBy("component").agg(T.group_name(F.collect_list(F.col(node).cast("string"))).alias("group"), F.count("*").alias("members"))
+    none = F.col(image).isNull() if image else F.lit(True)
+    broken = (F.coalesce(F.col(image_problem), F.lit("")) == "unreadable") if image_problem else F.lit(False)
+    receipt = df.agg(*[F.lit(n).cast("long").alias(f"{kind}_edges") for kind, n in united.items()], F.count_if(none & ~broken).alias("missing_images"), F.count_if(none & broken).alias("unreadable_images"))
+    return placed.join(named, "component").select(node, "group", "members"), receipt
+
+
+def _edges_by_kind(rows: DataFrame, node: str, keys: list[str], radius: int, threshold: float, image: str | None, image_radius: int):
+    some = rows.where("norm != ''")
+    yield "exact_text", key_edges(some, node, "norm")
     # Texts and codes are made once; sets of runs only for texts that have a candidate.
-    once = rows.where("norm != ''").groupBy("norm").agg(F.min(node).alias(node)).withColumn("code", T.text_simhash64("norm")).checkpoint(eager=True)
+    once = some.groupBy("norm").agg(F.min(node).alias(node)).withColumn("code", T.text_simhash64("norm")).checkpoint(eager=True)
     near = hamming_texts(once.select(node, "code"), node, radius).checkpoint(eager=True)
     needed = near.select(F.col("a").alias(node)).union(near.select(F.col("b").alias(node))).distinct()
     sets = once.join(needed, node, "left_semi").select(node, T.char_shingles(F.col("norm")).alias("shingles")).checkpoint(eager=True)
-    edges = exact.union(verified_pairs(near, sets, node, "shingles", threshold).select("a", "b"))
-    for k in keys or []:
-        edges = edges.union(key_edges(rows.withColumn(k, F.nullif(T.normalised(F.col(k).cast("string")), F.lit(""))), node, k))
+    yield "near_text", verified_pairs(near, sets, node, "shingles", threshold).select("a", "b")
+    none = rows.select(F.col(node).alias("a"), F.col(node).alias("b")).limit(0)
     if image:
         coded = rows.where(F.col(image).isNotNull())
-        edges = edges.union(key_edges(coded, node, image)).union(hamming_pairs(coded, node, image, image_radius).select("a", "b"))
-    cc = connected_components(edges, "a", "b")
-    placed = rows.select(node).join(cc.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
-    named = placed.groupBy("component").agg(T.group_name(F.collect_list(F.col(node).cast("string"))).alias("group"), F.count("*").alias("members"))
-    return placed.join(named, "component").select(node, "group", "members")
+        none = key_edges(coded, node, image).union(hamming_pairs(coded, node, image, image_radius).select("a", "b"))
+    yield "near_image", none
+    every = rows.select(F.col(node).alias("a"), F.col(node).alias("b")).limit(0)
+    for k in keys:
+        every = every.union(key_edges(rows.withColumn(k, F.nullif(T.normalised(F.col(k).cast("string")), F.lit(""))), node, k))
+    yield "explicit_group", every
+
+
+def _contracted(merged: DataFrame | None, edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, component) after these edges too, and how many components fewer there are."""
+    if merged is not None:
+        for side in ("a", "b"):
+            there = merged.select(F.col("node").alias("there"), F.col("component").alias("up"))
+            edges = edges.join(there, F.col(side) == F.col("there"), "left").withColumn(side, F.coalesce("up", side)).select("a", "b")
+    new = connected_components(edges, "a", "b").checkpoint(eager=True)
+    fall = new.agg(F.count("*") - F.countDistinct("component")).first()[0]
+    if merged is None:
+        return new, fall
+    there = new.select(F.col("node").alias("there"), F.col("component").alias("up"))
+    moved = merged.join(there, F.col("component") == F.col("there"), "left").select("node", F.coalesce("up", "component").alias("component"))
+    return moved.union(new.join(merged, "node", "left_anti").select("node", "component")).checkpoint(eager=True), fall
+
+
+def leakage_groups(df: DataFrame, node: str, text: str, keys: list[str] | None = None, radius: int = 3, threshold: float = 0.82, image: str | None = None, image_radius: int = 5) -> DataFrame:
+    """(node, group, members) of grouped."""
+    return grouped(df, node, text, keys, radius, threshold, image, image_radius)[0]
 
 
 def hamming_texts(once: DataFrame, node: str, radius: int) -> DataFrame:

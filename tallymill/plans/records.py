@@ -447,6 +447,22 @@ def leakage_groups(spark, sf):
     return O.leakage_groups(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def pictured(spark, sf):
+    """Documents with what grouping goes by: a text, an explicit key that some share, and a code that stands for a picture, if there is one."""
+    k = F.col("doc_id")
+    code = F.xxhash64((k % 60).cast("string")).bitwiseXOR(F.when(F.floor(k / 60) % 2 == 0, F.lit(5)).otherwise(0).cast("long"))
+    d = table(spark, sf, "documents").select("doc_id", "text", F.when(k % 11 == 0, F.concat(F.lit("Case "), (k % 7).cast("string"))).alias("case"))
+    return d.withColumns({"image": F.when(k % 5 == 0, code), "problem": F.when(k % 5 == 1, "unreadable").when(k % 5 != 0, "missing")})
+
+
+@query("c1_grouping_receipt")
+def grouping_receipt(spark, sf):
+    """The receipt and the number and sizes of groups by text, picture and key."""
+    groups, receipt = O.grouped(pictured(spark, sf), "doc_id", "text", keys=["case"], image="image", image_problem="problem")
+    sizes = groups.groupBy("group").agg(F.first("members").alias("members")).agg(F.count("*").alias("groups"), F.max("members").alias("largest_group"))
+    return receipt.join(F.broadcast(sizes))  # a row each
+
+
 @query(
     "c2_components",
     "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey - p_partkey % 7 AS b FROM part), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS c FROM n UNION SELECT r.a, n.b FROM r JOIN n ON n.a = r.c) SELECT a AS node, min(c) AS component FROM r WHERE a IN (SELECT a FROM n x WHERE x.a <> x.b) GROUP BY a",

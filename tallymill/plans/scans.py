@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,12 +11,14 @@ from tallymill.functions import text as T
 from tallymill.functions import vectors as V
 from tallymill.operators import metrics as M
 from tallymill.operators.components import checkpoint_dir
+from tallymill.operators.radius import RadiusIndex
 from tallymill.operators.tables import temporal_split
 from tallymill.plans.fixtures import CLASSES, PRED_CTE, head
 from tallymill.plans.records import _CODES, _REPORT, codes, printed_report
 from tallymill.plans.metrics import report_sql
 from tallymill.plans.registry import query, table
 from tallymill.sources import files as S
+from tallymill.sources import layout
 
 
 def _folder(spark, name: str) -> str:
@@ -71,6 +74,22 @@ def radius_query(spark, sf):
     return codes(spark, sf).where(T.hamming(F.col("code"), F.lit(2654435761)) <= 12).select("id")
 
 
+@query("c3_radius_index", f"WITH {_CODES}, q AS (SELECT id AS query, code AS c FROM codes WHERE id % 50 = 0) SELECT query, id, CAST(bit_count(xor(code, c)) AS INTEGER) AS distance FROM q JOIN codes ON bit_count(xor(code, c)) <= 5")
+def radius_index(spark, sf):
+    # Every 50th order's code against all, by the stored index.
+    c = codes(spark, sf)
+    return RadiusIndex(spark, _folder(spark, "index")).build(c, "id", "code").matches(c.where("id % 50 = 0"), "id", "code", 5)
+
+
+@query("q15_data_skipping", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 14 AND l_extendedprice BETWEEN 20000 AND 26000 AND l_shipdate <= TIMESTAMP '1995-01-01'")
+def data_skipping(spark, sf):
+    path = _folder(spark, "clustered")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    layout.write_clustered(rows, path, ["l_quantity", "l_extendedprice", "l_shipdate"], files=32)
+    within = {"l_quantity": (10, 14), "l_extendedprice": (20000, 26000), "l_shipdate": (None, datetime.datetime(1995, 1, 1))}
+    return layout.read_within(spark, path, within).select("l_orderkey", "l_linenumber")
+
+
 METRICS = {
     "accuracy": lambda df: df.agg(F.avg(F.col("correct").cast("double")).alias("value")),
     "macro_f1": lambda df: M.averages(M.class_report(df, CLASSES)).select(F.col("macro_f1").alias("value")),

@@ -94,18 +94,70 @@ def canonical_digest(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
+def _hadoop(path: str):
+    """The file system of a path that is not local, and the path in it; None for local ones."""
+    if "://" not in path or path.startswith("file:"):
+        return None
+    spark = SparkSession.active()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _local(path: str) -> Path:
+    return Path("/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") else Path(path)
+
+
+def _put(fs, at, data: bytes, overwrite: bool) -> None:
+    out = fs.create(at, overwrite)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def replace_file(fs, at, data: bytes) -> None:
+    """Puts a file of a Hadoop file system in the place of one that may be there; readers see the one or the other."""
+    spark = SparkSession.active()
+    jvm = spark._jvm
+    part = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+    _put(fs, part, data, True)
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri()).rename(part, at, how)
+
+
+def create_file(fs, at, data: bytes) -> None:
+    """Makes a file of a Hadoop file system that must not be there."""
+    try:
+        _put(fs, at, data, False)
+    except Exception as e:
+        if "FileAlreadyExistsException" in str(e):
+            raise FileExistsError(at.toString()) from None
+        raise
+
+
 def write_json(path: str, value) -> None:
-    """Whole or not at all."""
-    at = Path(path)
+    """Whole or not at all, in a local folder or on any file system that Spark knows."""
+    data, remote = (json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode(), _hadoop(path)
+    if remote:
+        replace_file(*remote, data)
+        return
+    at = _local(path)
     part = at.with_name(f"{at.name}.{uuid.uuid4().hex}")
-    part.write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n")
+    part.write_bytes(data)
     os.replace(part, at)
 
 
 def create_once(path: str, value) -> None:
-    """A marker that can be set one time; the second attempt fails."""
-    with open(path, "x") as f:
-        f.write(canonical_json(value))
+    """A marker that can be set one time, by whoever comes first; the second attempt fails. The file system itself refuses a name that
+    is there."""
+    data, remote = canonical_json(value).encode(), _hadoop(path)
+    if remote:
+        create_file(*remote, data)
+        return
+    with open(_local(path), "xb") as f:
+        f.write(data)
 
 
 def file_record(path: str) -> dict:
