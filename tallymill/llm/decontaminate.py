@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import kernels as K
-from tallymill.llm.runtime import loosened, text_bytes, whole_row, with_rest
+from tallymill.llm.runtime import in_rest, loosened, text_bytes, texts_of, whole_row, with_rest
 
 BLOCK_BYTES = 4 << 20
 #: Words of a shingle; an item shorter than that is its own shingle.
@@ -189,7 +189,7 @@ def _occurrences(p: Prefixes, match: Matcher, w: K.Words) -> tuple[np.ndarray, n
 
 
 
-def _scan(it, block: Block, docs: dict[int, int], carry: list[str]):
+def _scan(it, block: Block, docs: dict[int, int], carry: list[str], text_column: str):
     p = _prefixes(block, docs) if block.windows else None
     match = Matcher(block, p.shingles) if p else None
     names, owners = [], []
@@ -199,7 +199,7 @@ def _scan(it, block: Block, docs: dict[int, int], carry: list[str]):
     number = {n: i for i, n in enumerate(names)}
     owned = [[number[str(i)] for i in o] for o in owners]
     for batch in it:
-        texts = batch.column("text").to_pylist()
+        texts = texts_of(batch, text_column)
         n_words, n_hit, items = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), [[] for _ in texts]
         spans: list[list] = [[] for _ in texts]
         for lo, hi in K.batches([len(t) for t in texts]):
@@ -245,13 +245,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
         rows = rows.withColumn("digest", F.sha2("text", 256))
         carry.append("digest")
     carry += ["rest"] if keep_columns else []
+    slim = rows.drop("text") if keep_columns and in_rest(docs, text_column) else rows
     fields = f"id long{', digest string' if 'digest' in carry else ''}, n_words long, n_hit long, items array<string>, spans array<struct<first:bigint,size:bigint>>"
     fields = with_rest(fields, docs) if keep_columns else fields
     parts = []
     for b in blocks:
         # As many counts as the block has shingles, whatever the number of documents.
         seen = {r.shingle: r.docs for r in rows.select("text").mapInArrow(lambda it, b=b: _count(it, b), "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs")).collect()} if b.windows else {}
-        parts.append(rows.mapInArrow(lambda it, b=b, seen=seen: _scan(it, b, seen, carry), fields))
+        parts.append(slim.mapInArrow(lambda it, b=b, seen=seen: _scan(it, b, seen, carry, text_column), fields))
     if len(parts) == 1:
         return parts[0]
     return _united(parts, rows, carry)

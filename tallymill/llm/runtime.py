@@ -110,6 +110,19 @@ def _loose(kind: pa.DataType) -> pa.DataType:
     return kind
 
 
+def texts_of(batch, text_column: str) -> list[bytes]:
+    """A batch's texts as UTF-8: its `text` column, or the field of `rest`, so that a text travels once."""
+    if "text" in batch.schema.names:
+        return batch.column("text").to_pylist()
+    rest = batch.column("rest")
+    return [b"" if t is None else t for t in rest.field(rest.type.get_field_index(text_column)).cast(pa.binary()).to_pylist()]
+
+
+def in_rest(docs: DataFrame, text_column: str) -> bool:
+    """Whether `rest` has the text as it is wanted."""
+    return isinstance(docs.schema[text_column].dataType, T.StringType) and docs.columns.count(text_column) == 1
+
+
 def loosened(column):
     """An Arrow column of a Python task as nullable() declares it."""
     return column.cast(_loose(column.type))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import kernels as K
-from tallymill.llm.runtime import loosened, text_bytes, whole_row, with_rest
+from tallymill.llm.runtime import in_rest, loosened, text_bytes, texts_of, whole_row, with_rest
 from tallymill.llm.xxh64 import xxh64_slices
 
 U = np.uint64
@@ -281,14 +281,15 @@ def score(docs: DataFrame, chain: Chain, *, id_column: str = "doc_id", text_colu
     """(id, one probability for each category in order); keep_columns: also `rest`, a struct of the input's columns."""
     names = [f"p{i}" for i in range(len(chain.models))]
     rest = [whole_row(docs)] if keep_columns else []
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text"), *rest)
+    text = [] if keep_columns and in_rest(docs, text_column) else [text_bytes(F.col(text_column)).alias("text")]
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), *text, *rest)
     carry = ["id", *(["rest"] if keep_columns else [])]
     fields = "id long, " + ", ".join(f"{n} double" for n in names)
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # 2 MB for each category, fixed by BITS
 
     def run(it):
         for b in it:
-            p = sent.value.probabilities(_margins(sent.value, b.column("text").to_pylist()))
+            p = sent.value.probabilities(_margins(sent.value, texts_of(b, text_column)))
             kept = [loosened(b.column("rest"))] if keep_columns else []
             yield pa.record_batch([b.column("id"), *(pa.array(x, type=pa.float64()) for x in p), *kept], names=["id", *names, *carry[1:]])
 
