@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallymill.functions import text as T
 from tallymill.functions import vectors as V
 from tallymill.operators import baselines as B
+from tallymill.operators import linear as N
 from tallymill.operators import metrics as M
 from tallymill.operators import store as R
 from tallymill.operators import tables as O
@@ -132,3 +133,41 @@ def text_classifier(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int").alias("y")).where("y >= 0")
     model = B.fit_text_classifier(d, "text", "y")
     return M.class_report(M.predicted(B.text_probabilities(d, model, "text", ["doc_id", "y"])), len(langs))
+
+
+_LANGS = ["de", "en", "es", "fr"]
+#: Documents held out by a hash of their id.
+_HELD = "crc32(cast(doc_id as string)) % 5 = 0"
+
+
+def _tongues(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text", (F.array_position(F.array(*[F.lit(x) for x in _LANGS]), F.col("lang")) - 1).cast("int").alias("y")).where("y >= 0")
+
+
+@query("c24_vocabulary", r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w WHERE len(ws) > 1),
+c AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 2 ORDER BY n DESC, term LIMIT 5000)
+SELECT term, df, n, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS index FROM c""")
+def word_vocabulary(spark, sf):
+    return N.vocabulary(table(spark, sf, "documents"), "text", most=5000)
+
+
+@query("c24_held_out_report")
+def held_out_report(spark, sf):
+    """Class report of 1- and 2-grams under averaged gradient descent on the language of a text, on documents that training does not see."""
+    d = _tongues(spark, sf)
+    train = d.where(f"not ({_HELD})")
+    words = N.vocabulary(train, "text", most=20_000).checkpoint(eager=True)
+    size, n = words.count(), train.count()
+    model = N.train_linear(N.features(train, "text", words, n, ["y"]), len(_LANGS), size)
+    held = N.features(d.where(_HELD), "text", words, n, ["doc_id", "y"])
+    return M.class_report(M.predicted(N.linear_probabilities(held, model, ["doc_id", "y"])), len(_LANGS))
+
+
+@query("c24_stratified_guess", """WITH s AS (SELECT label, sum(count(*)) OVER (ORDER BY label) AS upto, sum(count(*)) OVER () AS n FROM embeddings GROUP BY label),
+u AS (SELECT vec_id, CAST(('0x' || substr(sha256('17:' || vec_id), 1, 8)) AS BIGINT) AS u FROM embeddings)
+SELECT vec_id, (SELECT min(label) FROM s WHERE u.u * n < upto * 4294967296) AS guess FROM u""")
+def stratified_guess(spark, sf):
+    e = table(spark, sf, "embeddings")
+    shares = B.class_prior(e, "label", 10).first().p
+    return e.select("vec_id", N.stratified_guess(F.col("vec_id"), shares, 17).alias("guess"))
