@@ -295,14 +295,17 @@ def screen(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.inline(counts)).groupBy("pattern").agg(F.sum("k").alias("occurrences"), F.count_if(F.col("k") > 0).alias("rows"))
 
 
-def private_findings(df: DataFrame, text: str, id: str, salt: str) -> DataFrame:
+def private_findings(df: DataFrame, text: str, id: str, salt: str, others: str | None = None) -> DataFrame:
     """(private_row_id, finding_types) of rows with personal data: the salted id and the names of the patterns found, sorted.
 
-    The salt is a secret of 16 characters or more. Null ids have one null code; a null text has no findings.
+    The salt is a secret of 16 characters or more. Null ids have one null code; a null text has no findings. others: a column with
+    further findings of a row, as those of its picture's metadata.
     """
     if len(salt) < 16:
         raise ValueError("the salt needs at least 16 characters")
     found = F.array_sort(F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in T.SCREENS.items()])))
+    if others:
+        found = F.array_sort(F.array_union(found, F.coalesce(F.col(others), F.array().cast("array<string>"))))
     return df.select(T.salted_id(F.col(id), salt).alias("private_row_id"), found.alias("finding_types")).where(F.size("finding_types") > 0)
 
 

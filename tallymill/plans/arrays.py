@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tallymill.functions import images as I
 from tallymill.functions import text as T
 from tallymill.operators.ordered import running_sums
 from tallymill.plans.registry import query, table
 from tallymill.plans.scans import _folder
 from tallymill.plans.store import _AG, agencies
+from tallymill.sources import files as S
 from tallymill.sources import npy, paged
 
 
@@ -55,3 +58,27 @@ def paged_scan(spark, sf):
     path = _folder(spark, "registry")
     paged.write_pages(rows, path, ["latitude", "id"], rows=50)
     return paged.agencies(spark, path, T.SLUGS).where("latitude > -6.3").select("id", "name", "category", "latitude", "is_active")
+
+
+_PIX = "list_transform(list_concat(embedding, list_slice(embedding, 1, 8)), lambda x: greatest(0, least(255, CAST(floor(CAST(x AS DOUBLE) * 64) AS INTEGER) + 128)))"
+
+
+def pictures(spark, sf):
+    """Vectors as PNG files of 9 x 8 grey pixels, every row by another filter; every seventh file is damaged, every eleventh is none."""
+
+    def run(it):
+        for pdf in it:
+            files = []
+            for k, v in zip(pdf["vec_id"], pdf["v"], strict=True):
+                data = I.encode_png(np.clip(np.floor(np.asarray(v, dtype="f8") * 64).astype(int) + 128, 0, 255).reshape(8, 9, 1), [k % 5, 4, 3, 1, 2])
+                files.append(None if k % 11 == 0 else data[:-20] if k % 7 == 0 else data)
+            yield pdf[["vec_id"]].assign(content=files)
+
+    e = table(spark, sf, "embeddings").select("vec_id", F.concat("embedding", F.slice("embedding", 1, 8)).alias("v"))
+    return e.mapInPandas(run, "vec_id long, content binary")
+
+
+@query("v20_png_codes", f"""SELECT vec_id, CASE WHEN vec_id % 11 <> 0 AND vec_id % 7 <> 0 THEN list_reduce(list_transform(range(0, 64), lambda k: CASE WHEN g[k // 8 * 9 + k % 8 + 2] > g[k // 8 * 9 + k % 8 + 1] THEN CASE WHEN k = 63 THEN -9223372036854775808 ELSE 1::BIGINT << k END ELSE 0::BIGINT END), lambda a, b: a | b) END AS code,
+CASE WHEN vec_id % 11 = 0 THEN 'missing' WHEN vec_id % 7 = 0 THEN 'unreadable' END AS problem FROM (SELECT vec_id, {_PIX} AS g FROM embeddings)""")
+def png_codes(spark, sf):
+    return S.image_facts(pictures(spark, sf), "content", ["vec_id"]).select("vec_id", "code", "problem")
