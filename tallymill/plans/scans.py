@@ -81,12 +81,12 @@ def radius_index(spark, sf):
     return RadiusIndex(spark, _folder(spark, "index")).build(c, "id", "code").matches(c.where("id % 50 = 0"), "id", "code", 5)
 
 
-@query("q15_data_skipping", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 14 AND l_extendedprice BETWEEN 20000 AND 26000 AND l_shipdate <= TIMESTAMP '1995-01-01'")
+@query("q15_data_skipping", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 14 AND l_extendedprice BETWEEN 20000 AND 60000 AND l_shipdate <= TIMESTAMP '1997-01-01'")
 def data_skipping(spark, sf):
     path = _folder(spark, "clustered")
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     layout.write_clustered(rows, path, ["l_quantity", "l_extendedprice", "l_shipdate"], files=32)
-    within = {"l_quantity": (10, 14), "l_extendedprice": (20000, 26000), "l_shipdate": (None, datetime.datetime(1995, 1, 1))}
+    within = {"l_quantity": (10, 14), "l_extendedprice": (20000, 60000), "l_shipdate": (None, datetime.datetime(1997, 1, 1))}
     return layout.read_within(spark, path, within).select("l_orderkey", "l_linenumber")
 
 
