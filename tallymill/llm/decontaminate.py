@@ -6,17 +6,21 @@ is rarest over all documents. The document frequencies are counted in a first pa
 document's shingles meet the prefix tokens; length and position bounds drop candidates that would start before the text or
 end after it, and the window's words are compared one by one.
 
-The benchmark side travels to the tasks in blocks of bounded size (`BLOCK_BYTES` of item text); a larger benchmark is run
-block by block over all documents and the hits are united, so no broadcast grows with it.
+The benchmark side travels to the tasks in blocks of bounded size (`BLOCK_BYTES` of item text). A larger benchmark is run block by block
+over all documents; one block at a time is on the driver, its hits are written to the shared folder once for each text that has some, and
+are united at the end, so neither a broadcast nor the driver's memory grows with it.
 
 Results in special cases: null or empty texts have no words and no hits; items without words are skipped; an item with a null
-id hits words but is not among the items; repeated items and ids count once; repeated documents each get their own row.
+id hits words but is not among the items; repeated items and ids count once; repeated documents each get their own row; a very long
+text is one row like any other; without items no word is hit, and without documents there are no rows; other columns may have any name
+and type.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import kernels as K
-from tallymill.llm.runtime import in_rest, loosened, text_bytes, texts_of, whole_row, with_rest
+from tallymill.llm.runtime import Scratch, in_rest, loosened, text_bytes, texts_of, whole_row, with_rest
 
 BLOCK_BYTES = 4 << 20
+#: Rows of one text meet its hits in this many places.
+SALTS = 64
 #: Words of a shingle; an item shorter than that is its own shingle.
 SHINGLE = 3
 U = np.uint64
@@ -239,42 +245,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "do
     """For each document: id, n_words, n_hit (words inside an occurrence of a benchmark window), items (sorted ids as strings)
     and spans (first word and size of each occurrence). keep_columns: also `rest`, a struct of the input's columns."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_bytes(F.col(text_column)).alias("text"), *([whole_row(docs)] if keep_columns else []))
-    carry = ["id"]
-    blocks = list(_blocks(benchmark, item_column, item_text, window))
-    if len(blocks) > 1:  # only rows with equal texts are one row to unite
-        rows = rows.withColumn("digest", F.sha2("text", 256))
-        carry.append("digest")
-    carry += ["rest"] if keep_columns else []
+    carry = ["id", *(["rest"] if keep_columns else [])]
     slim = rows.drop("text") if keep_columns and in_rest(docs, text_column) else rows
-    fields = f"id long{', digest string' if 'digest' in carry else ''}, n_words long, n_hit long, items array<string>, spans array<struct<first:bigint,size:bigint>>"
-    fields = with_rest(fields, docs) if keep_columns else fields
-    parts = []
-    for b in blocks:
-        # As many counts as the block has shingles, whatever the number of documents.
-        seen = {r.shingle: r.docs for r in rows.select("text").mapInArrow(lambda it, b=b: _count(it, b), "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs")).collect()} if b.windows else {}
-        parts.append(slim.mapInArrow(lambda it, b=b, seen=seen: _scan(it, b, seen, carry, text_column), fields))
-    if len(parts) == 1:
-        return parts[0]
-    return _united(parts, rows, carry)
-
-
-def _united(parts: list[DataFrame], rows: DataFrame, carry: list[str]) -> DataFrame:
-    """Several blocks: spans of all blocks by document row, and the words they cover counted once."""
-    keyed = [p.withColumn("row", F.xxhash64(*[F.to_json(c) if c == "rest" else F.col(c).cast("string") for c in carry])) for p in parts]
-    every = keyed[0]
-    for k in keyed[1:]:
-        every = every.unionByName(k)
-    joined = every.groupBy("row", "id", "digest", "n_words").agg(
-        *([F.first("rest").alias("rest")] if "rest" in carry else []),
-        (F.count("*") / len(parts)).cast("int").alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-    )
+    fields = "id long, n_words long, n_hit long, items array<string>, spans array<struct<first:bigint,size:bigint>>"
+    blocks = _blocks(benchmark, item_column, item_text, window)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        seen = _frequencies(rows, first)
+        return slim.mapInArrow(lambda it: _scan(it, first, seen, carry, text_column), with_rest(fields, docs) if keep_columns else fields)
+    # Several blocks: one at a time is on the driver, and what is kept of it are the texts that it hits, once each.
+    scratch = Scratch(docs.sparkSession, "contamination")
+    texts = rows.select(F.sha2("text", 256).alias("digest"), "text")
+    found = None
+    for block in chain((first, second), blocks):
+        if block.windows:
+            seen = _frequencies(texts, block)
+            hits = texts.mapInArrow(lambda it, b=block, seen=seen: _scan(it, b, seen, ["digest"], "text"), fields.replace("id long", "digest string"))
+            some = scratch.save(hits.where("n_hit > 0").select("digest", "items", "spans").dropDuplicates(["digest"]))
+            found = some if found is None else found.unionByName(some)
+    none = Block(window)
+    counted = rows.withColumn("digest", F.sha2("text", 256)).drop("text") if slim is not rows else rows.withColumn("digest", F.sha2("text", 256))
+    wide = "digest string, " + fields
+    counted = counted.mapInArrow(lambda it: _scan(it, none, {}, ["digest", *carry], text_column), with_rest(wide, docs) if keep_columns else wide)
+    if found is None:
+        return counted.drop("digest")
+    return _united(counted, found, carry)
+
+
+def _frequencies(rows: DataFrame, block: Block) -> dict[int, int]:
+    """In how many documents each shingle of the block is: as many counts as the block has shingles, whatever the number of documents."""
+    if not block.windows:
+        return {}
+    counts = rows.select("text").mapInArrow(lambda it: _count(it, block), "shingle long, docs long")
+    return {r.shingle: r.docs for r in counts.groupBy("shingle").agg(F.sum("docs").alias("docs")).collect()}
+
+
+def _united(counted: DataFrame, found: DataFrame, carry: list[str]) -> DataFrame:
+    """Each row with the hits of all blocks on its text; words that several cover count once. The rows of a frequent text meet its hits
+    in SALTS places."""
+    merged = found.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     reach = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["first"] + s["size"] - F.greatest(a["end"], s["first"]))).alias("n"), F.greatest(a["end"], s["first"] + s["size"]).alias("end")),
         lambda a: a["n"],
     )
-    out = joined.withColumn("n_hit", reach).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*(c for c in carry if c != "digest"), "n_words", "n_hit", "items", "spans")
+    hits = merged.select(F.col("digest").alias("of"), reach.alias("hit"), F.col("items").alias("all_items"), F.col("spans").alias("all_spans"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("at"))
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    both = salted.join(hits, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("at")), "left")
+    return both.select(*carry, "n_words", F.coalesce("hit", "n_hit").alias("n_hit"), F.coalesce("all_items", "items").alias("items"), F.coalesce("all_spans", "spans").alias("spans"))

@@ -9,7 +9,8 @@ all its pairs.
 
 Equal fingerprints are one node of the graph; the fingerprint of a text without words is zero and linked like any other.
 Null ids: such rows get a fingerprint and the component of their fingerprint, never name a component, and have a null one if
-no row of the component has an id.
+no row of the component has an id. Rows that repeat an id or a text get their own results; texts of any length count whole, as all their
+shingles are added up; an empty table gives no rows. Only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations

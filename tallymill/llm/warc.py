@@ -6,7 +6,8 @@ refer to; records come back through a join of the two. Every payload is checked
 Of records with equal payloads that reach `least` bytes, the one with the largest id is the response and the others
 are revisits of it; smaller payloads are all responses. Rows that repeat the largest id are all responses. Null ids order
 below every id. A null payload is the empty one; a null url leaves the target URI out. An empty table gives an empty archive; only the
-id, url and payload columns are read, so others may have any name.
+id, url and payload columns are read, so others may have any name. Rows of one id with different payloads are records of their own. A payload of
+any size is one value and is held whole by the task that packs or checks it.
 
 A response's block is an HTTP message of a minimal head and the payload; a revisit has no block. A record's id is made of the page's id (or
 null) and a hash of its url and payload, so only rows that repeat all three share one, and a revisit names its response's record.

@@ -50,3 +50,27 @@ def test_rows_of_one_id_and_length_stay_apart_in_blocks(spark, monkeypatch):
     docs = [(1, prose(4, 30)), (1, prose(31, 30)), (1, prose(6, 30)), (None, prose(6, 30)), (None, prose(32, 30)), (None, prose(32, 30))]
     got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench(spark))
     assert rows(got) == sorted(brute.hits(docs, ITEMS), key=str)
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_one_block_at_a_time_is_held(spark, tricky, monkeypatch, keep):
+    """Blocks are made one by one, and only after the hits of the one before are written."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    made, saved = [], []
+    blocks, save = decontaminate._blocks, decontaminate.Scratch.save
+
+    def counted(*args):
+        for b in blocks(*args):
+            made.append(len(saved))
+            yield b
+
+    def noted(self, df):
+        saved.append(df)
+        return save(self, df)
+
+    monkeypatch.setattr(decontaminate, "_blocks", counted)
+    monkeypatch.setattr(decontaminate.Scratch, "save", noted)
+    got = contamination(tricky, bench(spark), keep_columns=keep)
+    assert rows(got) == sorted(brute.hits(ROWS, ITEMS), key=str)
+    # Two to know that there are several, then one for each that was done.
+    assert len(made) >= 4 and made[:2] == [0, 0] and all(later >= n - 2 for n, later in enumerate(made))

@@ -49,12 +49,22 @@ def check(rows, got):
     texts = collections.defaultdict(list)
     for d, t in rows:
         texts[d].append(t)
+    count = collections.Counter(w for d, t in rows if not held(d) for w in [*brute.words(brute.fold(t)), "</s>"])
+    total = sum(count.values())
+    have = collections.defaultdict(list)
     for r in got:
+        have[r.id].append((r.score, r.base_score))
+    assert have.keys() == texts.keys()
+    for d, own in texts.items():
         want = []
-        for t in texts[r.id]:
+        for t in own:
             y = ["<s>", "<s>", *brute.words(brute.fold(t)), "</s>"]
-            want.append(sum(math.log10(p(*y[i - 2 : i + 1])) for i in range(2, len(y))))
-        assert any(math.isclose(w, r.score, rel_tol=1e-9) for w in want)
+            base = sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in y[2:])
+            want.append((sum(math.log10(p(*y[i - 2 : i + 1])) for i in range(2, len(y))), base))
+        # Rows of one id are told apart by their scores, each once.
+        assert len(want) == len(have[d])
+        for w, g in zip(sorted(want), sorted(have[d]), strict=True):
+            assert math.isclose(w[0], g[0], rel_tol=1e-9) and math.isclose(w[1], g[1], rel_tol=1e-9)
 
 
 def test_all_counts_against_plain_kneser_ney(spark, tricky):
