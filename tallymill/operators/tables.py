@@ -266,8 +266,9 @@ def quotas(sizes: DataFrame, label: str, total: int, least: int) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, quota: DataFrame, seed: int) -> DataFrame:
-    """Rows of each stratum with the smallest seeded hashes of their key, up to its quota."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    """Rows of each stratum with the smallest seeded hashes of their key, up to its quota; the hash is SHA-256 of `seed:key`, so that
+    any system draws the same rows."""
+    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
     ranked = df.withColumn("turn", F.row_number().over(W.partitionBy(label).orderBy(h, key)))
     return ranked.join(quota.select(label, "quota"), label).where("turn <= quota").drop("turn", "quota")
 

@@ -487,6 +487,17 @@ def squeezed(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.squeezed(F.col("url")).alias("text"))
 
 
+@query("f1_ascii", r"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]+', '', 'g')), '[\s\x0b\x1c-\x1f]+', ' ', 'g')) AS text FROM documents")
+def normalised_ascii(spark, sf):
+    # The same normalisation where SQL can follow it: on what is ASCII.
+    return table(spark, sf, "documents").select("doc_id", T.normalised(F.regexp_replace("text", r"[^\x00-\x7F]+", "")).alias("text"))
+
+
+@query("f2_folded", r"SELECT page_id, trim(regexp_replace(lower(regexp_replace(coalesce(url, ''), '[^\x00-\x7F]+', '', 'g')), '[\s\x0b\x1c-\x1f]+', ' ', 'g')) AS text FROM pages")
+def folded(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.folded(F.regexp_replace("url", r"[^\x00-\x7F]+", "")).alias("text"))
+
+
 @query("f24_prefix", "SELECT page_id, 'query: ' || url AS text FROM pages")
 def prefix(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.concat(F.lit("query: "), "url").alias("text"))
@@ -542,12 +553,19 @@ def quotas(spark, sf):
     return O.quotas(table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("size")), "label", 60, 3)
 
 
-@query("w11_stratified_sample")
+_DRAWN = f"""{_QUOTA}, qu AS (SELECT label, base + CASE WHEN base < size AND turn <= left_ THEN 1 ELSE 0 END AS quota FROM o),
+drawn AS (SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('13:' || vec_id), vec_id) AS place FROM embeddings) JOIN qu USING (label) WHERE place <= quota)"""
+
+
+@query("w11_stratified_sample", f"WITH {_DRAWN} SELECT vec_id, label FROM drawn")
 def stratified_sample(spark, sf):
     return O.stratified_sample(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id", quotas(spark, sf), 13)
 
 
-@query("c19_label_audit")
+@query("c19_label_audit", f"""WITH {_DRAWN}, sc AS (SELECT label, count(*) AS n, avg(CASE WHEN vec_id % 5 <> 0 THEN 1.0 ELSE 0.0 END) AS rate FROM drawn GROUP BY label),
+j AS (SELECT *, size / sum(size) OVER () AS w FROM sz JOIN sc USING (label)),
+a AS (SELECT sum(w * rate) AS micro, sum(CASE WHEN n > 1 AND size > 1 THEN w * w * greatest(0.0, 1 - n / size) * rate * (1 - rate) / (n - 1) ELSE 0 END) AS v, avg(rate) AS macro, CAST(sum(n) AS BIGINT) AS scored FROM j)
+SELECT micro, greatest(0.0, micro - 1.959963984540054 * sqrt(v)) AS low, least(1.0, micro + 1.959963984540054 * sqrt(v)) AS high, macro, scored FROM a""", "micro low high macro")
 def label_audit(spark, sf):
     s = stratified_sample(spark, sf).withColumn("ok", (F.col("vec_id") % 5 != 0).cast("int"))
     return O.audit_summary(s, "label", "ok", table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("size")))
