@@ -437,6 +437,14 @@ def jaccard(spark, sf):
     return O.verified_pairs(pairs, s, "id", "s", 0.0)
 
 
+@query("j6_verified", f"WITH s AS (SELECT p_partkey AS id, {_SH} AS s FROM (SELECT p_partkey, lower(p_name) AS t FROM part)), j AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) AS likeness FROM s x JOIN s y ON y.id > x.id AND y.id <= x.id + 20) SELECT * FROM j WHERE likeness >= 0.2", "likeness")
+def verified(spark, sf):
+    # Each part against the next twenty; few pairs are alike enough.
+    s = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.char_shingles(F.lower("p_name")).alias("s"))
+    pairs = s.select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 20)).alias("b"))
+    return O.verified_pairs(pairs, s, "id", "s", 0.2)
+
+
 @query("f4_simhash")
 def simhash(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.simhash64(T.char_shingles(F.lower("p_name"))).alias("code"))
@@ -603,6 +611,13 @@ def screen(spark, sf):
     return O.screen(table(spark, sf, "documents"), "text")
 
 
+@query("a38_plain_patterns", r"""WITH k AS (SELECT len(regexp_extract_all(coalesce(text, ''), '(?i)https?://\S+|www\.\S+')) AS url, len(list_filter(regexp_extract_all(coalesce(text, ''), '\d+'), lambda x: length(x) = 16)) AS ids FROM documents)
+SELECT 'url' AS pattern, CAST(sum(url) AS BIGINT) AS occurrences, count(*) FILTER (WHERE url > 0) AS rows FROM k UNION ALL SELECT 'long_numeric_id', CAST(sum(ids) AS BIGINT), count(*) FILTER (WHERE ids > 0) FROM k""")
+def plain_patterns(spark, sf):
+    # The patterns that need no look-behind to be told in SQL.
+    return screen(spark, sf).where(F.col("pattern").isin("url", "long_numeric_id"))
+
+
 @query("f8_url_screen", r"SELECT page_id, len(regexp_extract_all(url, '(?i)https?://\S+|www\.\S+')) AS n FROM pages")
 def url_screen(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_count("url", F.lit(T.PATTERNS["url"])).cast("long").alias("n"))
