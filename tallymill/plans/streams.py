@@ -47,9 +47,11 @@ def expiring_lookups(spark, sf):
 
 @query("t3_live_lists", f"""WITH {_REP}, {_STATE} SELECT 'all' AS list, id, status FROM (SELECT * FROM st ORDER BY created_at DESC, id LIMIT 200)
 UNION ALL SELECT 'user', id, status FROM (SELECT * FROM st WHERE user_id = 'u7' ORDER BY created_at DESC, id LIMIT 200)
-UNION ALL SELECT 'category', id, status FROM (SELECT * FROM st WHERE category = 'kelurahan' AND status <> 'rejected' ORDER BY created_at DESC, id LIMIT 200)""")
+UNION ALL SELECT 'category', id, status FROM (SELECT * FROM st WHERE category = 'kelurahan' AND status <> 'rejected' ORDER BY created_at DESC, id LIMIT 200)
+UNION ALL SELECT 'history', id, status FROM (SELECT * FROM st WHERE user_id = 'u3' ORDER BY created_at, id LIMIT 100)""")
 def live_lists(spark, sf):
-    """The newest 200 rows of all, of one user and of one category, kept from batch to batch while reports change."""
+    """The newest 200 rows of all, of one user and of one category, and the oldest 100 of another user, kept from batch to batch while
+    reports change."""
     folder, schema = _folder(spark, "lists"), "id long, sequence long, user_id string, category string, status string, created_at timestamp"
     r = reports(spark, sf).select((F.col("id") % 300).alias("id"), F.col("id").alias("sequence"), "user_id", "category", "status", F.col("created_at").cast("timestamp").alias("created_at"))
     live = LiveTable(spark, f"{folder}/state", schema, "id", ["created_at", "sequence"])
@@ -57,9 +59,10 @@ def live_lists(spark, sf):
         "all": TopView(live, f"{folder}/all"),
         "user": TopView(live, f"{folder}/user", lambda: F.col("user_id") == "u7"),
         "category": TopView(live, f"{folder}/category", lambda: (F.col("category") == "kelurahan") & (F.col("status") != "rejected")),
+        "history": TopView(live, f"{folder}/history", lambda: F.col("user_id") == "u3", limit=100, ascending=True),
     }
     for turn in range(TURNS):
         r.where(F.col("sequence") % TURNS == turn).write.mode("append").parquet(f"{folder}/source")
         live.follow(spark.readStream.schema(schema).parquet(f"{folder}/source"), f"{folder}/checkpoint", views=list(views.values())).awaitTermination()
     lists = [v.read().select(F.lit(name).alias("list"), "id", "status") for name, v in views.items()]
-    return lists[0].unionByName(lists[1]).unionByName(lists[2])
+    return lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(lists[3])

@@ -163,7 +163,8 @@ def _literal(value, kind: T.DataType) -> F.Column:
 
 
 class TopView(Pointed):
-    """The first `limit` rows of a live table that pass a test, in order of `order` descending and then the key, kept from batch to batch.
+    """The first `limit` rows of a live table that pass a test, in order of `order` (newest first, or oldest if `ascending`) and then the
+    key, kept from batch to batch.
 
     The list holds up to `spare` rows more than it shows. Every row of the state that passes and stands at or above its last row, its
     floor, is in it. A batch takes the rows it changes out, puts those in that pass and stand at or above the floor, and cuts the list
@@ -171,15 +172,15 @@ class TopView(Pointed):
     leaves costs a refill. `reads` counts the rows of lists, batches and refills that were read.
     """
 
-    def __init__(self, live: LiveTable, path: str, test: Callable[[], F.Column] | None = None, order: str = "created_at", limit: int = 200, spare: int = 50) -> None:
+    def __init__(self, live: LiveTable, path: str, test: Callable[[], F.Column] | None = None, order: str = "created_at", limit: int = 200, spare: int = 50, ascending: bool = False) -> None:
         super().__init__(live.spark, path)
-        self.live, self.test, self.order, self.limit, self.spare = live, test, order, limit, spare
+        self.live, self.test, self.order, self.limit, self.spare, self.ascending = live, test, order, limit, spare, ascending
 
     def _passing(self, df: DataFrame) -> DataFrame:
         return df.where(F.col(self.order).isNotNull() & self.test()) if self.test else df.where(F.col(self.order).isNotNull())
 
     def _first(self, df: DataFrame, n: int) -> DataFrame:
-        return df.orderBy(F.desc(self.order), self.live.key).limit(n)
+        return df.orderBy(F.asc(self.order) if self.ascending else F.desc(self.order), self.live.key).limit(n)
 
     def _list(self, pointer: dict) -> DataFrame:
         name = pointer.get("list")
@@ -208,11 +209,15 @@ class TopView(Pointed):
         if not behind:
             key, held = self.live.key, self._list(now)
             rows_held = held.collect()  # at most limit + spare
-            floor = max(((r[self.order], r[key]) for r in rows_held), key=lambda x: (-x[0].timestamp() if hasattr(x[0], "timestamp") else -x[0], x[1]), default=None)
+            floor = None
+            if rows_held:  # the last of the list: of those at the furthest time, the largest key
+                far = (max if self.ascending else min)(r[self.order] for r in rows_held)
+                floor = (far, max(r[key] for r in rows_held if r[self.order] == far))
             fits = F.lit(True)
             if not whole and floor is not None:
                 low = _literal(floor[0], held.schema[self.order].dataType)
-                fits = (F.col(self.order) > low) | ((F.col(self.order) == low) & (F.col(key) <= F.lit(floor[1])))
+                nearer = F.col(self.order) < low if self.ascending else F.col(self.order) > low
+                fits = nearer | ((F.col(self.order) == low) & (F.col(key) <= F.lit(floor[1])))
             stay = held.join(changed.select(key), key, "left_anti")
             both = self._first(stay.unionByName(self._passing(changed).where(fits).select(*held.columns)), most + 1)
             rows = both.collect()  # at most limit + spare + 1

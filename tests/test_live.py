@@ -13,8 +13,8 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "id long, sequence long, status string, at long").select("id", "sequence", "status", F.timestamp_seconds("at").alias("created_at"))
 
 
-def listed(df, limit):
-    rows = df.where("status <> 'rejected' and created_at is not null").orderBy(F.desc("created_at"), "id").limit(limit).collect()
+def listed(df, limit, ascending=False):
+    rows = df.where("status <> 'rejected' and created_at is not null").orderBy(F.asc("created_at") if ascending else F.desc("created_at"), "id").limit(limit).collect()
     return [(r.id, r.sequence) for r in rows]
 
 
@@ -22,6 +22,7 @@ def test_lists_equal_recomputation_after_each_batch(spark, tmp_path):
     r = random.Random(5)
     live = LiveTable(spark, f"file://{tmp_path}/state", SCHEMA, "id", ["sequence"], buckets=4)
     view = TopView(live, f"file://{tmp_path}/view", lambda: F.col("status") != "rejected", limit=6, spare=3)
+    oldest = TopView(live, f"file://{tmp_path}/oldest", lambda: F.col("status") != "rejected", limit=5, spare=2, ascending=True)
     every, n = [], 0
     for number in range(7):
         rows = []
@@ -34,9 +35,11 @@ def test_lists_equal_recomputation_after_each_batch(spark, tmp_path):
         every += rows
         won = live.merge(frame(spark, rows), number)
         view.apply(won, number)
+        oldest.apply(won, number)
         want = newest(frame(spark, every), "id", ["sequence"])
         assert sorted(map(tuple, live.read().collect())) == sorted(map(tuple, want.collect()))
         assert [(x.id, x.sequence) for x in view.read().collect()] == listed(want, 6)
+        assert [(x.id, x.sequence) for x in oldest.read().collect()] == listed(want, 5, ascending=True)
     assert view.refills == 1
 
 
