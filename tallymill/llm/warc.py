@@ -1,6 +1,6 @@
 """A content-addressed WARC archive.
 
-Payload bytes are stored once under their SHA-256, zlib-compressed; record headers are stored apart, byte for byte, with the digest they
+Payload bytes are stored once under their SHA-256, in Parquet compressed by Zstandard; record headers are stored apart, byte for byte, with the digest they
 refer to; records come back through a join of the two. Every payload is checked against its digest when it is read.
 
 Of records with equal payloads that reach `least` bytes, the one with the largest id is the response and the others
@@ -16,12 +16,8 @@ Rows of one payload meet its digest in a join that Spark's adaptive execution sp
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import zlib
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,57 +42,23 @@ class Archive:
         return f"{self.path}/records"
 
 
-def base32_sha1(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
-
-
-def _digests(it):
-    """Digests and payload of the row that has the largest key (then tag) of its digest in this batch."""
-    for batch in it:
-        keys, loads = list(zip(batch.column("key").to_pylist(), batch.column("tag").to_pylist(), strict=True)), batch.column("payload")
-        strong, weak, size, best = [], [], [], {}
-        for i, load in enumerate(loads):
-            data = load.as_buffer()
-            strong.append(hashlib.sha256(data).digest())
-            weak.append(base32_sha1(data))
-            size.append(len(data))
-            at = best.setdefault(strong[-1], i)
-            if keys[i] > keys[at]:
-                best[strong[-1]] = i
-        kept = [i for i in sorted(best.values())]
-        yield pa.record_batch(
-            {
-                "sha256": pa.array([strong[i] for i in kept], type=pa.binary()),
-                "sha1": pa.array([weak[i] for i in kept], type=pa.string()),
-                "size": pa.array([size[i] for i in kept], type=pa.int64()),
-                "owner": pa.array([keys[i][0] for i in kept], type=pa.int64()),
-                "tag": pa.array([keys[i][1] for i in kept], type=pa.int64()),
-                "data": pa.array([zlib.compress(loads[i].as_buffer(), 1) for i in kept], type=pa.binary()),
-            }
-        )
-
-
-def _one_each(it):
-    """The largest owner's copy of each digest; a digest that stands for two payloads stops the job."""
-    held = None
-    for batch in it:
-        out = []
-        for row in batch.to_pylist():
-            if held is not None and held["sha256"] == row["sha256"]:
-                if (held["sha1"], held["size"]) != (row["sha1"], row["size"]):
-                    raise ValueError("two payloads have one SHA-256")
-                continue
-            if held is not None:
-                out.append(held)
-            held = row
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=PAYLOADS)
-    if held is not None:
-        yield pa.RecordBatch.from_pylist([held], schema=PAYLOADS)
-
-
-PAYLOADS = pa.schema([("sha256", pa.binary()), ("sha1", pa.string()), ("size", pa.int64()), ("owner", pa.int64()), ("tag", pa.int64()), ("data", pa.binary())])
-PAYLOADS_SQL = "sha256 binary, sha1 string, size long, owner long, tag long, data binary"
+def _base32(digest: F.Column) -> F.Column:
+    """Base 32 of a SHA-1 in hex: 10 hex digits are 40 bits, so 8 digits of base 32 in the other alphabet."""
+    parts = [F.lpad(F.conv(F.substring(digest, at, 10), 16, 32), 8, "0") for at in range(1, 41, 10)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row for each digest: its payload, and the largest key (then tag) of its rows. A digest that stands for two payloads stops the job."""
+    found = rows.select("key", "tag", "payload", _sha256("payload").alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
+    mark = F.struct("sha1", "size")
+    each = found.groupBy("sha256").agg(F.max(F.struct("key", "tag")).alias("owner"), F.min(mark).alias("low"), F.max(mark).alias("high"), F.first("payload").alias("data"))
+    sha1 = F.when(F.col("low") == F.col("high"), F.col("low.sha1")).otherwise(F.raise_error(F.lit("two payloads have one SHA-256")))
+    return each.select("sha256", _base32(sha1).alias("sha1"), F.col("low.size").alias("size"), F.col("owner.key").alias("owner"), F.col("owner.tag").alias("tag"), "data")
+
+
+def _sha256(column: str) -> F.Column:
+    return F.unhex(F.sha2(column, 256))
 
 
 def _header(lines: list[tuple[str, F.Column]]) -> F.Column:
@@ -115,11 +77,10 @@ def write_archive(pages: DataFrame, *, id_column: str = "page_id", url_column: s
     at = Archive(path or new_path(spark, "warc"))
     body = text_bytes(F.col(payload_column))
     rows = pages.select(order_key(F.col(id_column)).alias("key"), F.col(id_column).cast("long").alias("id"), F.col(url_column).cast("string").alias("url"), body.alias("payload")).withColumn("tag", F.xxhash64("url", "payload"))
-    once = rows.select("key", "tag", "payload").mapInArrow(_digests, PAYLOADS_SQL).repartition("sha256").sortWithinPartitions("sha256", F.desc("owner"), F.desc("tag"))
-    once.mapInArrow(_one_each, PAYLOADS_SQL).write.parquet(at.payloads)
+    _once(rows).write.option("compression", "zstd").parquet(at.payloads)
 
     owners = spark.read.parquet(at.payloads).select("sha256", "sha1", F.col("size").alias("bytes"), "owner", F.col("tag").alias("owner_tag"))
-    mine = rows.select("key", "id", "url", "tag", F.unhex(F.sha2("payload", 256)).alias("sha256"))
+    mine = rows.select("key", "id", "url", "tag", _sha256("payload").alias("sha256"))
     joined = mine.join(owners, "sha256")
     revisit = (F.col("bytes") >= least) & (F.col("key") < F.col("owner"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
@@ -142,16 +103,12 @@ def write_archive(pages: DataFrame, *, id_column: str = "page_id", url_column: s
     return at
 
 
-def _verified(it):
-    for batch in it:
-        sha256, sha1 = batch.column("sha256").to_pylist(), batch.column("sha1").to_pylist()
-        size = []
-        for strong, weak, load in zip(sha256, sha1, batch.column("data"), strict=True):
-            data = zlib.decompress(load.as_buffer())
-            if hashlib.sha256(data).digest() != strong or base32_sha1(data) != weak:
-                raise ValueError(f"payload {strong.hex()} does not match its digest")
-            size.append(len(data))
-        yield pa.record_batch({"sha256": batch.column("sha256"), "payload_digest": batch.column("sha1"), "payload_bytes": pa.array(size, type=pa.int64())})
+def _stored(spark: SparkSession, archive: Archive) -> DataFrame:
+    """(sha256, payload_digest, payload_bytes, data) of every payload, which must match both its digests."""
+    read = spark.read.parquet(archive.payloads).select("sha256", "sha1", "data", _sha256("data").alias("strong"), F.sha1("data").alias("weak"))
+    wrong = F.raise_error(F.concat(F.lit("payload "), F.lower(F.hex("sha256")), F.lit(" does not match its digest")))
+    digest = F.when((F.col("strong") == F.col("sha256")) & (_base32(F.col("weak")) == F.col("sha1")), F.col("sha1")).otherwise(wrong)
+    return read.select("sha256", digest.alias("payload_digest"), F.octet_length("data").cast("long").alias("payload_bytes"), "data")
 
 
 def _field(name: str) -> F.Column:
@@ -164,7 +121,7 @@ def _page(name: str) -> F.Column:
 
 def read_index(spark: SparkSession, archive: Archive) -> DataFrame:
     """Every record's parsed header beside the verified size and digest of its full payload."""
-    stored = spark.read.parquet(archive.payloads).select("sha256", "sha1", "data").mapInArrow(_verified, "sha256 binary, payload_digest string, payload_bytes long")
+    stored = _stored(spark, archive).drop("data")
     records = spark.read.parquet(archive.records)
     parsed = records.select("sha256", _page("WARC-Record-ID").alias("id"), _field("WARC-Target-URI").alias("url"), _field("WARC-Type").alias("record_type"), _page("WARC-Refers-To").alias("refers_to"), F.substring_index(_field("WARC-Payload-Digest"), ":", -1).alias("digest"))
     wrong = F.raise_error(F.concat(F.lit("header and payload differ in digest: "), F.col("digest")))
@@ -175,14 +132,7 @@ def read_index(spark: SparkSession, archive: Archive) -> DataFrame:
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     """(record, payload): each original WARC record, and the full payload it stands for, rebuilt by the join."""
 
-    def run(it):
-        for batch in it:
-            loads = [zlib.decompress(x.as_buffer()) for x in batch.column("data")]
-            records = []
-            for head, data in zip(batch.column("header").to_pylist(), loads, strict=True):
-                block = b"" if b"\r\nWARC-Type: revisit\r\n" in head else data
-                records.append(head + block + b"\r\n\r\n")
-            yield pa.record_batch({"record": pa.array(records, type=pa.binary()), "payload": pa.array(loads, type=pa.binary())})
-
-    joined = spark.read.parquet(archive.records).join(spark.read.parquet(archive.payloads).select("sha256", "data"), "sha256")
-    return joined.select("header", "data").mapInArrow(run, "record binary, payload binary")
+    joined = spark.read.parquet(archive.records).join(_stored(spark, archive), "sha256").where(F.col("payload_digest").isNotNull())
+    revisit = F.col("header").cast("string").contains(f"{CRLF}WARC-Type: revisit{CRLF}")
+    block = F.when(revisit, F.lit(b"")).otherwise(F.col("data"))
+    return joined.select(F.concat("header", block, F.lit(f"{CRLF}{CRLF}".encode())).alias("record"), F.col("data").alias("payload"))

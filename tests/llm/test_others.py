@@ -10,7 +10,7 @@ import pytest
 from conftest import ROWS, prose
 
 from tallymill.llm import kernels as K
-from tallymill.llm import kneser_ney, toxicity, urlfilter
+from tallymill.llm import kneser_ney, toxicity, urlfilter, warc
 from tallymill.llm.packing import pack_documents, pack_group
 from tallymill.llm.sharding import jump, shard_rows
 from tallymill.llm.sketch import Sketch, fingerprint_edits, sketches
@@ -81,6 +81,44 @@ def test_warc_detects_damage(spark):
         read_index(spark, archive).collect()
 
 
+def test_warc_records_are_checked(spark):
+    archive = write_archive(pages(spark))
+    rows = [r.asDict() for r in spark.read.parquet(archive.payloads).orderBy("size").collect()]
+    rows[1]["data"], rows[2]["data"] = rows[2]["data"], rows[1]["data"]
+    spark.createDataFrame([tuple(r.values()) for r in rows], spark.read.parquet(archive.payloads).schema).write.mode("overwrite").parquet(archive.payloads)
+    for read in (read_records, read_index):
+        with pytest.raises(Exception, match="does not match"):
+            read(spark, archive).collect()
+
+
+def test_warc_needs_no_python_workers(spark, capsys):
+    """Arrow batches of whole payloads and the workers that hold them are no part of an executor's memory."""
+    archive = write_archive(pages(spark))
+    rows = pages(spark).select(F.col("page_id").alias("key"), F.lit(0).cast("long").alias("tag"), F.col("html").cast("binary").alias("payload"))
+    for make in (lambda: read_index(spark, archive), lambda: read_records(spark, archive), lambda: warc._once(rows)):
+        make().explain()
+        plan = capsys.readouterr().out
+        assert "Scan" in plan and not any(x in plan for x in ("MapInArrow", "MapInPandas", "EvalPython", "PythonUDF"))
+
+
+def test_warc_digests_of_many_payloads(spark):
+    """Groups of a digest that begin with zero bits keep their places; copies in all partitions are stored once."""
+    loads = {i: prose(i % 1500, 3) for i in range(3000)}
+    archive = write_archive(spark.createDataFrame([(i, None, t) for i, t in loads.items()], "page_id long, url string, html string").repartition(7))
+    assert spark.read.parquet(archive.payloads).count() == len(set(loads.values()))
+    owner = {t: i for i, t in sorted(loads.items())}
+    for r in read_index(spark, archive).collect():
+        load = loads[r.id].encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(load), base64.b32encode(hashlib.sha1(load).digest()).decode())
+        assert r.refers_to == (None if owner[loads[r.id]] == r.id else owner[loads[r.id]])
+
+
+def test_warc_one_digest_of_two_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "_sha256", lambda column: F.lit(b"same"))
+    with pytest.raises(Exception, match="two payloads have one SHA-256"):
+        write_archive(pages(spark))
+
+
 def test_warc_empty(spark):
     assert read_index(spark, write_archive(pages(spark).where("false"))).collect() == []
 
