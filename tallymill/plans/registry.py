@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def _round(x: Column, digits: int) -> Column:
+    """Rounded half away from zero as SQL does, which keeps the sign of what becomes zero; Spark's round alone gives 0.0 for it."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to so many digits, as results are compared by value."""
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.transform(c, lambda x: F.round(x, digits)).alias(c) if kind == "array<double>" else F.col(f"`{c}`") for c, kind in df.dtypes])
+    return df.select(*[_round(F.col(c), digits).alias(c) if kind == "double" else F.transform(c, lambda x: _round(x, digits)).alias(c) if kind == "array<double>" else F.col(f"`{c}`") for c, kind in df.dtypes])
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", arrays: str = ""):
