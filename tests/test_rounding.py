@@ -24,7 +24,7 @@ def test_signs_of_zeros_and_odd_values(spark):
     assert [bits(r.x) for r in got] == [bits(x) for x in want] and [bits(r.v) for r in got] == [[bits(x), None] for x in want]
 
 
-@pytest.mark.parametrize("name", ["s5_npy_scan", "v2_early_fusion", "v4_mean_pool"])
+@pytest.mark.parametrize("name", ["s5_npy_scan", "v2_early_fusion", "v4_mean_pool", "j3_two_gathers"])
 def test_vectors_with_tiny_negative_values(spark, tmp_path, name):
     r = random.Random(5)
     rows = [(i, [r.choice([r.gauss(0, 0.1), -1e-7, -2.5e-7, 1e-7]) for _ in range(64)], i % 10) for i in range(40)]
