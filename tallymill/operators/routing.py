@@ -124,11 +124,12 @@ def _with_registry_reasons(records: DataFrame, agencies: DataFrame, catch_all: s
 
 def routed(records: DataFrame, agencies: DataFrame, key: str, catch_all: str, least: float) -> DataFrame:
     """(key, reasons, agency_id, distance_m): an agency only where no reason asks for review."""
-    own = records.select(key, review_reasons(F.col("category"), F.col("confidence"), least, catch_all).alias("own"))
-    j = own.join(registry_reasons(records, agencies, key, catch_all), key).join(nearest(records, agencies, key, catch_all), key)
-    every = F.array_distinct(F.concat("own", "routing_reasons"))
-    free = F.size(every) == 0
-    return j.select(key, every.alias("reasons"), F.when(free, F.col("agency_id")).alias("agency_id"), F.when(free, F.col("distance_m")).alias("distance_m"))
+    own = review_reasons(F.col("category"), F.col("confidence"), least, catch_all)
+    every = _with_registry_reasons(records, agencies, catch_all).select(key, F.array_distinct(F.concat(own, "routing_reasons")).alias("reasons"))
+    agency, metres = _found()
+    free = F.size("reasons") == 0
+    j = every.join(_best(records, agencies, key, catch_all), key, "left")
+    return j.select(key, "reasons", F.when(free, agency).alias("agency_id"), F.when(free, metres).alias("distance_m"))
 
 
 def coverage_gaps(classes: DataFrame, agencies: DataFrame) -> DataFrame:

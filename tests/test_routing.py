@@ -59,3 +59,5 @@ def test_sites_and_records_at_one_point_are_one(spark):
     sites = spark.createDataFrame([(i, "a", float(i % 3), 1.0, True) for i in range(900)], AGENCIES)
     got = R.nearest(places, sites, "id", "z").collect()
     assert len(got) == 502 and all(x.agency_id == (min(x.id % 5, 2) if x.id is not None else None) for x in got)
+    routed = R.routed(places, sites, "id", "z", 0.5).collect()
+    assert len(routed) == 502 and sorted((x.id, x.agency_id) for x in routed if x.id is not None) == sorted((x.id, x.agency_id) for x in got if x.id is not None)
