@@ -152,8 +152,20 @@ def hamming_pairs(df: DataFrame, node: str, code: str, radius: int) -> DataFrame
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, node: str, shingles: str, threshold: float) -> DataFrame:
-    j = pairs.join(sets.select(F.col(node).alias("a"), F.col(shingles).alias("sa")), "a").join(sets.select(F.col(node).alias("b"), F.col(shingles).alias("sb")), "b")
-    return j.withColumn("likeness", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
+    """(a, b, likeness) of the pairs that are alike enough.
+
+    Pairs travel with codes of their sets, two hashes with different seeds, and each pair of codes is verified once: many rows can have one
+    set. The sizes of compressed files say little about those of sets, so neither sets nor codes are broadcast for them.
+    """
+    size = F.size(shingles)  # hashes pass over nulls
+    coded = sets.where(F.col(shingles).isNotNull()).select(F.col(node).alias("node"), F.col(shingles).alias("set"), F.xxhash64(shingles, size).alias("h"), F.xxhash64(F.lit(1), shingles, size).alias("g"))
+    codes, once = coded.select("node", "h", "g"), coded.groupBy("h", "g").agg(F.first("set").alias("set"))
+    both = lambda left, right, *on: left.join(right.hint("merge"), [*on])
+    j = both(both(pairs, codes.toDF("a", "ha", "ga"), "a"), codes.toDF("b", "hb", "gb"), "b")
+    of_a, of_b = ["ha", "ga"], ["hb", "gb"]
+    kinds = both(both(j.select(*of_a, *of_b).distinct(), once.toDF(*of_a, "sa"), *of_a), once.toDF(*of_b, "sb"), *of_b)
+    alike = kinds.select(*of_a, *of_b, T.jaccard(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
+    return j.join(alike, [*of_a, *of_b]).select("a", "b", "likeness")
 
 
 def unique_ids(df: DataFrame, node: str) -> DataFrame:
