@@ -127,6 +127,9 @@ def split_manifest(df: DataFrame, split: str, group: str, time: str) -> DataFram
 
 # Near-duplicate groups.
 
+#: Most ids that are broadcast to find the texts that have a candidate.
+SENT_IDS = 500_000
+
 
 def key_edges(df: DataFrame, node: str, key: str) -> DataFrame:
     """(a, b): each row of a shared non-null key with the key's smallest row."""
@@ -184,15 +187,17 @@ def grouped(df: DataFrame, node: str, text: str, keys: list[str] | None = None,
     near_text_edges, near_image_edges, explicit_group_edges), as the fall in the number of components, whatever the order of rows; and
     missing_images and unreadable_images (rows without a code, by whether image_problem says `unreadable`).
 
-    Exact copies and keys give star edges to the smallest row; each pair of distinct texts with codes within the radius is
-    verified, so that a group of near copies costs its pairs. Each kind's edges are contracted to the components before it, so a round
-    of components sees only what is not yet united. Ids must be unique and not null.
+    Exact copies and keys give star edges to the smallest row. Of distinct texts with codes within the radius, each is verified with the
+    smallest of them first, and then the pairs that this has left apart; a group of near copies still costs its pairs of ids. Each
+    kind's edges are contracted to the components before it, so a round of components sees only what is not yet united. Ids must be
+    unique and not null; texts are equal if their SHA-256 digests are.
     """
-    rows = unique_ids(df, node).withColumn("norm", T.normalised(F.col(text)))
+    rows = unique_ids(df, node)
     checkpoint_dir(df.sparkSession)
     merged, united = None, {}
-    for kind, edges in _edges_by_kind(rows, node, keys or [], radius, threshold, image, image_radius):
-        merged, united[kind] = _contracted(merged, edges)
+    for kind, edges in _edges_by_kind(rows, node, text, keys or [], radius, threshold, image, image_radius):
+        merged, fall = _contracted(merged, edges(merged))
+        united[kind] = united.get(kind, 0) + fall
     placed = rows.select(node).join(merged.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
     named = placed.groupBy("component").agg(T.group_name(F.collect_list(F.col(node).cast("string"))).alias("group"), F.count("*").alias("members"))
     none = F.col(image).isNull() if image else F.lit(True)
@@ -201,24 +206,45 @@ def grouped(df: DataFrame, node: str, text: str, keys: list[str] | None = None,
     return placed.join(named, "component").select(node, "group", "members"), receipt
 
 
-def _edges_by_kind(rows: DataFrame, node: str, keys: list[str], radius: int, threshold: float, image: str | None, image_radius: int):
-    some = rows.where("norm != ''")
-    yield "exact_text", key_edges(some, node, "norm")
-    # Texts and codes are made once; sets of runs only for texts that have a candidate.
-    once = some.groupBy("norm").agg(F.min(node).alias(node)).withColumn("code", T.text_simhash64("norm")).checkpoint(eager=True)
+def _edges_by_kind(rows: DataFrame, node: str, text: str, keys: list[str], radius: int, threshold: float, image: str | None, image_radius: int):
+    """(kind, edges by what is united so far), in turns."""
+    # One pass over the texts; what travels is their digests and codes. Texts themselves travel only if they have a candidate.
+    norm = lambda df: df.select(node, T.normalised(F.col(text)).alias("norm")).where("norm != ''")
+    coded = norm(rows).withColumn("code", T.text_simhash64("norm")).select(node, F.unhex(F.sha2("norm", 256)).alias("digest"), "code").checkpoint(eager=True)
+    yield "exact_text", lambda merged: key_edges(coded, node, "digest")
+    once = coded.groupBy("digest").agg(F.min(node).alias(node), F.min("code").alias("code"))
     near = hamming_texts(once.select(node, "code"), node, radius).checkpoint(eager=True)
-    needed = near.select(F.col("a").alias(node)).union(near.select(F.col("b").alias(node))).distinct()
-    sets = once.join(needed, node, "left_semi").select(node, T.char_shingles(F.col("norm")).alias("shingles")).checkpoint(eager=True)
-    yield "near_text", verified_pairs(near, sets, node, "shingles", threshold).select("a", "b")
+    needed = near.select(F.col("a").alias(node)).union(near.select(F.col("b").alias(node))).distinct().checkpoint(eager=True)
+    texts = norm(rows.join(F.broadcast(needed) if needed.count() <= SENT_IDS else needed, node, "left_semi")).checkpoint(eager=True)
+    # Each text with the smallest near it first: that unites most families, and pairs inside what is united need no look.
+    stars = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint(eager=True)
+    yield "near_text", lambda merged: _alike(stars, texts, node, threshold)
+    yield "near_text", lambda merged: _alike(_apart(near.join(stars, ["a", "b"], "left_anti"), merged), texts, node, threshold)
     none = rows.select(F.col(node).alias("a"), F.col(node).alias("b")).limit(0)
     if image:
         coded = rows.where(F.col(image).isNotNull())
         none = key_edges(coded, node, image).union(hamming_pairs(coded, node, image, image_radius).select("a", "b"))
-    yield "near_image", none
+    yield "near_image", lambda merged: none
     every = rows.select(F.col(node).alias("a"), F.col(node).alias("b")).limit(0)
     for k in keys:
         every = every.union(key_edges(rows.withColumn(k, F.nullif(T.normalised(F.col(k).cast("string")), F.lit(""))), node, k))
-    yield "explicit_group", every
+    yield "explicit_group", lambda merged: every
+
+
+def _apart(pairs: DataFrame, merged: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    up = merged.select("node", "component")
+    j = pairs.join(up.toDF("a", "up_a"), "a", "left").join(up.toDF("b", "up_b"), "b", "left")
+    return j.where(F.coalesce("up_a", "a") != F.coalesce("up_b", "b")).select("a", "b")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, node: str, threshold: float) -> DataFrame:
+    """The pairs whose normalised texts, none of them empty, are alike enough. Texts travel, not their sets of runs, which take many times
+    their room; in lambdas the sets of a pair are made once."""
+    a, b = texts.select(F.col(node).alias("a"), F.col("norm").alias("ta")), texts.select(F.col(node).alias("b"), F.col("norm").alias("tb"))
+    sets = F.array(F.struct(T.char_shingles(F.col("ta")).alias("a"), T.char_shingles(F.col("tb")).alias("b")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("both"), (F.size(s["a"]) + F.size(s["b"])).alias("sum")))
+    return pairs.join(a, "a").join(b, "b").where(F.exists(sizes, lambda n: n["both"] / (n["sum"] - n["both"]) >= threshold)).select("a", "b")
 
 
 def _contracted(merged: DataFrame | None, edges: DataFrame) -> tuple[DataFrame, int]:
