@@ -63,3 +63,16 @@ def test_families_where_the_smallest_text_is_unlike(spark, monkeypatch, sent):
     receipt = found[1].first()
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert receipt.exact_text_edges + receipt.near_text_edges == len(rows) - len(want)
+
+
+def test_stored_folders_hold_codes_instead_of_texts(spark):
+    """What leakage groups keep in the shared folder while they run, of texts none of which has a candidate."""
+    from pathlib import Path
+
+    from tallymill.operators.components import checkpoint_dir
+
+    size = lambda: sum(p.stat().st_size for p in Path(checkpoint_dir(spark).removeprefix("file://")).rglob("part-*"))
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choices("abcdefghijklmnop", k=8)) for _ in range(250))) for i in range(600)]
+    df, before = spark.createDataFrame(rows, "id long, text string"), size()
+    assert tables.leakage_groups(df, "id", "text").count() == 600 and size() - before < sum(len(t) for _, t in rows) / 4
